@@ -34,7 +34,17 @@ def fixed_order(df: DataFrame, order: list[str | Column], position: str) -> Data
     return cut_lineage(placed)
 
 
-def with_row_number(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+def with_row_number(
+    df: DataFrame, order: list[str | Column], name: str, key: str | None = None
+) -> DataFrame:
+    """``df`` with its row number in a total order.
+
+    With a unique ``key`` only the key and the order columns named in ``order``
+    are sorted and kept, and the numbers are joined back to the wide rows.
+    """
+    if key is not None:
+        narrow = df.select(*{key: 0, **{c: 0 for c in order}})
+        return df.join(with_row_number(narrow, order, name).select(key, name), key)
     placed = fixed_order(df, order, "_position")
     counts = placed.groupBy(partition_of(F.col("_position")).alias("_partition")).agg(
         F.count(F.lit(1)).alias("_rows")

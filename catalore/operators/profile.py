@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from catalore.functions.text import cell_text
 
 COMPLEX = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+# Types in which text and stored value order alike or are ranked by value.
+STORED_ORDER = (T.NumericType, T.StringType, T.DateType, T.TimestampNTZType)
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -52,74 +54,165 @@ def sampled_columns(df: DataFrame, exclude: Collection[str] = ()) -> list[str]:
     ]
 
 
-def _smallest_values(texts: DataFrame, k: int) -> DataFrame:
-    """The k smallest distinct values of every column: column_name, value, rank."""
-    cells = texts.unpivot([], texts.columns, "column_name", "value").where("value IS NOT NULL")
-    by_value = W.partitionBy("column_name").orderBy("value")
+# Values proven to occur, smallest first: {(table, column): [text, ...]}.
+Known = Mapping[tuple[str, str], Sequence[str]]
+
+
+def _cells(texts: Mapping[str, DataFrame]) -> DataFrame:
+    return union_all(
+        [
+            df.unpivot([], df.columns, "column_name", "value")
+            .where("value IS NOT NULL")
+            .withColumn("table_name", F.lit(table))
+            for table, df in texts.items()
+        ]
+    )
+
+
+def _smallest(cells: DataFrame, tables: Mapping[str, DataFrame], k: int) -> DataFrame:
+    """The k smallest distinct cells per (table, column), with their rank.
+
+    Numbers are ranked as numbers, everything else as text.
+    """
+    numeric = [
+        f"{table}\n{field.name}"
+        for table, df in tables.items()
+        for field in df.schema
+        if isinstance(field.dataType, T.NumericType)
+    ]
+    is_number = F.concat_ws("\n", "table_name", "column_name").isin(numeric)
+    # The decimal settles integers that are too large for a double.
+    order = [
+        F.when(is_number, F.expr("try_cast(value AS double)")),
+        F.when(is_number, F.expr("try_cast(value AS decimal(38, 18))")),
+        F.col("value"),
+    ]
+    by_value = W.partitionBy("table_name", "column_name").orderBy(*order)
     # The rank limit runs before the shuffle too: k rows per column leave each task.
     ranked = cells.distinct().withColumn("rank", F.row_number().over(by_value))
     return ranked.where(F.col("rank") <= k)
 
 
-def _upper_bounds(texts: DataFrame, k: int, fraction: float) -> dict[str, str]:
-    """Per column a value that at least k distinct values do not exceed.
+def _sampled_values(
+    tables: Mapping[str, DataFrame], k: int, exclude: Collection[str], small_table: int
+) -> dict[tuple[str, str], list[str]]:
+    """The k smallest values per column of a row sample of each large table.
+
+    Of n rows sqrt(k / n) are sampled: then the sample and the values that turn out
+    smaller than its k smallest are about equally few. At most k values per column
+    come back to the driver.
+    """
+    counts = {row["table_name"]: row["row_count"] for row in table_row_counts(tables).collect()}
+    sampled = {
+        table: df.sample(fraction=(k / counts[table]) ** 0.5, seed=17)
+        for table, df in tables.items()
+        if counts[table] > small_table
+    }
+    if not sampled:
+        return {}
+    texts = {table: _unknown_texts(table, df, {}, k, exclude) for table, df in sampled.items()}
+    found = _smallest(_cells(texts), sampled, k)
+    values: dict[tuple[str, str], list[tuple[int, str]]] = {}
+    for row in found.collect():
+        values.setdefault((row["table_name"], row["column_name"]), []).append(
+            (row["rank"], row["value"])
+        )
+    return {column: [value for _, value in sorted(ranked)] for column, ranked in values.items()}
+
+
+def _unknown_texts(
+    table: str, df: DataFrame, known: Known, k: int, exclude: Collection[str]
+) -> DataFrame:
+    """Columns as text where a value may still be among the k smallest, else NULL.
 
-    Any k values that occur prove such a bound, so a sample of rows will do. One
-    value per column comes back; columns with fewer than k sampled values get none.
+    That is a value not known yet and, once k values are known, below the largest
+    of them. Types whose text reads back as the same value are compared as stored,
+    so that only the values found are turned into text.
     """
-    found = _smallest_values(texts.sample(fraction=fraction, seed=17), k)
-    bounds = found.where(F.col("rank") == k).select("column_name", "value")
-    return {row["column_name"]: row["value"] for row in bounds.collect()}
+
+    def unknown(name: str) -> Column:
+        kind = df.schema[name].dataType
+        values = known.get((table, name), ())
+        if isinstance(kind, STORED_ORDER):
+            compared = F.col(f"`{name}`")
+            literals = [F.lit(text).cast(kind) for text in values]
+        else:
+            compared = value_text(df, name)
+            literals = [F.lit(text) for text in values]
+        if not literals:
+            return compared.isNotNull()
+        if len(literals) < k:
+            return ~compared.isin(literals)
+        return (compared < literals[-1]) & ~compared.isin(literals)
+
+    wanted = {name: unknown(name) for name in sampled_columns(df, exclude)}
+    rows = df
+    if any((table, name) in known for name in wanted):
+        rows = df.where(reduce(Column.__or__, wanted.values()))
+    return rows.select(
+        *[F.when(keep, value_text(df, name)).alias(name) for name, keep in wanted.items()]
+    )
 
 
 def column_values(
-    df: DataFrame, k: int = 5, exclude: Collection[str] = (), bound_fraction: float | None = 0.01
+    tables: Mapping[str, DataFrame],
+    k: int = 5,
+    exclude: Collection[str] = (),
+    small_table: int = 10_000,
 ) -> DataFrame:
-    """The k smallest distinct values per column, exact, over the whole table.
+    """The k smallest distinct values per (table, column), exact, over whole tables.
 
-    ``distinct`` would shuffle every distinct value of every column. The bounds
-    let each task drop, column by column, the values that cannot be among the k
-    smallest before anything is unpivoted or shuffled.
+    ``distinct`` alone would shuffle every distinct value of every column. Instead a
+    row sample gives k values per column that are known to occur, and the scan of
+    the whole table looks only for values that would displace them. Almost no row
+    has one, whether a column holds few values or many, so almost nothing is
+    unpivoted or shuffled. Tables of at most ``small_table`` rows are just scanned.
     """
-    names = sampled_columns(df, exclude)
-    texts = df.select(*[value_text(df, name).alias(name) for name in names])
-    if bound_fraction:
-        bounds = _upper_bounds(texts, k, bound_fraction)
-        texts = texts.select(
-            *[
-                F.when(F.col(f"`{name}`") <= bounds[name], F.col(f"`{name}`")).alias(name)
-                if name in bounds
-                else F.col(f"`{name}`")
-                for name in names
-            ]
+    known = _sampled_values(tables, k, exclude, small_table)
+    texts = {table: _unknown_texts(table, df, known, k, exclude) for table, df in tables.items()}
+    cells = _cells(texts)
+    if known:
+        spark = next(iter(tables.values())).sparkSession
+        rows = [(column, value, table) for (table, column), vs in known.items() for value in vs]
+        cells = cells.unionByName(
+            spark.createDataFrame(rows, "column_name string, value string, table_name string")
         )
-    return _smallest_values(texts, k)
+    return _smallest(cells, tables, k)
 
 
 def column_samples(
     tables: Mapping[str, DataFrame],
     k: int = 5,
     exclude: Collection[str] = (),
-    bound_fraction: float | None = 0.01,
+    small_table: int = 10_000,
 ) -> DataFrame:
     """Up to k distinct non-null values per (table, column) as a text array."""
-    parts = []
-    for table, df in tables.items():
-        values = column_values(df, k, exclude, bound_fraction)
-        # At most k values per column reach a group.
-        collected = values.groupBy("column_name").agg(
-            F.sort_array(F.collect_list("value")).alias("samples")
-        )
-        parts.append(collected.select(F.lit(table).alias("table_name"), "column_name", "samples"))
-    return union_all(parts)
+    values = column_values(tables, k, exclude, small_table)
+    # At most k values per column reach a group.
+    listed = values.groupBy("table_name", "column_name").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("ranked")
+    )
+    return listed.select("table_name", "column_name", F.col("ranked.value").alias("samples"))
 
 
 def _first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """n rows with their place; without an order any n rows, as a plain limit gives."""
+    """n rows with their place; without an order any n rows, as a plain limit gives.
+
+    The n-th smallest value of the first order column is found from that column
+    alone, so that the wide scan can skip the row groups above it.
+    """
     if not order:
         return df.limit(n).withColumn("row_no", F.monotonically_increasing_id() + 1)
+    lead = F.col(order[0])
+    bound = (
+        df.select(lead.alias("lead"))
+        .orderBy(F.asc_nulls_first("lead"))
+        .limit(n)
+        .agg(F.max("lead").alias("bound"))
+    )
+    candidates = df.where(lead.isNull() | (lead <= bound.scalar()))
     # Only n rows reach the window.
-    return df.orderBy(*order).limit(n).withColumn(
+    return candidates.orderBy(*order).limit(n).withColumn(
         "row_no", F.row_number().over(W.orderBy(*order)).cast("bigint")
     )
 
@@ -146,17 +239,17 @@ def table_samples(
     tables: Mapping[str, DataFrame], orders: Mapping[str, Sequence[str]], n: int = 3
 ) -> DataFrame:
     """Sample rows per table as arrays of JSON objects: table_name, row_samples."""
-    parts = []
-    for table, df in tables.items():
-        collected = sample_rows_json(df, orders.get(table, ()), n).agg(
-            F.sort_array(F.collect_list(F.struct("row_no", "row_json"))).alias("rows")
-        )
-        parts.append(
-            collected.select(
-                F.lit(table).alias("table_name"), F.col("rows.row_json").alias("row_samples")
-            )
-        )
-    return union_all(parts)
+    rows = union_all(
+        [
+            sample_rows_json(df, orders.get(table, ()), n).withColumn("table_name", F.lit(table))
+            for table, df in tables.items()
+        ]
+    )
+    # n rows per table reach a group.
+    collected = rows.groupBy("table_name").agg(
+        F.sort_array(F.collect_list(F.struct("row_no", "row_json"))).alias("rows")
+    )
+    return collected.select("table_name", F.col("rows.row_json").alias("row_samples"))
 
 
 def schema_preview(columns: DataFrame, shown: int = 10) -> DataFrame:

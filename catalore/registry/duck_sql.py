@@ -218,7 +218,7 @@ UPLOAD_ERRORS = "list_filter([{}], lambda x: x IS NOT NULL)".format(
 def samples_of(table: str, column: str) -> str:
     return (
         f"SELECT '{table}' AS table_name, '{column}' AS column_name, "
-        f"(SELECT list(v ORDER BY v) FROM (SELECT DISTINCT CAST({column} AS VARCHAR) AS v FROM {table} "
+        f"(SELECT list(CAST(v AS VARCHAR) ORDER BY v) FROM (SELECT DISTINCT {column} AS v FROM {table} "
         f"WHERE {column} IS NOT NULL ORDER BY v LIMIT 5)) AS samples"
     )
 
@@ -323,9 +323,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "items_append": using(
             "items",
-            f"""SELECT (SELECT max(id) FROM items) + row_number() OVER (ORDER BY schema_name NULLS FIRST, table_name NULLS FIRST,
- column_name NULLS FIRST, metadata_type NULLS FIRST, generation_method NULLS FIRST, generated_value NULLS FIRST) AS id, *
-FROM (SELECT catalog_name, schema_name, table_name, column_name, metadata_type, current_value AS original_value,
+            f"""SELECT (SELECT max(id) FROM items) + row_number() OVER (ORDER BY source_id) AS id, * EXCLUDE (source_id)
+FROM (SELECT id AS source_id, catalog_name, schema_name, table_name, column_name, metadata_type, current_value AS original_value,
  'Again: ' || generated_value AS generated_value, 'Again: ' || generated_value AS current_value, 'pending' AS status,
  generation_method, CAST(NULL AS VARCHAR) AS generation_prompt, CAST(NULL AS VARCHAR) AS generation_metadata,
  CAST(NULL AS VARCHAR) AS data_sample, {ITEM_TAIL}, 'ai_bulk_generator' AS created_by,
@@ -336,8 +335,8 @@ FROM (SELECT catalog_name, schema_name, table_name, column_name, metadata_type,
         ),
         "token_table_filter": using(
             "items",
-            "SELECT id, table_name FROM items WHERE contains(table_name || '_' || schema_name, table_name) "
-            "OR contains(table_name || '_' || schema_name, schema_name)",
+            """SELECT id, table_name FROM items WHERE column_name IS NOT NULL
+ AND (contains(generated_value, schema_name) OR (column_name <> '' AND contains(generated_value, column_name)))""",
         ),
         "column_level_items": using(
             "items", f"SELECT id, table_name, column_name FROM items WHERE {COLUMN_LEVEL}"

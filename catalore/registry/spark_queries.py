@@ -71,7 +71,7 @@ def items_filter(v: Views) -> DataFrame:
 def items_append(v: Views) -> DataFrame:
     """A second generator run: every item proposed again, with ids after the last one."""
     again = v.items.select(
-        F.col("id").alias("_source"),
+        F.col("id").alias("source_id"),
         "catalog_name",
         "schema_name",
         "table_name",
@@ -81,13 +81,8 @@ def items_append(v: Views) -> DataFrame:
         F.concat(F.lit("Again: "), "generated_value").alias("generated_value"),
         "generation_method",
     )
-    rows = store.to_items(again, "ai_bulk_generator", AS_OF)
-    # The store columns hold no order key, so new rows are numbered by their content.
-    order = [
-        "schema_name", "table_name", "column_name", "metadata_type", "generation_method",
-        "generated_value",
-    ]
-    return store.append_items(rows, v.items, order)
+    rows = store.to_items(again, "ai_bulk_generator", AS_OF, keep=["source_id"])
+    return store.append_items(rows, v.items, ["source_id"], key="source_id")
 
 
 @register
@@ -97,11 +92,11 @@ def table_name_filter(v: Views) -> DataFrame:
 
 @register
 def token_table_filter(v: Views) -> DataFrame:
-    """Name filter whose tokens come from a column."""
-    tokens = split_tokens(F.concat(F.col("generation_prompt"), F.lit(", "), "schema_name"))
-    return v.items.withColumn("tokens", F.transform(tokens, lambda t: F.replace(t, F.lit("Table: ")))).where(
-        name_matches_tokens(F.concat("table_name", F.lit("_"), "schema_name"), F.col("tokens"))
-    ).select("id", "table_name")
+    """Name filter whose comma list comes from a column."""
+    tokens = split_tokens(F.concat("schema_name", F.lit(", , "), "column_name"))
+    return v.items.where(name_matches_tokens(F.col("generated_value"), tokens)).select(
+        "id", "table_name"
+    )
 
 
 @register

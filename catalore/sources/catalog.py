@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalore.functions.text import filter_tokens
 from catalore.schemas import CATALOG_COLUMNS, CATALOG_TABLES
@@ -27,6 +29,18 @@ def full_name(*parts: str) -> str:
     return ".".join(quoted(part) for part in parts)
 
 
+def _listing(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A driver-side listing as a local relation, so that its size is known to the planner."""
+    arrow = {"string": pa.string(), "int": pa.int32()}
+    fields = [(f.name, arrow[f.dataType.simpleString()]) for f in schema]
+    columns = list(zip(*rows)) if rows else [() for _ in fields]
+    table = pa.table(
+        [pa.array(column, kind) for column, (_, kind) in zip(columns, fields)],
+        schema=pa.schema(fields),
+    )
+    return spark.createDataFrame(table, schema)
+
+
 def catalog_tables(
     spark: SparkSession,
     catalog: str,
@@ -41,7 +55,7 @@ def catalog_tables(
         for table in spark.catalog.listTables(full_name(catalog, schema))
         if not table.isTemporary and (not tokens or any(t in table.name for t in tokens))
     ]
-    rows = spark.createDataFrame(listed, CATALOG_TABLES).orderBy("table_name")
+    rows = _listing(spark, listed, CATALOG_TABLES).orderBy("table_name")
     return rows if limit is None else rows.limit(limit)
 
 
@@ -55,7 +69,7 @@ def columns_of(
         for ordinal, field in enumerate(df.schema, start=1)
         if limit is None or ordinal <= limit
     ]
-    return spark.createDataFrame(rows, CATALOG_COLUMNS)
+    return _listing(spark, rows, CATALOG_COLUMNS)
 
 
 def catalog_columns(

@@ -6,6 +6,7 @@ usual namespace filter prunes folders before any file is opened.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,23 +14,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalore.functions.clock import instant
-from catalore.functions.names import is_column_level
 from catalore.operators.numbering import with_row_number
 from catalore.schemas import HISTORY, IMPORT_ACTIONS, ITEMS, UPLOAD_TEMPLATE
 
 ITEM_PARTITIONS = ["catalog_name", "schema_name"]
 
 
+def _conformed(df: DataFrame, schema: T.StructType) -> list[Column]:
+    return [
+        (F.col(field.name) if field.name in df.columns else F.lit(None))
+        .cast(field.dataType)
+        .alias(field.name)
+        for field in schema
+    ]
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns of ``schema`` in order and type; absent ones become NULL."""
-    return df.select(
-        *[
-            (F.col(field.name) if field.name in df.columns else F.lit(None))
-            .cast(field.dataType)
-            .alias(field.name)
-            for field in schema
-        ]
-    )
+    return df.select(*_conformed(df, schema))
 
 
 def create_store(spark: SparkSession, database: str) -> None:
@@ -66,9 +68,16 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> Data
 
 
 def to_items(
-    rows: DataFrame, created_by: str | Column, as_of: datetime | Column, status: str = "pending"
+    rows: DataFrame,
+    created_by: str | Column,
+    as_of: datetime | Column,
+    status: str = "pending",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """New items with store defaults filled in, without ids."""
+    """New items with store defaults filled in, without ids.
+
+    ``keep`` names further columns to carry along, such as an order for the ids.
+    """
     clock = instant(as_of)
     author = F.lit(created_by) if isinstance(created_by, str) else created_by
     filled = rows.withColumns(
@@ -80,21 +89,21 @@ def to_items(
             "created_by": author,
         }
     )
-    return conform(filled, ITEMS).drop("id")
-
-
-def with_new_ids(new_rows: DataFrame, existing: DataFrame, order: list[str | Column]) -> DataFrame:
-    """Ids after the largest existing one, in the given order."""
-    largest = existing.select(F.coalesce(F.max("id"), F.lit(0)).alias("largest")).scalar()
-    numbered = with_row_number(new_rows, order, "_number")
-    return numbered.withColumn("id", F.col("_number") + largest).drop("_number")
+    without_id = T.StructType([field for field in ITEMS if field.name != "id"])
+    return filled.select(*_conformed(filled, without_id), *keep)
 
 
 def append_items(
-    new_items: DataFrame, existing: DataFrame, order: list[str | Column]
+    new_items: DataFrame, existing: DataFrame, order: list[str], key: str | None = None
 ) -> DataFrame:
-    """Item rows ready to be written with one append."""
-    return with_new_ids(new_items, existing, order).select(*ITEMS.fieldNames())
+    """Item rows ready to be written with one append.
+
+    Ids follow the largest existing one in the given total order. A unique ``key``
+    of the new rows, if there is one, spares sorting their texts.
+    """
+    largest = existing.select(F.coalesce(F.max("id"), F.lit(0)).alias("largest")).scalar()
+    numbered = with_row_number(new_items, order, "_number", key)
+    return conform(numbered.withColumn("id", F.col("_number") + largest), ITEMS)
 
 
 def _append(rows: DataFrame, table: str, partitions: list[str]) -> None:
@@ -129,7 +138,3 @@ def export_csv(items: DataFrame, path: str) -> None:
 
 def upload_template(items: DataFrame) -> DataFrame:
     return items.select(*UPLOAD_TEMPLATE)
-
-
-def level_label() -> Column:
-    return F.when(is_column_level(), "column").otherwise("table")
