@@ -211,36 +211,40 @@ def generation_stats(results: DataFrame) -> DataFrame:
     )
 
 
+def _newest_costs(items: DataFrame, n: int) -> DataFrame:
+    """Cost and token sums of the newest n items.
+
+    The JSON is parsed inside the aggregate: a projection of its fields on top of
+    the limit would part it from the sort, and Spark would sort every item.
+    """
+    newest = recent(items, "created_at", n, nulls_first=True).select("generation_metadata")
+    meta = parse_generation(F.col("generation_metadata"))
+    return newest.agg(
+        F.coalesce(F.sum(meta["cost_estimate"]), F.lit(0.0)).alias("total_cost"),
+        F.coalesce(F.sum(meta["tokens_used"]), F.lit(0)).alias("total_tokens"),
+        rows().alias("sampled"),
+    ).where(F.col("total_cost") > 0)
+
+
 def cost_extrapolation(items: DataFrame, successes: int, sample: int = 10) -> DataFrame:
     """Run cost from the newest items: mean cost (items without metadata count) x successes.
 
     No row when the sampled cost is zero.
     """
-    meta = parse_generation(F.col("generation_metadata"))
-    newest = recent(items, "created_at", sample, nulls_first=True).select(meta.alias("meta"))
-    sums = newest.agg(
-        F.coalesce(F.sum("meta.cost_estimate"), F.lit(0.0)).alias("cost"),
-        F.coalesce(F.sum("meta.tokens_used"), F.lit(0)).alias("tokens"),
-        rows().alias("sampled"),
-    ).where(F.col("cost") > 0)
-    average = F.col("cost") / F.col("sampled")
-    return sums.select(
+    average = F.col("total_cost") / F.col("sampled")
+    # Integral division, as the token estimate is a count.
+    tokens = F.expr(f"(total_tokens * {int(successes)}) div sampled")
+    return _newest_costs(items, sample).select(
         (average * successes).alias("estimated_total_cost"),
         average.alias("avg_cost"),
-        F.floor(F.col("tokens") * successes / F.col("sampled")).alias("estimated_tokens"),
+        tokens.alias("estimated_tokens"),
         "sampled",
     )
 
 
 def cost_total(items: DataFrame, successes: int) -> DataFrame:
     """Cost of the newest ``successes`` items; no row when it is zero."""
-    meta = parse_generation(F.col("generation_metadata"))
-    newest = recent(items, "created_at", successes, nulls_first=True).select(meta.alias("meta"))
-    sums = newest.agg(
-        F.coalesce(F.sum("meta.cost_estimate"), F.lit(0.0)).alias("total_cost"),
-        F.coalesce(F.sum("meta.tokens_used"), F.lit(0)).alias("total_tokens"),
-    ).where(F.col("total_cost") > 0)
-    return sums.select(
+    return _newest_costs(items, successes).select(
         "total_cost", (F.col("total_cost") / successes).alias("avg_cost"), "total_tokens"
     )
 
