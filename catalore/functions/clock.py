@@ -19,9 +19,10 @@ def relative_time(ts: Column, as_of: datetime | Column) -> Column:
     """Never / date / N days, hours or minutes ago / Just now.
 
     Limits are strict: 3600 s still reads "60 minutes ago" and 60 s "Just now".
-    Future times read "Just now".
+    Future times read "Just now". Wall clock times are subtracted as they are,
+    whatever the session time zone.
     """
-    seconds = F.timestamp_diff("SECOND", ts, instant(as_of))
+    seconds = (instant(as_of) - ts).cast("bigint")
     days = F.floor(seconds / 86400)
     rest = F.pmod(seconds, F.lit(86400))
 
@@ -52,4 +53,4 @@ def iso_text(ts: Column) -> Column:
 
 def seconds_between(start: Column, end: Column) -> Column:
     """Elapsed seconds with fraction."""
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1e6)
+    return (end - start).cast("interval second").cast("decimal(20, 6)").cast("double")

@@ -32,11 +32,6 @@ def acceptable() -> Column:
     )
 
 
-def known_actions(items: DataFrame, actions: DataFrame) -> DataFrame:
-    ids = items.select(F.col("id").alias("item_id"))
-    return actions.where(acceptable()).join(ids, "item_id", "left_semi")
-
-
 def unknown_reviews(items: DataFrame, actions: DataFrame) -> DataFrame:
     """Acceptable actions whose item does not exist."""
     ids = items.select(F.col("id").alias("item_id"))
@@ -71,8 +66,8 @@ def previous_actions(actions: DataFrame) -> DataFrame:
     in several partitions. ``lag`` runs within a partition; the first row of each
     partition takes over from the last row of the partition before.
     """
-    keys = actions.select("item_id", "ts", "action_id")
-    placed = fixed_order(keys, ["item_id", "ts", "action_id"], "position").withColumn(
+    order = ["item_id", "ts", "action_id"]
+    placed = fixed_order(actions.select(*order), order, "position").withColumn(
         "part", partition_of(F.col("position"))
     )
     within = W.partitionBy("part", "item_id").orderBy("position")
@@ -101,9 +96,13 @@ def review_audit_rows(items: DataFrame, actions: DataFrame) -> DataFrame:
     That is the value the action before it set, or the stored value for the first
     action. Both are fetched by joins on unique keys.
     """
-    applied = known_actions(items, actions)
-    linked = applied.join(previous_actions(applied).drop("item_id"), "action_id")
-    values = applied.select(
+    valid = actions.where(acceptable())
+    ids = items.select(F.col("id").alias("item_id"))
+    # Only the keys go through the check of the items and the sort; joined back by
+    # action they leave the applied actions.
+    keys = valid.select("item_id", "ts", "action_id").join(ids, "item_id", "left_semi")
+    linked = valid.join(previous_actions(keys).drop("item_id"), "action_id")
+    values = valid.select(
         F.col("action_id").alias("before"), F.col("new_value").alias("old_value")
     )
     later = linked.where(F.col("before").isNotNull()).join(values, "before")

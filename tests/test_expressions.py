@@ -113,6 +113,17 @@ def test_relative_time(one, seconds, shown):
     assert texts(one, [as_text], relative_time_text(c, AS_OF)) == [shown]
 
 
+def test_relative_time_ignores_the_session_zone(spark, one):
+    # The clocks go forward in New York between the two times.
+    before, after = datetime(2024, 3, 10, 1, 30), datetime(2024, 3, 10, 4, 30)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert one([(before,)], "x timestamp_ntz", relative_time(c, after)) == ["3 hours ago"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_relative_time_of_missing_and_unparseable(one):
     assert one([(None,)], "x timestamp_ntz", relative_time(c, AS_OF)) == ["Never"]
     assert texts(one, [None, "last week"], relative_time_text(c, AS_OF)) == ["Never", "last week"]
