@@ -17,6 +17,7 @@ from catalore.functions.names import is_column_level, qualified_name
 from catalore.functions.text import truncate_text
 from catalore.operators.items import newest_first
 from catalore.operators.numbering import with_row_number
+from catalore.operators.skew import join_spread
 from catalore.schemas import APPROVED_STATUSES, IMPORT_RESULTS, TABLE_KEYS
 
 # Statements per batch.
@@ -28,13 +29,15 @@ def _known_tables(catalog: DataFrame) -> DataFrame:
 
 
 def valid_tables(items: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Items whose table exists. Spark broadcasts the table list while its measured
-    size allows it and splits skewed tables of the items side otherwise."""
-    return items.join(_known_tables(catalog), TABLE_KEYS, "left_semi")
+    """Items whose table exists; one table may hold most of the items."""
+    kept = join_spread(items, _known_tables(catalog), TABLE_KEYS, "left_semi", spread_by="id")
+    return kept.select(*items.columns)
 
 
 def missing_tables(items: DataFrame, catalog: DataFrame) -> DataFrame:
-    return items.join(_known_tables(catalog), TABLE_KEYS, "left_anti")
+    """Items whose table is gone."""
+    kept = join_spread(items, _known_tables(catalog), TABLE_KEYS, "left_anti", spread_by="id")
+    return kept.select(*items.columns)
 
 
 def validation_counts(items: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -124,7 +127,7 @@ def verify_columns(applied: DataFrame, columns: DataFrame) -> DataFrame:
     actual = columns.select(
         *keys, F.col("comment").alias("actual"), F.lit(True).alias("found")
     )
-    return _compared(applied.join(actual, keys, "left"))
+    return _compared(join_spread(applied, actual, keys, "left", spread_by="id"))
 
 
 def verify_tables(applied: DataFrame, tables: DataFrame) -> DataFrame:
@@ -132,7 +135,7 @@ def verify_tables(applied: DataFrame, tables: DataFrame) -> DataFrame:
     actual = tables.select(
         *TABLE_KEYS, F.col("description").alias("actual"), F.lit(True).alias("found")
     )
-    return _compared(applied.join(actual, TABLE_KEYS, "left"))
+    return _compared(join_spread(applied, actual, TABLE_KEYS, "left", spread_by="id"))
 
 
 def _compared(joined: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from catalore.functions.names import (
     status_color,
 )
 from catalore.functions.text import name_matches
+from catalore.operators.skew import join_spread
 from catalore.schemas import APPROVED_STATUSES, ITEMS
 
 
@@ -87,18 +88,18 @@ def approved_items(
 def item_history(history: DataFrame, item_ids: DataFrame) -> DataFrame:
     """History of a set of items, newest first."""
     ids = item_ids.select(F.col("id").alias("metadata_item_id")).distinct()
-    return history.join(ids, "metadata_item_id", "left_semi").orderBy(*newest_first("timestamp"))
+    kept = join_spread(history, ids, ["metadata_item_id"], "left_semi", spread_by="id")
+    return kept.select(*history.columns).orderBy(*newest_first("timestamp"))
 
 
 def items_with_history(items: DataFrame, history: DataFrame) -> DataFrame:
     """Each item with each of its history rows; items without history once.
 
-    Written as inner join plus anti join: Spark splits a skewed side only where
-    its rows decide the output, so a left join could not split the history of one
-    very busy item, while the inner join can.
+    The history is the side that may be skewed, so it is joined from the left and
+    the items without history come in by themselves.
     """
     log = history.select(
-        F.col("metadata_item_id"),
+        F.col("metadata_item_id").alias("id"),
         F.col("id").alias("history_id"),
         "action",
         "old_value",
@@ -106,10 +107,9 @@ def items_with_history(items: DataFrame, history: DataFrame) -> DataFrame:
         "user_name",
         "timestamp",
     )
-    matched = items.join(log, items["id"] == log["metadata_item_id"]).drop("metadata_item_id")
-    touched = history.select(F.col("metadata_item_id").alias("id")).distinct()
-    silent = items.join(touched, "id", "left_anti")
-    return matched.unionByName(silent, allowMissingColumns=True)
+    matched = join_spread(log, items, ["id"], "inner", spread_by="history_id")
+    silent = items.join(log.select("id").distinct(), "id", "left_anti")
+    return silent.unionByName(matched, allowMissingColumns=True)
 
 
 def changed_history(history: DataFrame) -> DataFrame:

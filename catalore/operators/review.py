@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalore.operators.numbering import fixed_order, partition_of, place_of
+from catalore.operators.skew import join_spread
 from catalore.schemas import ITEMS, REVIEW_STATUSES
 
 
@@ -32,10 +33,15 @@ def acceptable() -> Column:
     )
 
 
+def _item_ids(items: DataFrame) -> DataFrame:
+    return items.select(F.col("id").alias("item_id"))
+
+
 def unknown_reviews(items: DataFrame, actions: DataFrame) -> DataFrame:
     """Acceptable actions whose item does not exist."""
-    ids = items.select(F.col("id").alias("item_id"))
-    return actions.where(acceptable()).join(ids, "item_id", "left_anti")
+    valid = actions.where(acceptable())
+    kept = join_spread(valid, _item_ids(items), ["item_id"], "left_anti", spread_by="action_id")
+    return kept.select(*actions.columns)
 
 
 def rejected_reviews(items: DataFrame, actions: DataFrame) -> DataFrame:
@@ -97,10 +103,15 @@ def review_audit_rows(items: DataFrame, actions: DataFrame) -> DataFrame:
     action. Both are fetched by joins on unique keys.
     """
     valid = actions.where(acceptable())
-    ids = items.select(F.col("id").alias("item_id"))
     # Only the keys go through the check of the items and the sort; joined back by
     # action they leave the applied actions.
-    keys = valid.select("item_id", "ts", "action_id").join(ids, "item_id", "left_semi")
+    keys = join_spread(
+        valid.select("item_id", "ts", "action_id"),
+        _item_ids(items),
+        ["item_id"],
+        "left_semi",
+        spread_by="action_id",
+    )
     linked = valid.join(previous_actions(keys).drop("item_id"), "action_id")
     values = valid.select(
         F.col("action_id").alias("before"), F.col("new_value").alias("old_value")

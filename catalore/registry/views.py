@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from catalore.functions.text import truncate_text
 from catalore.operators.items import approved_items
+from catalore.operators.skew import join_spread
 
 STAR_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
@@ -217,10 +218,11 @@ class Views:
         """Outcomes recorded in the history, with the item they belong to."""
         outcomes = self.history.where(F.col("action").isin("imported", "import_failed")).select(
             F.col("metadata_item_id").alias("id"),
+            F.col("id").alias("history_id"),
             (F.col("action") == "imported").alias("success"),
             F.col("comment").alias("message"),
         )
-        return outcomes.join(self.items, "id").select(
+        return join_spread(outcomes, self.items, ["id"], "inner", spread_by="history_id").select(
             "id",
             "catalog_name",
             "schema_name",
