@@ -85,6 +85,12 @@ def approved_items(
     return kept.where(name_matches(F.col("table_name"), table_filter))
 
 
+def history_of(history: DataFrame, item_id: int) -> DataFrame:
+    """History of one item, newest first."""
+    kept = history.where(F.col("metadata_item_id") == item_id)
+    return kept.orderBy(*newest_first("timestamp"))
+
+
 def item_history(history: DataFrame, item_ids: DataFrame) -> DataFrame:
     """History of a set of items, newest first."""
     ids = item_ids.select(F.col("id").alias("metadata_item_id")).distinct()

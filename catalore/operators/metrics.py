@@ -249,6 +249,23 @@ def cost_total(items: DataFrame, successes: int) -> DataFrame:
     )
 
 
+def recent_quality(items: DataFrame, n: int) -> DataFrame:
+    """Lengths and token counts of the newest n descriptions."""
+    newest = recent(items, "created_at", n, nulls_first=True).select(
+        "generated_value", "generation_metadata"
+    )
+    length = F.length("generated_value").cast("bigint")
+    tokens = parse_generation(F.col("generation_metadata"))["tokens_used"]
+    return newest.agg(
+        F.avg(length).alias("avg_length"),
+        F.min(length).alias("min_length"),
+        F.max(length).alias("max_length"),
+        F.avg(tokens).alias("avg_tokens"),
+        F.min(tokens).alias("min_tokens"),
+        F.max(tokens).alias("max_tokens"),
+    )
+
+
 def import_stats(results: DataFrame) -> DataFrame:
     """Import outcome per table, with full / partial / none as its class."""
     counted = results.groupBy(*TABLE_KEYS).agg(

@@ -39,11 +39,11 @@ def with_row_number(
 ) -> DataFrame:
     """``df`` with its row number in a total order.
 
-    With a unique ``key`` only the key and the order columns named in ``order``
-    are sorted and kept, and the numbers are joined back to the wide rows.
+    With a unique ``key`` only it and the order, then column names, are sorted and
+    kept, and the numbers are joined back to the wide rows.
     """
     if key is not None:
-        narrow = df.select(*{key: 0, **{c: 0 for c in order}})
+        narrow = df.select(*dict.fromkeys([key, *order]))
         return df.join(with_row_number(narrow, order, name).select(key, name), key)
     placed = fixed_order(df, order, "_position")
     counts = placed.groupBy(partition_of(F.col("_position")).alias("_partition")).agg(

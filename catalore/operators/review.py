@@ -1,7 +1,7 @@
 """Reviews as one set-based step: actions in, new item state and audit rows out.
 
-Actions take effect in the order of (ts, action_id). Nothing here groups the
-actions of one item in one place: an item may hold any share of them.
+Actions take effect in the order of (ts, action_id). An item may hold any share of
+them: aggregates are partial, and no task gets all actions of a busy item.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalore.operators.numbering import fixed_order, partition_of, place_of
-from catalore.operators.skew import join_spread
+from catalore.operators.skew import ROWS_PER_SPLIT, hot_keys, join_spread
 from catalore.schemas import ITEMS, REVIEW_STATUSES
+from catalore.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -96,39 +97,68 @@ def previous_actions(actions: DataFrame) -> DataFrame:
     )
 
 
-def review_audit_rows(items: DataFrame, actions: DataFrame) -> DataFrame:
-    """One audit row per applied action; the old value is what it replaced.
+def _audit_columns() -> list[Column]:
+    return [
+        F.col("action_id").alias("id"),
+        F.col("item_id").alias("metadata_item_id"),
+        F.col("status").alias("action"),
+        F.col("old_value"),
+        F.col("new_value"),
+        F.col("comment"),
+        F.col("reviewed_by").alias("user_name"),
+        F.col("ts").alias("timestamp"),
+    ]
 
-    That is the value the action before it set, or the stored value for the first
-    action. Both are fetched by joins on unique keys.
+
+def _audit_by_item(stored: DataFrame, actions: DataFrame) -> DataFrame:
+    """Audit rows of items whose actions fit a task: join and window share one shuffle."""
+    in_order = W.partitionBy("item_id").orderBy("ts", "action_id")
+    before = F.lag("new_value").over(in_order)
+    return (
+        actions.join(stored, "item_id")
+        .withColumn("old_value", F.coalesce(before, F.col("current_value")))
+        .select(*_audit_columns())
+    )
+
+
+def _audit_of_busy_items(stored: DataFrame, actions: DataFrame) -> DataFrame:
+    """Audit rows of items with more actions than a task should hold.
+
+    Only keys are sorted; the old values come by joins on unique keys: from the
+    action before, or from the item for its first action.
     """
-    valid = actions.where(acceptable())
-    # Only the keys go through the check of the items and the sort; joined back by
-    # action they leave the applied actions.
-    keys = join_spread(
-        valid.select("item_id", "ts", "action_id"),
-        _item_ids(items),
-        ["item_id"],
-        "left_semi",
-        spread_by="action_id",
+    keys = actions.select("item_id", "ts", "action_id")
+    known = join_spread(
+        keys, stored.select("item_id"), ["item_id"], "left_semi", spread_by="action_id"
     )
-    linked = valid.join(previous_actions(keys).drop("item_id"), "action_id")
-    values = valid.select(
+    linked = actions.join(previous_actions(known).drop("item_id"), "action_id")
+    values = actions.select(
         F.col("action_id").alias("before"), F.col("new_value").alias("old_value")
     )
     later = linked.where(F.col("before").isNotNull()).join(values, "before")
-    stored = items.select(F.col("id").alias("item_id"), F.col("current_value").alias("old_value"))
-    first = linked.where(F.col("before").isNull()).join(stored, "item_id")
-    return later.unionByName(first).select(
-        F.col("action_id").alias("id"),
-        F.col("item_id").alias("metadata_item_id"),
-        F.col("status").alias("action"),
-        "old_value",
-        "new_value",
-        "comment",
-        F.col("reviewed_by").alias("user_name"),
-        F.col("ts").alias("timestamp"),
+    first = linked.where(F.col("before").isNull()).join(
+        stored.withColumnRenamed("current_value", "old_value"), "item_id"
     )
+    return later.select(*_audit_columns()).unionByName(first.select(*_audit_columns()))
+
+
+def review_audit_rows(
+    items: DataFrame, actions: DataFrame, busy_above: int = ROWS_PER_SPLIT
+) -> DataFrame:
+    """One audit row per applied action, with the value it replaced.
+
+    That is the value the action before it set, or the stored value for the first
+    action. Items with more than ``busy_above`` actions are treated apart.
+    """
+    valid = actions.where(acceptable())
+    stored = items.select(F.col("id").alias("item_id"), "current_value")
+    # At most actions / busy_above items.
+    busy = cut_lineage(hot_keys(valid, ["item_id"], busy_above).select("item_id"))
+    if busy.isEmpty():
+        return _audit_by_item(stored, valid)
+    rest = valid.join(F.broadcast(busy), "item_id", "left_anti")
+    crowded = valid.join(F.broadcast(busy), "item_id", "left_semi")
+    return _audit_by_item(stored, rest).unionByName(_audit_of_busy_items(stored, crowded))
 
 
 def reviewed_items(items: DataFrame, actions: DataFrame) -> DataFrame:
@@ -154,6 +184,24 @@ def reviewed_items(items: DataFrame, actions: DataFrame) -> DataFrame:
     )
 
 
+def actions_of(history: DataFrame) -> DataFrame:
+    """Review rows of the history as actions; import rows are left out."""
+    return history.where(F.col("action").isin(REVIEW_STATUSES)).select(
+        F.col("id").alias("action_id"),
+        F.col("metadata_item_id").alias("item_id"),
+        "new_value",
+        F.col("action").alias("status"),
+        F.col("user_name").alias("reviewed_by"),
+        "comment",
+        F.col("timestamp").alias("ts"),
+    )
+
+
+def current_items(items: DataFrame, history: DataFrame) -> DataFrame:
+    """Items as the history leaves them: the view to read while reviews are only logged."""
+    return reviewed_items(items, actions_of(history))
+
+
 def apply_reviews(items: DataFrame, actions: DataFrame) -> ReviewOutcome:
     return ReviewOutcome(
         items=reviewed_items(items, actions),

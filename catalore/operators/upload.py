@@ -13,7 +13,7 @@ from catalore.functions.rules import (
     valid_metadata_type,
     value_error,
 )
-from catalore.schemas import METADATA_TYPES, TABLE_KEYS, UPLOAD_REQUIRED
+from catalore.schemas import METADATA_TYPES, UPLOAD_REQUIRED
 
 # How many invalid type values the one-line message spells out; upload_invalid_types
 # has them all.
@@ -155,5 +155,6 @@ def split_upload(upload: DataFrame) -> UploadSplit:
     )
 
 
-def tables_of(upload: DataFrame) -> DataFrame:
-    return upload.select(*TABLE_KEYS).distinct()
+def preview(upload: DataFrame, n: int = 10) -> DataFrame:
+    """The first rows of the file, for the uploader to look at."""
+    return upload.limit(n)

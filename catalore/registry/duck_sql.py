@@ -506,6 +506,21 @@ FROM ({NEWEST_META} 10) HAVING sum(cost) > 0""",
             "items",
             f"""SELECT round(sum(cost), 6) AS total_cost, round(sum(cost) / 200, 6) AS avg_cost, CAST(sum(tokens) AS BIGINT) AS total_tokens
 FROM ({NEWEST_META} 200) HAVING sum(cost) > 0""",
+        ),
+        "recent_quality": using(
+            "items",
+            f"""SELECT round(avg(length(generated_value)), 6) AS avg_length, min(length(generated_value)) AS min_length,
+ max(length(generated_value)) AS max_length, round(avg(tokens), 6) AS avg_tokens, min(tokens) AS min_tokens, max(tokens) AS max_tokens
+FROM (SELECT generated_value, {meta('tokens_used', 'BIGINT')} AS tokens FROM items WHERE schema_name = 'en'
+ ORDER BY created_at DESC NULLS FIRST, id DESC LIMIT 200)""",
+        ),
+        "current_items": using(
+            "items history",
+            """SELECT i.id, coalesce(h.new_value, i.current_value) AS current_value, coalesce(h.action, i.status) AS status,
+ coalesce(h.timestamp, i.updated_at) AS updated_at, coalesce(h.user_name, i.reviewed_by) AS reviewed_by,
+ coalesce(h.timestamp, i.reviewed_at) AS reviewed_at
+FROM items i LEFT JOIN (SELECT * FROM history WHERE action IN ('approved', 'edited', 'rejected') AND new_value IS NOT NULL
+ QUALIFY row_number() OVER (PARTITION BY metadata_item_id ORDER BY timestamp DESC, id DESC) = 1) h ON h.metadata_item_id = i.id""",
         ),
         "apply_reviews": using(
             "items acceptable",

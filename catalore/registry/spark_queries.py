@@ -332,6 +332,12 @@ def cost_total(v: Views) -> DataFrame:
     return costs.withColumns({n: F.round(n, 6) for n in ("total_cost", "avg_cost")})
 
 
+@register
+def recent_quality(v: Views) -> DataFrame:
+    found = metrics.recent_quality(item_ops.filter_items(v.items, schema_name="en"), SUCCESSES)
+    return found.withColumns({n: F.round(n, 6) for n in ("avg_length", "avg_tokens")})
+
+
 # --- reviews -----------------------------------------------------------------
 
 
@@ -342,6 +348,13 @@ def apply_reviews(v: Views) -> DataFrame:
     )
 
 
+@register
+def current_items(v: Views) -> DataFrame:
+    return review.current_items(v.items, v.history).select(
+        "id", "current_value", "status", "updated_at", "reviewed_by", "reviewed_at"
+    )
+
+
 @register
 def review_audit_rows(v: Views) -> DataFrame:
     return review.apply_reviews(v.items, v.actions).audit

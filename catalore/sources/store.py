@@ -114,6 +114,23 @@ def write_items(items: DataFrame, database: str) -> None:
     _append(conform(items, ITEMS), f"{database}.metadata_items", ITEM_PARTITIONS)
 
 
+def replace_items(items: DataFrame, database: str) -> None:
+    """Rewrite the items, for example with reviews folded in.
+
+    The new rows are written in full next to the old ones before the tables change
+    places, so ``items`` may be computed from the table it replaces.
+    """
+    spark, table = items.sparkSession, f"{database}.metadata_items"
+    spark.sql(f"DROP TABLE IF EXISTS {table}_next")
+    spark.sql(f"DROP TABLE IF EXISTS {table}_previous")
+    _append(conform(items, ITEMS), f"{table}_next", ITEM_PARTITIONS)
+    spark.sql(f"ALTER TABLE {table} RENAME TO {table}_previous")
+    spark.sql(f"ALTER TABLE {table}_next RENAME TO {table}")
+    # A rename moves the folders but not what the catalog noted about partitions.
+    spark.catalog.recoverPartitions(table)
+    spark.catalog.recoverPartitions(f"{table}_previous")
+
+
 def write_history(history: DataFrame, database: str) -> None:
     conform(history, HISTORY).write.mode("append").insertInto(f"{database}.approval_history")
 

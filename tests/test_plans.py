@@ -49,7 +49,7 @@ def test_single_partition_exchanges_carry_bounded_rows(plans):
 
 def test_top_n_never_sorts_everything(plans):
     tops = (
-        "recent_activity activity_timeline cost_total cost_extrapolation frame_summary "
+        "recent_activity activity_timeline cost_total cost_extrapolation frame_summary recent_quality "
         "table_sample sample_json table_generation_inputs table_prompts import_preview"
     )
     for name in tops.split():

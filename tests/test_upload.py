@@ -1,10 +1,23 @@
 from datetime import datetime
 
 from catalore.operators import upload as ops
+from catalore.operators.items import history_of
+from catalore.operators.review import apply_reviews, current_items
 from catalore.plans.uploading import upload_items
 from catalore.sources import uploads
-from catalore.sources.store import export_csv, read_items, upload_template, write_items, create_store
-from catalore.sources.store import append_items, to_items, write_history, read_history, import_history_rows
+from catalore.sources.store import (
+    append_items,
+    create_store,
+    export_csv,
+    import_history_rows,
+    read_history,
+    read_items,
+    replace_items,
+    to_items,
+    upload_template,
+    write_history,
+    write_items,
+)
 
 HEADER = "catalog_name,schema_name,table_name,metadata_type,generated_value,column_name"
 AS_OF = datetime(2024, 3, 10, 12, 0, 0)
@@ -75,6 +88,7 @@ def test_report_counts_the_values_it_does_not_name(spark):
     message = ops.upload_report(frame).first()["message"]
     assert message.count("'kind ") == 20 and " and 10 more]" in message
     assert ops.invalid_types(frame).count() == 30
+    assert ops.preview(frame).count() == 10
     assert ops.upload_summary(frame, approximate=True).first()["total_rows"] == 30
 
 
@@ -99,6 +113,21 @@ def test_store_round_trip(spark, tmp_path):
     actions = [r["action"] for r in read_history(spark, "tracking").orderBy("metadata_item_id").collect()]
     assert actions == ["import_failed", "import_failed", "imported", "imported"]
 
-    export_csv(upload_template(stored), str(tmp_path / "out"))
+    review = spark.createDataFrame(
+        [(1, 3, "better", "edited", "r", None, AS_OF)],
+        "action_id long, item_id long, new_value string, status string, reviewed_by string, comment string, ts timestamp_ntz",
+    )
+    outcome = apply_reviews(stored, review)
+    write_history(outcome.audit, "tracking")
+    viewed = current_items(stored, read_history(spark, "tracking")).where("id = 3").first()
+    assert (viewed["current_value"], viewed["status"]) == ("better", "edited")
+    replace_items(outcome.items, "tracking")
+    replace_items(read_items(spark, "tracking"), "tracking")
+    stored = read_items(spark, "tracking")
+    assert stored.count() == 4
+    assert stored.where("id = 3").first()["current_value"] == "better"
+    assert history_of(read_history(spark, "tracking"), 3).first()["action"] in ("edited", "imported")
+
+    export_csv(upload_template(stored.where("id <= 2")), str(tmp_path / "out"))
     again = uploads.read_upload(spark, str(tmp_path / "out"))
     assert again.where("column_name = 'b'").first()["generated_value"] == 'say "hi",\nnow'
