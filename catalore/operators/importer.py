@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -175,12 +177,14 @@ def apply_plan(
     level: str,
     is_dry_run: bool = True,
     results_path: str | None = None,
+    workers: int = 8,
 ) -> DataFrame:
-    """Run the statements of a batched plan in order and give their results.
+    """Run the statements of a batched plan and give their results.
 
-    Statements run on the driver, as all catalog changes do. The outcomes of each
-    batch are appended to ``results_path`` before the next one starts, so the
-    driver holds one batch at a time and leaves a record if it is lost.
+    Statements run on the driver, as all catalog changes do: batch after batch, and
+    within a batch one table's statements in order, different tables side by side.
+    The outcomes of each batch are appended to ``results_path`` before the next one
+    starts, so the driver holds one batch at a time and leaves a record if it is lost.
     """
     if is_dry_run:
         return dry_run(plan)
@@ -200,7 +204,14 @@ def apply_plan(
         "position",
         "batch_no",
     ).orderBy("position")
+    def run_table(rows: list[Row]) -> list[tuple]:
+        return [(*row[:6], *_execute(spark, row, level)) for row in rows]
+
     save([])  # an empty run has an empty result
-    for _, batch in groupby(statements.toLocalIterator(), key=lambda row: row.batch_no):
-        save([(*row[:6], *_execute(spark, row, level)) for row in batch])
+    with ThreadPoolExecutor(workers) as pool:
+        for _, batch in groupby(statements.toLocalIterator(), key=lambda row: row.batch_no):
+            by_table: dict[tuple, list[Row]] = defaultdict(list)
+            for row in batch:
+                by_table[row.catalog_name, row.schema_name, row.table_name].append(row)
+            save([outcome for done in pool.map(run_table, by_table.values()) for outcome in done])
     return spark.read.schema(IMPORT_RESULTS).parquet(results_path)

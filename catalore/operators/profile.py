@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalore.functions.text import cell_text
+from catalore.session import estimated_bytes
 
 COMPLEX = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 # Types in which text and stored value order alike or are ranked by value.
@@ -93,20 +94,25 @@ def _smallest(cells: DataFrame, tables: Mapping[str, DataFrame], k: int) -> Data
     return ranked.where(F.col("rank") <= k)
 
 
+def _rough_rows(df: DataFrame) -> float:
+    """Rows to expect if a stored value takes four bytes."""
+    return max(1.0, estimated_bytes(df) / (4 * len(df.columns)))
+
+
 def _sampled_values(
-    tables: Mapping[str, DataFrame], k: int, exclude: Collection[str], small_table: int
+    tables: Mapping[str, DataFrame], k: int, exclude: Collection[str], small_bytes: int
 ) -> dict[tuple[str, str], list[str]]:
     """The k smallest values per column of a row sample of each large table.
 
     Of n rows sqrt(k / n) are sampled: then the sample and the values that turn out
-    smaller than its k smallest are about equally few. At most k values per column
-    come back to the driver.
+    smaller than its k smallest are about equally few. A rough n will do, as it
+    decides on work and not on results; it fits stored tables, whose size is known. At most k values per column come back to
+    the driver.
     """
-    counts = {row["table_name"]: row["row_count"] for row in table_row_counts(tables).collect()}
     sampled = {
-        table: df.sample(fraction=(k / counts[table]) ** 0.5, seed=17)
+        table: df.sample(fraction=min(1.0, (k / _rough_rows(df)) ** 0.5), seed=17)
         for table, df in tables.items()
-        if counts[table] > small_table
+        if estimated_bytes(df) > small_bytes
     }
     if not sampled:
         return {}
@@ -158,7 +164,7 @@ def column_values(
     tables: Mapping[str, DataFrame],
     k: int = 5,
     exclude: Collection[str] = (),
-    small_table: int = 10_000,
+    small_bytes: int = 1_000_000,
 ) -> DataFrame:
     """The k smallest distinct values per (table, column), exact, over whole tables.
 
@@ -166,9 +172,9 @@ def column_values(
     row sample gives k values per column that are known to occur, and the scan of
     the whole table looks only for values that would displace them. Almost no row
     has one, whether a column holds few values or many, so almost nothing is
-    unpivoted or shuffled. Tables of at most ``small_table`` rows are just scanned.
+    unpivoted or shuffled. Tables of at most ``small_bytes`` are just scanned.
     """
-    known = _sampled_values(tables, k, exclude, small_table)
+    known = _sampled_values(tables, k, exclude, small_bytes)
     texts = {table: _unknown_texts(table, df, known, k, exclude) for table, df in tables.items()}
     cells = _cells(texts)
     if known:
@@ -184,10 +190,10 @@ def column_samples(
     tables: Mapping[str, DataFrame],
     k: int = 5,
     exclude: Collection[str] = (),
-    small_table: int = 10_000,
+    small_bytes: int = 1_000_000,
 ) -> DataFrame:
     """Up to k distinct non-null values per (table, column) as a text array."""
-    values = column_values(tables, k, exclude, small_table)
+    values = column_values(tables, k, exclude, small_bytes)
     # At most k values per column reach a group.
     listed = values.groupBy("table_name", "column_name").agg(
         F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("ranked")

@@ -14,13 +14,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalore.session import estimated_bytes
+
 ROWS_PER_SPLIT = 1_000_000
 
 
 def will_broadcast(df: DataFrame) -> bool:
     """Whether the estimated size is within the limit up to which Spark broadcasts."""
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= limit
+    return estimated_bytes(df) <= limit
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows_per_split: int) -> DataFrame:

@@ -52,6 +52,11 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The size the optimizer expects; file sizes where ``df`` reads files."""
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to a table in the shared folder and go on from there.
 

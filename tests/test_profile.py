@@ -20,7 +20,7 @@ def brute_force(rows, names, numeric, k):
 
 
 @pytest.fixture(scope="module")
-def mixed(spark):
+def mixed(spark, tmp_path_factory):
     rng = random.Random(5)
     rows = []
     for i in range(5000):
@@ -37,13 +37,15 @@ def mixed(spark):
         )
     names = ["number", "name", "flag", "price", "at", "rare", "nothing"]
     schema = "number long, name string, flag string, price decimal(9,2), at timestamp_ntz, rare string, nothing int"
-    return rows, names, spark.createDataFrame(rows, schema).repartition(6)
+    path = str(tmp_path_factory.mktemp("mixed") / "rows")
+    spark.createDataFrame(rows, schema).repartition(6).write.parquet(path)
+    return rows, names, spark.read.parquet(path)
 
 
-@pytest.mark.parametrize("small_table", [0, 10**9])
-def test_column_samples_are_the_smallest_values(mixed, small_table):
+@pytest.mark.parametrize("small_bytes", [0, 10**15])
+def test_column_samples_are_the_smallest_values(mixed, small_bytes):
     rows, names, df = mixed
-    found = profile.column_samples({"t": df}, k=5, small_table=small_table).collect()
+    found = profile.column_samples({"t": df}, k=5, small_bytes=small_bytes).collect()
     expected = brute_force(rows, names, {"number", "price"}, 5)
     assert {r["column_name"]: r["samples"] for r in found} == expected
 
@@ -64,7 +66,7 @@ def test_column_samples_of_other_types(spark):
         F.col("id").alias("secret"),
         F.lit(1).alias("odd name"),
     )
-    found = profile.column_samples({"t": df}, k=2, exclude=["secret"], small_table=0).collect()
+    found = profile.column_samples({"t": df}, k=2, exclude=["secret"], small_bytes=0).collect()
     assert {r["column_name"]: r["samples"] for r in found} == {
         "list": ["[0]", "[10]"],  # ranked as text
         "record": ['{"id":0}', '{"id":10}'],
