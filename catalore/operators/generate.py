@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from catalore.functions.genmeta import COST_PER_TOKEN, generation_record
 from catalore.functions.names import blank_to_null
+from catalore.session import cut_lineage
 
 # A describer gets a batch of rows (at least table_name, column_name, prompt) and
 # gives one row each, in order, with these columns (absent ones count as missing).
@@ -72,7 +73,9 @@ def describe(
     """``prompts`` plus the outcome columns.
 
     ``partitions`` bounds how many calls run at once; by default every task of
-    the input describes its own rows.
+    the input describes its own rows. The answers of a caller's function may be
+    paid for and differ from call to call, so they are written once and read from
+    there; the template just runs again.
     """
     source = prompts.repartition(partitions) if partitions else prompts
     schema = T.StructType(list(prompts.schema.fields) + list(OUTCOME.fields))
@@ -86,7 +89,8 @@ def describe(
             answer[texts] = answer[texts].astype(object).where(answer[texts].notna(), None)
             yield pd.concat([batch, answer], axis=1)
 
-    return source.mapInPandas(run, schema)
+    described = source.mapInPandas(run, schema)
+    return described if fn is template_describer else cut_lineage(described)
 
 
 def fallback_text() -> Column:

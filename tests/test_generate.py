@@ -53,6 +53,19 @@ def test_table_fallback_names_the_table(spark):
     assert done["generated_value"] == "Auto-generated description for orders table"
 
 
+def test_answers_are_asked_for_once(spark):
+    def changing(batch):
+        import uuid
+
+        return pd.DataFrame({"description": [uuid.uuid4().hex for _ in range(len(batch))]})
+
+    asked = spark.range(20).selectExpr("'t' AS table_name", "string(id) AS column_name", "'p' AS prompt")
+    answers = describe(asked, changing, partitions=3)
+    first = {r["column_name"]: r["description"] for r in answers.collect()}
+    assert {r["column_name"]: r["description"] for r in answers.orderBy("prompt").collect()} == first
+    assert len(set(first.values())) == 20
+
+
 def test_prompt_switches(spark):
     inputs = spark.createDataFrame(
         [("t", "a", "int", ["1", "2", "3", "4"]), ("t", "b", "int", None)],
