@@ -400,7 +400,7 @@ FROM items i LEFT JOIN history h ON h.metadata_item_id = i.id""",
             "items",
             f"SELECT {listed('updated_at')} FROM items ORDER BY updated_at DESC NULLS LAST, id DESC LIMIT 20",
         ),
-        "relative_times": using("history", f"SELECT id, {ago('timestamp')} AS shown FROM history"),
+        "relative_time": using("history", f"SELECT id, {ago('timestamp')} AS shown FROM history"),
         "status_colors": using(
             "history", f"SELECT id, action, {COLOR.format('action')} AS color FROM history"
         ),
@@ -422,7 +422,7 @@ FROM items i LEFT JOIN history h ON h.metadata_item_id = i.id""",
         ),
         "sanitize_text": f"SELECT page_id, coalesce(trim(translate(html, {lit(UNSAFE_CHARACTERS)}, ''), {lit(BLANKS)}), '') AS clean FROM pages",
         "ddl_escape": f"SELECT page_id, coalesce({ESCAPED.format('html')}, 'NULL') AS escaped FROM pages",
-        "highlighted_changes": using(
+        "highlight_changes": using(
             "history",
             """SELECT id, CASE WHEN old_value IS NOT DISTINCT FROM new_value THEN new_value
  ELSE '~~' || coalesce(old_value, 'None') || '~~ → **' || coalesce(new_value, 'None') || '**' END AS shown FROM history""",

@@ -41,7 +41,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def register(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    # A trailing underscore keeps a query apart from the expression of its name.
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -177,7 +178,7 @@ def activity_timeline(v: Views) -> DataFrame:
 
 
 @register
-def relative_times(v: Views) -> DataFrame:
+def relative_time_(v: Views) -> DataFrame:
     return v.history.select("id", relative_time(F.col("timestamp"), AS_OF).alias("shown"))
 
 
@@ -229,7 +230,7 @@ def ddl_escape(v: Views) -> DataFrame:
 
 
 @register
-def highlighted_changes(v: Views) -> DataFrame:
+def highlight_changes_(v: Views) -> DataFrame:
     return v.history.select(
         "id", highlight_changes(F.col("old_value"), F.col("new_value")).alias("shown")
     )
