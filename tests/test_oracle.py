@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from catalore.registry.duck_sql import oracle_sql
+from catalore.registry.spark_queries import queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
