@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalore.llm import byte_bpe, exact_dedup, token_files
+from catalore.llm import byte_bpe, exact_dedup, pii, secret_scan, token_files
 from catalore.llm.common import documents
 
 
@@ -15,11 +15,19 @@ from catalore.llm.common import documents
 END_ID = 2
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_files.token_digests(documents(spark, sf_dir), path, END_ID)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(documents(spark, sf_dir))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
@@ -30,4 +38,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op6_byte_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_token_files, op3_secret_scan, op6_byte_bpe, op10_exact_dedup)}
