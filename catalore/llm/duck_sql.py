@@ -16,6 +16,62 @@ WITH hashed AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked
 """
 
+def count_of(column: str, marks: str) -> str:
+    """How often the characters of ``marks`` occur."""
+    return " + ".join(
+        f"length({column}) - length(replace({column}, '{mark}', ''))" for mark in marks
+    )
+
+
+def any_of(column: str, marks: str) -> str:
+    return " OR ".join(f"contains({column}, '{mark}')" for mark in marks)
+
+
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+QUALITY = f"""
+WITH given AS (
+  SELECT doc_id, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS words
+  FROM documents
+), lines AS (
+  SELECT doc_id, line, len({WORDS.format('line')}) AS n, lower(line) AS low FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM given)
+), judged AS (
+  SELECT doc_id, line, n,
+    3 * ({count_of('line', '!')}) > n + 5 OR 3 * ({count_of('line', '#*$%&<>')}) > n + 5
+    OR NOT ({any_of('line', '.!?…。！？')})
+    OR 4 * ({count_of('line', '|>»›•·')}) > n
+    OR (n <= 30 AND regexp_matches(low, 'all rights reserved|terms of use|terms of service|privacy policy|cookie policy|uses cookies|accept cookies|enable javascript|lorem ipsum|click here|sign up for|subscribe to|log in to|read more|share this|skip to content|back to top|page not found|advertisement')) AS failed
+  FROM lines WHERE n > 0
+), by_line AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
+    count(*) FILTER (failed) AS n_removed_lines,
+    coalesce(sum(n) FILTER (failed), 0)::BIGINT AS n_removed_words
+  FROM judged GROUP BY doc_id
+), placed AS (
+  SELECT doc_id, pos, words[pos] || ' ' || words[pos + 1] || ' ' || words[pos + 2] AS three
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS pos FROM given)
+), again AS (
+  SELECT doc_id, pos FROM (
+    SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, three) AS times FROM placed)
+  WHERE times > 1
+), repeated AS (
+  SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (
+    SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS place FROM again) GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, len(words) AS n_words, length(list_aggregate(words, 'string_agg', '')) AS chars,
+    {count_of('text', '#*$%&|<>')} AS n_symbols
+  FROM given
+), whole AS (
+  SELECT doc_id, n_words, coalesce(chars, 0) AS word_chars, n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed,
+    coalesce(n_removed_lines, 0) AS n_removed_lines, coalesce(n_removed_words, 0) AS n_removed_words
+  FROM counted LEFT JOIN by_line USING (doc_id) LEFT JOIN repeated USING (doc_id)
+)
+SELECT *, NOT base_failed AND 100 * n_removed_words <= 40 * n_words AS kept FROM whole
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": EXACT_DEDUP}
+    return {"op5_line_quality": QUALITY, "op10_exact_dedup": EXACT_DEDUP}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalore.llm import byte_bpe, exact_dedup, pii, secret_scan, token_files
+from catalore.llm import byte_bpe, exact_dedup, pii, quality, secret_scan, token_files
 from catalore.llm.common import documents
 
 
@@ -28,6 +28,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(documents(spark, sf_dir))
 
 
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(documents(spark, sf_dir))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
@@ -38,4 +42,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_token_files, op3_secret_scan, op6_byte_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_token_files, op3_secret_scan, op5_line_quality, op6_byte_bpe, op10_exact_dedup)}
