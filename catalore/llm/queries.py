@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalore.llm import byte_bpe, exact_dedup, pii, quality, secret_scan, token_files
+from catalore.llm import byte_bpe, exact_dedup, pii, quality, secret_scan, simhash, token_files
 from catalore.llm.common import documents
 
 
@@ -37,9 +37,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_token_files, op3_secret_scan, op5_line_quality, op6_byte_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_token_files, op3_secret_scan, op5_line_quality, op6_byte_bpe, op9_simhash, op10_exact_dedup)}
