@@ -72,6 +72,89 @@ WITH given AS (
 SELECT *, NOT base_failed AND 100 * n_removed_words <= 40 * n_words AS kept FROM whole
 """
 
+CHAT = """
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations
+), placed AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS place,
+    count(*) OVER (PARTITION BY conv_id) AS n
+  FROM turns
+), running AS (
+  SELECT *, string_agg(role || chr(31) || text || chr(30), '') OVER (
+    PARTITION BY conv_id ORDER BY place) AS prefix
+  FROM placed
+), whole AS (
+  SELECT prefix, min(conv_id) AS conv_id FROM running WHERE place = n GROUP BY prefix
+), kept AS (
+  SELECT conv_id FROM whole
+  WHERE NOT EXISTS (SELECT 1 FROM running r WHERE r.prefix = whole.prefix AND r.place < r.n)
+)
+SELECT conv_id, (place - 1) // 512 AS part, count(*) AS n_turns,
+  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place)
+    AS text
+FROM placed JOIN kept USING (conv_id) GROUP BY conv_id, part
+"""
+
+
+def raking(rounds: int) -> str:
+    """CTEs of so many rounds of raking the cells to all three dimensions."""
+    parts, last = [], "rake_0"
+    for number in range(rounds):
+        for at, name in enumerate(("source", "lang", "topic")):
+            new = f"rake_{3 * number + at + 1}"
+            parts.append(
+                f"{new} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(weight) OVER (PARTITION BY {name}) > 0"
+                f" THEN weight * {name}_share / sum(weight) OVER (PARTITION BY {name}) ELSE 0 END"
+                f" AS weight) FROM {last})"
+            )
+            last = new
+    return ",\n".join(parts) + f", raked AS (SELECT *, weight / tokens AS ratio FROM {last})"
+
+
+def scaling(steps: int) -> str:
+    """CTEs of the scale: cells at one leave their excess to the others."""
+    parts = ["scale_0 AS (SELECT 0.7 * sum(tokens) / sum(weight) AS s FROM raked)"]
+    for number in range(steps):
+        parts.append(
+            f"scale_{number + 1} AS (SELECT greatest(0, 0.7 * sum(tokens)"
+            " - coalesce(sum(tokens) FILTER (ratio * s >= 1), 0))"
+            f" / sum(weight) FILTER (ratio * s < 1) AS s FROM raked, scale_{number})"
+        )
+    return ",\n".join(parts)
+
+
+MIXING = f"""
+WITH weighed AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+    CASE WHEN contains(text, ' | ') THEN 'listing' WHEN contains(text, 'icense') THEN 'notice'
+      WHEN regexp_matches(text, '[0-9]') THEN 'records' ELSE 'prose' END AS topic,
+    greatest(len({WORDS.format("coalesce(text, '')")}), 1)::BIGINT AS tokens
+  FROM documents
+), cells AS (
+  SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM weighed GROUP BY ALL
+), sources AS (SELECT source, pow(sum(tokens), 0.7) AS share FROM cells GROUP BY ALL
+), langs AS (SELECT lang, pow(sum(tokens), 0.7) AS share FROM cells GROUP BY ALL
+), topics AS (SELECT topic, pow(sum(tokens), 0.7) AS share FROM cells GROUP BY ALL
+), rake_0 AS (
+  SELECT source, lang, topic, tokens, tokens / (SELECT sum(tokens) FROM cells) AS weight,
+    s.share / (SELECT sum(share) FROM sources) AS source_share,
+    l.share / (SELECT sum(share) FROM langs) AS lang_share,
+    t.share / (SELECT sum(share) FROM topics) AS topic_share
+  FROM cells JOIN sources s USING (source) JOIN langs l USING (lang) JOIN topics t USING (topic)
+), {raking(60)}, {scaling(8)}
+SELECT doc_id, source, lang, topic, weighed.tokens, round(least(1, ratio * s), 6) AS probability,
+  ('0x' || substr(md5('mixing:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 2.0 ** 48
+    < least(1, ratio * s) AS kept
+FROM weighed JOIN raked USING (source, lang, topic), scale_8
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_quality": QUALITY, "op10_exact_dedup": EXACT_DEDUP}
+    return {
+        "op4_mixing": MIXING,
+        "op5_line_quality": QUALITY,
+        "op7_chat": CHAT,
+        "op10_exact_dedup": EXACT_DEDUP,
+    }

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalore.llm import byte_bpe, exact_dedup, pii, quality, secret_scan, simhash, token_files
+from catalore.llm import (
+    byte_bpe, chat, exact_dedup, mixing, pii, quality, secret_scan, simhash, token_files,
+)
 from catalore.llm.common import documents
 
 
@@ -28,6 +30,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(documents(spark, sf_dir))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir))
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(documents(spark, sf_dir))
 
@@ -37,6 +43,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(documents(spark, sf_dir))
 
@@ -46,4 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_token_files, op3_secret_scan, op5_line_quality, op6_byte_bpe, op9_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (
+        op1_pii, op2_token_files, op3_secret_scan, op4_mixing, op5_line_quality, op6_byte_bpe,
+        op7_chat, op9_simhash, op10_exact_dedup,
+    )}
