@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from catalore.llm import (
-    byte_bpe, chat, exact_dedup, mixing, pii, quality, secret_scan, simhash, token_files,
+    byte_bpe, chat, exact_dedup, mixing, pii, quality, secret_scan, simhash, token_files, toxicity,
 )
 from catalore.llm.common import documents
 
@@ -47,6 +47,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rendered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.toxicity(documents(spark, sf_dir), labels)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(documents(spark, sf_dir))
 
@@ -58,5 +63,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_pii, op2_token_files, op3_secret_scan, op4_mixing, op5_line_quality, op6_byte_bpe,
-        op7_chat, op9_simhash, op10_exact_dedup,
+        op7_chat, op8_toxicity, op9_simhash, op10_exact_dedup,
     )}
