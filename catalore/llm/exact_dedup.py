@@ -215,18 +215,16 @@ def drop_copies(docs: DataFrame, most_slots: int = MOST_SLOTS) -> DataFrame:
 
 def without_dropped(docs: DataFrame, most_slots: int) -> DataFrame:
     copies = exact_copies(docs, most_slots).select("doc_id", "text_sha256", "kept")
+    best_id, best_digest, digest = (fresh(docs, n) for n in ("best_id", "best_digest", "digest"))
     best = copies.filter("kept").select(
-        F.col("doc_id").alias("best_id"), F.col("text_sha256").alias("best_digest")
+        F.col("doc_id").alias(best_id), F.col("text_sha256").alias(best_digest)
     )
-    digest, number = fresh(docs, "digest"), fresh(docs, "number")
     hashed = docs.withColumn(digest, F.sha2(normalised().cast("binary"), 256))
     kept = hashed.join(
         best,
-        F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col(digest) == F.col("best_digest")),
+        F.col("doc_id").eqNullSafe(F.col(best_id)) & (F.col(digest) == F.col(best_digest)),
         "left_semi",
     )
     # Rows with the id and text of the kept one, if any, stay once.
-    order = F.struct(-F.length(whole_text()), F.lit(0).alias(number))
-    return kept.groupBy(digest).agg(F.min_by(F.struct(*docs.columns), order).alias(number)).select(
-        f"{number}.*"
-    )
+    longest = F.max_by(F.struct(*docs.columns), F.length(whole_text())).alias("kept")
+    return kept.groupBy(digest).agg(longest).select("kept.*")
