@@ -34,6 +34,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def hashed_sample(df: DataFrame, by: list[str], share: float, most: int) -> DataFrame:
+    """About the ``share`` of the distinct rows whose hash of ``by`` is least, ``most`` at most.
+
+    The hash selects before any row moves, so that no task meets more rows than asked
+    for, however many tables and partitions there are; repeated rows count once.
+    """
+    hashed = F.xxhash64(*by)
+    if share < 1:
+        df = df.filter(hashed < F.lit(int(-(2**63) + share * 2**64)))
+    return df.distinct().orderBy(hashed, *df.columns).limit(most)
+
+
 def map_texts(
     df: DataFrame,
     function: Callable[[list[str]], list[tuple]],

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalore.llm.common import fresh, map_texts, whole_text
+from catalore.llm.common import fresh, hashed_sample, map_texts, whole_text
 from catalore.session import cut_lineage
 
 ORDER, SHARED = 5, 4
@@ -67,12 +67,16 @@ def remainder() -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic and fold of the rows to learn from."""
+    """doc_id, text, toxic and fold of the rows to learn from.
+
+    Labels come with every document or so and are never broadcast: the join has one plan
+    at every size.
+    """
     marks = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.col("toxic").cast("int")).alias("toxic")
     )
     rows = docs.select("doc_id", whole_text().alias("text")).filter(remainder() != HELD_OUT)
-    return rows.join(marks.filter(remainder() != HELD_OUT), "doc_id").select(
+    return rows.join(marks.filter(remainder() != HELD_OUT).hint("merge"), "doc_id").select(
         "doc_id", "text", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold")
     )
 
@@ -338,7 +342,8 @@ def train(docs: DataFrame, labels: DataFrame, most_grams: int = MOST_GRAMS) -> M
         for c in (0, 1):
             # Of each class by itself, so that the rare one is there; weights put that right.
             part = rows.filter((F.col("toxic") == c) & (F.col("fold") == fold))
-            part = part.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(CURVE_ROWS // 4)
+            most = CURVE_ROWS // 4
+            part = hashed_sample(part, ["doc_id"], most / max(1, seen.get((c, fold), 0)), most)
             described.append(descriptions(part.select("toxic", "text"), judge, ["toxic"]).toPandas())
     sample = pd.concat(described, ignore_index=True).sort_values(["toxic", *DESCRIPTION])
     x, toxic = sample[list(DESCRIPTION)].to_numpy(float), sample["toxic"].to_numpy(int)
