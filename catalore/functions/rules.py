@@ -9,6 +9,9 @@ from catalore.functions.text import has_words, strip, title_label
 from catalore.schemas import METADATA_TYPES, STORE_LENGTHS, STORE_NOT_NULL, UPLOAD_REQUIRED
 
 
+# The messages below are fixed values: callers match them word by word.
+
+
 def failures(*messages: Column) -> Column:
     """The messages that are not NULL, in order."""
     return F.array_compact(F.array(*messages))
@@ -57,8 +60,17 @@ def metadata_type_error() -> Column:
     )
 
 
-def upload_errors() -> Column:
-    return failures(*required_errors(), metadata_type_error())
+def length_errors(columns: list[str]) -> list[Column]:
+    return [
+        F.when(F.length(name) > limit, F.lit(f"{name} is longer than {limit}"))
+        for name, limit in STORE_LENGTHS.items()
+        if name in columns
+    ]
+
+
+def upload_errors(columns: list[str]) -> Column:
+    """Upload rules and the store's limits: a row without errors will be stored."""
+    return failures(*required_errors(), metadata_type_error(), *length_errors(columns))
 
 
 def store_errors(columns: list[str]) -> Column:
@@ -68,9 +80,4 @@ def store_errors(columns: list[str]) -> Column:
         for name in STORE_NOT_NULL
         if name in columns
     ]
-    long = [
-        F.when(F.length(name) > limit, F.lit(f"{name} is longer than {limit}"))
-        for name, limit in STORE_LENGTHS.items()
-        if name in columns
-    ]
-    return failures(*missing, *long)
+    return failures(*missing, *length_errors(columns))

@@ -177,25 +177,31 @@ def apply_plan(
     level: str,
     is_dry_run: bool = True,
     results_path: str | None = None,
+    run_id: str | None = None,
     workers: int = 8,
 ) -> DataFrame:
     """Run the statements of a batched plan and give their results.
 
     Statements run on the driver, as all catalog changes do: batch after batch, and
     within a batch one table's statements in order, different tables side by side.
-    The outcomes of each batch are appended to ``results_path`` before the next one
-    starts, so the driver holds one batch at a time and leaves a record if it is lost.
+    The outcomes of each batch are appended to the folder of the run below
+    ``results_path`` before the next one starts, so the driver holds one batch at a time
+    and leaves a record if it is lost. The same ``run_id`` again goes on from that record:
+    items that have an outcome there are not run a second time.
     """
     if is_dry_run:
         return dry_run(plan)
-    if not results_path:
-        raise ValueError("results_path is needed to keep the outcome of a real run")
+    if not results_path or not run_id:
+        raise ValueError("results_path and run_id are needed to keep the outcome of a real run")
+    folder = f"{results_path.rstrip('/')}/{run_id}"
 
     def save(outcomes: list[tuple]) -> None:
         frame = spark.createDataFrame(outcomes, IMPORT_RESULTS)
-        frame.coalesce(1).write.mode("append").parquet(results_path)
+        frame.coalesce(1).write.mode("append").parquet(folder)
 
-    statements = plan.select(
+    save([])  # an empty run has an empty result
+    recorded = spark.read.schema(IMPORT_RESULTS).parquet(folder).select("id")
+    statements = plan.join(recorded, "id", "left_anti").select(
         "id",
         *TABLE_KEYS,
         "column_name",
@@ -204,14 +210,14 @@ def apply_plan(
         "position",
         "batch_no",
     ).orderBy("position")
+
     def run_table(rows: list[Row]) -> list[tuple]:
         return [(*row[:6], *_execute(spark, row, level)) for row in rows]
 
-    save([])  # an empty run has an empty result
     with ThreadPoolExecutor(workers) as pool:
         for _, batch in groupby(statements.toLocalIterator(), key=lambda row: row.batch_no):
             by_table: dict[tuple, list[Row]] = defaultdict(list)
             for row in batch:
                 by_table[row.catalog_name, row.schema_name, row.table_name].append(row)
             save([outcome for done in pool.map(run_table, by_table.values()) for outcome in done])
-    return spark.read.schema(IMPORT_RESULTS).parquet(results_path)
+    return spark.read.schema(IMPORT_RESULTS).parquet(folder)

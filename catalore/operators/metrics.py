@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from catalore.functions.clock import seconds_between
 from catalore.functions.genmeta import parse_generation
 from catalore.functions.names import percent
-from catalore.operators.items import recent
+from catalore.operators.items import newest_first, recent
+from catalore.operators.numbering import with_row_number
 from catalore.schemas import APPROVED_STATUSES, TABLE_KEYS
 
 
@@ -161,7 +162,8 @@ def _entry(section: str, key: Column, n: Column) -> Column:
 
 def filter_values(items: DataFrame) -> DataFrame:
     """Distinct catalogs and tables offered as filters, from one scan."""
-    pairs = items.select(
+    # Distinct first: only the pairs that exist are expanded, not every row.
+    pairs = items.select("catalog_name", "table_name").distinct().select(
         F.explode(
             F.array(
                 F.struct(F.lit("catalog").alias("kind"), F.col("catalog_name").alias("value")),
@@ -211,8 +213,18 @@ def generation_stats(results: DataFrame) -> DataFrame:
     )
 
 
-def _newest_costs(items: DataFrame, n: int) -> DataFrame:
-    """Cost and token sums of the newest n items.
+def _newest(items: DataFrame, n: int, **fields: Column) -> DataFrame:
+    """``fields`` of the newest n items, for an n as large as a run.
+
+    Rows are numbered over all tasks, narrow ones; a top-n would merge n rows in one.
+    """
+    narrow = items.select("created_at", "id", *(c.alias(name) for name, c in fields.items()))
+    numbered = with_row_number(narrow, newest_first("created_at", nulls_first=True), "_newest")
+    return numbered.where(F.col("_newest") <= n).select(*fields)
+
+
+def _sampled_costs(items: DataFrame, n: int) -> DataFrame:
+    """Cost and token sums of the newest few items, by a top-n.
 
     The JSON is parsed inside the aggregate: a projection of its fields on top of
     the limit would part it from the sort, and Spark would sort every item.
@@ -234,7 +246,7 @@ def cost_extrapolation(items: DataFrame, successes: int, sample: int = 10) -> Da
     average = F.col("total_cost") / F.col("sampled")
     # Integral division, as the token estimate is a count.
     tokens = F.expr(f"(total_tokens * {int(successes)}) div sampled")
-    return _newest_costs(items, sample).select(
+    return _sampled_costs(items, sample).select(
         (average * successes).alias("estimated_total_cost"),
         average.alias("avg_cost"),
         tokens.alias("estimated_tokens"),
@@ -244,18 +256,26 @@ def cost_extrapolation(items: DataFrame, successes: int, sample: int = 10) -> Da
 
 def cost_total(items: DataFrame, successes: int) -> DataFrame:
     """Cost of the newest ``successes`` items; no row when it is zero."""
-    return _newest_costs(items, successes).select(
+    meta = parse_generation(F.col("generation_metadata"))
+    newest = _newest(items, successes, cost=meta["cost_estimate"], tokens=meta["tokens_used"])
+    sums = newest.agg(
+        F.coalesce(F.sum("cost"), F.lit(0.0)).alias("total_cost"),
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"),
+    ).where(F.col("total_cost") > 0)
+    return sums.select(
         "total_cost", (F.col("total_cost") / successes).alias("avg_cost"), "total_tokens"
     )
 
 
 def recent_quality(items: DataFrame, n: int) -> DataFrame:
     """Lengths and token counts of the newest n descriptions."""
-    newest = recent(items, "created_at", n, nulls_first=True).select(
-        "generated_value", "generation_metadata"
+    newest = _newest(
+        items,
+        n,
+        length=F.length("generated_value").cast("bigint"),
+        tokens=parse_generation(F.col("generation_metadata"))["tokens_used"],
     )
-    length = F.length("generated_value").cast("bigint")
-    tokens = parse_generation(F.col("generation_metadata"))["tokens_used"]
+    length, tokens = F.col("length"), F.col("tokens")
     return newest.agg(
         F.avg(length).alias("avg_length"),
         F.min(length).alias("min_length"),

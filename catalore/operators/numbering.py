@@ -20,6 +20,13 @@ from catalore.session import cut_lineage
 _POSITION_BITS = 33
 
 
+def largest_id(stored: DataFrame | None) -> Column:
+    """The largest id of a stored table, 0 without one; new ids follow it."""
+    if stored is None:
+        return F.lit(0)
+    return stored.select(F.coalesce(F.max("id"), F.lit(0)).alias("largest")).scalar()
+
+
 def partition_of(position: Column) -> Column:
     return F.shiftright(position, _POSITION_BITS)
 

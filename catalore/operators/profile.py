@@ -5,21 +5,19 @@ from __future__ import annotations
 from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalore.functions.text import cell_text
-from catalore.session import estimated_bytes
+from catalore.session import union_all
 
 COMPLEX = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
-# Types in which text and stored value order alike or are ranked by value.
+# Types that are compared as stored and whose text reads back as the same value.
 STORED_ORDER = (T.NumericType, T.StringType, T.DateType, T.TimestampNTZType)
-
-
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+# Rows of each table that the first values are taken from.
+SEED_ROWS = 5_000
 
 
 def table_row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -55,96 +53,93 @@ def sampled_columns(df: DataFrame, exclude: Collection[str] = ()) -> list[str]:
     ]
 
 
-# Values proven to occur, smallest first: {(table, column): [text, ...]}.
-Known = Mapping[tuple[str, str], Sequence[str]]
+# Cells proven to occur, smallest first: {(table, column): [cell, ...]}.
+Known = Mapping[tuple[str, str], Sequence[Row]]
+
+
+def _rank_number(df: DataFrame, name: str) -> Column | None:
+    """What a column is ranked by: numbers, days and moments by value, the rest as text."""
+    column, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    if isinstance(kind, T.NumericType):
+        return column
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)")
+    return None
+
+
+def _cell(df: DataFrame, name: str) -> Column:
+    """The text of a value with what it is ranked by; the decimal settles large integers."""
+    number = _rank_number(df, name)
+    number = F.lit(None).cast("double") if number is None else number
+    return F.struct(
+        value_text(df, name).alias("value"),
+        number.cast("double").alias("number"),
+        number.try_cast("decimal(38, 18)").alias("exact"),
+    )
 
 
-def _cells(texts: Mapping[str, DataFrame]) -> DataFrame:
+def _cells(wanted: Mapping[str, DataFrame]) -> DataFrame:
     return union_all(
         [
-            df.unpivot([], df.columns, "column_name", "value")
-            .where("value IS NOT NULL")
-            .withColumn("table_name", F.lit(table))
-            for table, df in texts.items()
+            df.unpivot([], df.columns, "column_name", "cell")
+            .where("cell IS NOT NULL AND cell.value IS NOT NULL")
+            .select("column_name", "cell.*", F.lit(table).alias("table_name"))
+            for table, df in wanted.items()
         ]
     )
 
 
-def _smallest(cells: DataFrame, tables: Mapping[str, DataFrame], k: int) -> DataFrame:
-    """The k smallest distinct cells per (table, column), with their rank.
-
-    Numbers are ranked as numbers, everything else as text.
-    """
-    numeric = [
-        f"{table}\n{field.name}"
-        for table, df in tables.items()
-        for field in df.schema
-        if isinstance(field.dataType, T.NumericType)
-    ]
-    is_number = F.concat_ws("\n", "table_name", "column_name").isin(numeric)
-    # The decimal settles integers that are too large for a double.
-    order = [
-        F.when(is_number, F.expr("try_cast(value AS double)")),
-        F.when(is_number, F.expr("try_cast(value AS decimal(38, 18))")),
-        F.col("value"),
-    ]
-    by_value = W.partitionBy("table_name", "column_name").orderBy(*order)
+def _smallest(cells: DataFrame, k: int) -> DataFrame:
+    """The k smallest distinct cells per (table, column), with their rank."""
+    by_value = W.partitionBy("table_name", "column_name").orderBy("number", "exact", "value")
     # The rank limit runs before the shuffle too: k rows per column leave each task.
     ranked = cells.distinct().withColumn("rank", F.row_number().over(by_value))
     return ranked.where(F.col("rank") <= k)
 
 
-def _rough_rows(df: DataFrame) -> float:
-    """Rows to expect if a stored value takes four bytes."""
-    return max(1.0, estimated_bytes(df) / (4 * len(df.columns)))
-
+def _seed_values(
+    tables: Mapping[str, DataFrame], k: int, exclude: Collection[str]
+) -> dict[tuple[str, str], list[Row]]:
+    """The k smallest cells per column of the first rows of each table.
 
-def _sampled_values(
-    tables: Mapping[str, DataFrame], k: int, exclude: Collection[str], small_bytes: int
-) -> dict[tuple[str, str], list[str]]:
-    """The k smallest values per column of a row sample of each large table.
-
-    Of n rows sqrt(k / n) are sampled: then the sample and the values that turn out
-    smaller than its k smallest are about equally few. A rough n will do, as it
-    decides on work and not on results; it fits stored tables, whose size is known. At most k values per column come back to
-    the driver.
+    Any rows will do, as they decide on work and not on results. At most k values per
+    column come back to the driver.
     """
-    sampled = {
-        table: df.sample(fraction=min(1.0, (k / _rough_rows(df)) ** 0.5), seed=17)
+    first = {
+        table: _unknown_cells(table, df.limit(SEED_ROWS), {}, k, exclude)
         for table, df in tables.items()
-        if estimated_bytes(df) > small_bytes
     }
-    if not sampled:
-        return {}
-    texts = {table: _unknown_texts(table, df, {}, k, exclude) for table, df in sampled.items()}
-    found = _smallest(_cells(texts), sampled, k)
-    values: dict[tuple[str, str], list[tuple[int, str]]] = {}
-    for row in found.collect():
-        values.setdefault((row["table_name"], row["column_name"]), []).append(
-            (row["rank"], row["value"])
-        )
-    return {column: [value for _, value in sorted(ranked)] for column, ranked in values.items()}
-
-
-def _unknown_texts(
+    cells: dict[tuple[str, str], list[Row]] = {}
+    for row in _smallest(_cells(first), k).collect():
+        cells.setdefault((row["table_name"], row["column_name"]), []).append(row)
+    return {column: sorted(found, key=lambda row: row["rank"]) for column, found in cells.items()}
+
+
+def _unknown_cells(
     table: str, df: DataFrame, known: Known, k: int, exclude: Collection[str]
 ) -> DataFrame:
-    """Columns as text where a value may still be among the k smallest, else NULL.
+    """Cells where a value may still be among the k smallest, else NULL.
 
-    That is a value not known yet and, once k values are known, below the largest
-    of them. Types whose text reads back as the same value are compared as stored,
-    so that only the values found are turned into text.
+    That is a value not known yet and, once k values are known, below the largest of
+    them in the order of ``_smallest``. Only the values found are turned into text.
     """
 
     def unknown(name: str) -> Column:
         kind = df.schema[name].dataType
-        values = known.get((table, name), ())
+        cells = known.get((table, name), ())
         if isinstance(kind, STORED_ORDER):
             compared = F.col(f"`{name}`")
-            literals = [F.lit(text).cast(kind) for text in values]
+            literals = [F.lit(cell["value"]).cast(kind) for cell in cells]
+        elif isinstance(kind, T.TimestampType):
+            compared = F.unix_micros(f"`{name}`")
+            literals = [F.lit(int(cell["exact"])) for cell in cells]
         else:
             compared = value_text(df, name)
-            literals = [F.lit(text) for text in values]
+            literals = [F.lit(cell["value"]) for cell in cells]
         if not literals:
             return compared.isNotNull()
         if len(literals) < k:
@@ -156,44 +151,37 @@ def _unknown_texts(
     if any((table, name) in known for name in wanted):
         rows = df.where(reduce(Column.__or__, wanted.values()))
     return rows.select(
-        *[F.when(keep, value_text(df, name)).alias(name) for name, keep in wanted.items()]
+        *[F.when(keep, _cell(df, name)).alias(name) for name, keep in wanted.items()]
     )
 
 
 def column_values(
-    tables: Mapping[str, DataFrame],
-    k: int = 5,
-    exclude: Collection[str] = (),
-    small_bytes: int = 1_000_000,
+    tables: Mapping[str, DataFrame], k: int = 5, exclude: Collection[str] = ()
 ) -> DataFrame:
     """The k smallest distinct values per (table, column), exact, over whole tables.
 
-    ``distinct`` alone would shuffle every distinct value of every column. Instead a
-    row sample gives k values per column that are known to occur, and the scan of
-    the whole table looks only for values that would displace them. Almost no row
-    has one, whether a column holds few values or many, so almost nothing is
-    unpivoted or shuffled. Tables of at most ``small_bytes`` are just scanned.
+    ``distinct`` alone would shuffle every distinct value of every column. Instead the
+    first rows of a table give k values per column that are known to occur, and the scan
+    of the whole table looks only for values that would displace them. Few rows have
+    one, whether a column holds few values or many, so little is unpivoted or shuffled.
     """
-    known = _sampled_values(tables, k, exclude, small_bytes)
-    texts = {table: _unknown_texts(table, df, known, k, exclude) for table, df in tables.items()}
-    cells = _cells(texts)
+    known = _seed_values(tables, k, exclude)
+    wanted = {table: _unknown_cells(table, df, known, k, exclude) for table, df in tables.items()}
+    cells = _cells(wanted)
     if known:
         spark = next(iter(tables.values())).sparkSession
-        rows = [(column, value, table) for (table, column), vs in known.items() for value in vs]
-        cells = cells.unionByName(
-            spark.createDataFrame(rows, "column_name string, value string, table_name string")
-        )
-    return _smallest(cells, tables, k)
+        rows = [tuple(row[n] for n in cells.columns) for found in known.values() for row in found]
+        cells = cells.unionByName(spark.createDataFrame(rows, cells.schema))
+    return _smallest(cells, k)
 
 
 def column_samples(
     tables: Mapping[str, DataFrame],
     k: int = 5,
     exclude: Collection[str] = (),
-    small_bytes: int = 1_000_000,
 ) -> DataFrame:
     """Up to k distinct non-null values per (table, column) as a text array."""
-    values = column_values(tables, k, exclude, small_bytes)
+    values = column_values(tables, k, exclude)
     # At most k values per column reach a group.
     listed = values.groupBy("table_name", "column_name").agg(
         F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("ranked")

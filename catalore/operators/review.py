@@ -6,23 +6,37 @@ them: aggregates are partial, and no task gets all actions of a busy item.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catalore.operators.numbering import fixed_order, partition_of, place_of
-from catalore.operators.skew import ROWS_PER_SPLIT, hot_keys, join_spread
+from catalore.operators.numbering import fixed_order, largest_id, partition_of, place_of
+from catalore.operators.skew import join_spread
 from catalore.schemas import ITEMS, REVIEW_STATUSES
-from catalore.session import cut_lineage
 
 
-@dataclass(frozen=True)
 class ReviewOutcome:
-    items: DataFrame  # every item in its state after the actions
-    audit: DataFrame  # one row per applied action, with the value it replaced
-    rejected: DataFrame  # actions not applied, with the reason
+    """What a set of actions leads to; each frame is made when it is asked for."""
+
+    def __init__(self, items: DataFrame, actions: DataFrame, history: DataFrame | None) -> None:
+        self._items, self._actions, self._history = items, actions, history
+
+    @cached_property
+    def items(self) -> DataFrame:
+        """Every item in its state after the actions."""
+        return reviewed_items(self._items, self._actions)
+
+    @cached_property
+    def audit(self) -> DataFrame:
+        """One row per applied action, with the value it replaced."""
+        return review_audit_rows(self._items, self._actions, self._history)
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        """Actions not applied, with the reason."""
+        return rejected_reviews(self._items, self._actions)
 
 
 def acceptable() -> Column:
@@ -66,101 +80,66 @@ def latest_action(actions: DataFrame) -> DataFrame:
     )
 
 
-def previous_actions(actions: DataFrame) -> DataFrame:
-    """For each action the id of the one before it on the same item, else NULL.
+def review_audit_rows(
+    items: DataFrame, actions: DataFrame, history: DataFrame | None = None
+) -> DataFrame:
+    """One audit row per applied action, with the value it replaced.
 
-    The narrow keys are sorted over all tasks, so the actions of a busy item lie
-    in several partitions. ``lag`` runs within a partition; the first row of each
-    partition takes over from the last row of the partition before.
+    That is the value the action before it set, or the stored value for the first
+    action. The actions are range-sorted over all tasks by item, time and id, so that
+    the actions of a busy item lie in several partitions. A row's position in that order
+    is unique whatever ids the caller gave, and an action's predecessor is the row one
+    position before it, or the last row of the partition before. Ids of the audit rows
+    follow the largest one of ``history`` in the same order.
     """
-    order = ["item_id", "ts", "action_id"]
-    placed = fixed_order(actions.select(*order), order, "position").withColumn(
+    valid = actions.where(acceptable())
+    known = join_spread(valid, _item_ids(items), ["item_id"], "left_semi", spread_by="action_id")
+    # Ties in time and id are settled by what the actions say.
+    order = ["item_id", "ts", "action_id", "new_value", "status", "reviewed_by", "comment"]
+    placed = fixed_order(known.select(*order), order, "position").withColumn(
         "part", partition_of(F.col("position"))
     )
-    within = W.partitionBy("part", "item_id").orderBy("position")
-    lagged = placed.withColumn("before", F.lag("action_id").over(within))
-    # One row of three integers per partition: small whatever the data size.
-    edges = (
-        placed.groupBy("part")
-        .agg(F.max_by(F.struct("item_id", "action_id"), "position").alias("last"))
-        .withColumn("carry", F.lag("last").over(W.orderBy("part")))
-        .select("part", "carry")
+    # One row of a few integers per partition: small whatever the data size.
+    parts = placed.groupBy("part").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("position").alias("last")
     )
-    carried = lagged.join(F.broadcast(edges), "part")
-    takes_over = (place_of(F.col("position")) == 0) & (
-        F.col("carry.item_id") == F.col("item_id")
+    earlier = W.orderBy("part")
+    edges = parts.select(
+        "part",
+        F.lag("last").over(earlier).alias("carried"),
+        F.coalesce(
+            F.sum("rows").over(earlier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+        ).alias("rows_before"),
     )
-    return carried.select(
-        "item_id",
-        "action_id",
-        F.when(takes_over, F.col("carry.action_id")).otherwise(F.col("before")).alias("before"),
+    linked = placed.join(F.broadcast(edges), "part").select(
+        *order,
+        F.when(place_of(F.col("position")) == 0, F.col("carried"))
+        .otherwise(F.col("position") - 1)
+        .alias("before"),
+        (F.col("rows_before") + place_of(F.col("position")) + 1).alias("number"),
     )
-
-
-def _audit_columns() -> list[Column]:
-    return [
-        F.col("action_id").alias("id"),
+    values = placed.select(
+        F.col("position").alias("before"),
+        F.col("item_id").alias("item_before"),
+        F.col("new_value").alias("value_before"),
+    )
+    followed = linked.join(values, "before", "left")
+    stored = items.select(F.col("id").alias("item_id"), "current_value")
+    joined = join_spread(followed, stored, ["item_id"], "inner", spread_by="number")
+    return joined.select(
+        (F.col("number") + largest_id(history)).cast("bigint").alias("id"),
         F.col("item_id").alias("metadata_item_id"),
         F.col("status").alias("action"),
-        F.col("old_value"),
-        F.col("new_value"),
-        F.col("comment"),
+        F.when(F.col("item_before") == F.col("item_id"), F.col("value_before"))
+        .otherwise(F.col("current_value"))
+        .alias("old_value"),
+        "new_value",
+        "comment",
         F.col("reviewed_by").alias("user_name"),
         F.col("ts").alias("timestamp"),
-    ]
-
-
-def _audit_by_item(stored: DataFrame, actions: DataFrame) -> DataFrame:
-    """Audit rows of items whose actions fit a task: join and window share one shuffle."""
-    in_order = W.partitionBy("item_id").orderBy("ts", "action_id")
-    before = F.lag("new_value").over(in_order)
-    return (
-        actions.join(stored, "item_id")
-        .withColumn("old_value", F.coalesce(before, F.col("current_value")))
-        .select(*_audit_columns())
     )
 
 
-def _audit_of_busy_items(stored: DataFrame, actions: DataFrame) -> DataFrame:
-    """Audit rows of items with more actions than a task should hold.
-
-    Only keys are sorted; the old values come by joins on unique keys: from the
-    action before, or from the item for its first action.
-    """
-    keys = actions.select("item_id", "ts", "action_id")
-    known = join_spread(
-        keys, stored.select("item_id"), ["item_id"], "left_semi", spread_by="action_id"
-    )
-    linked = actions.join(previous_actions(known).drop("item_id"), "action_id")
-    values = actions.select(
-        F.col("action_id").alias("before"), F.col("new_value").alias("old_value")
-    )
-    later = linked.where(F.col("before").isNotNull()).join(values, "before")
-    first = linked.where(F.col("before").isNull()).join(
-        stored.withColumnRenamed("current_value", "old_value"), "item_id"
-    )
-    return later.select(*_audit_columns()).unionByName(first.select(*_audit_columns()))
-
-
-def review_audit_rows(
-    items: DataFrame, actions: DataFrame, busy_above: int = ROWS_PER_SPLIT
-) -> DataFrame:
-    """One audit row per applied action, with the value it replaced.
-
-    That is the value the action before it set, or the stored value for the first
-    action. Items with more than ``busy_above`` actions are treated apart.
-    """
-    valid = actions.where(acceptable())
-    stored = items.select(F.col("id").alias("item_id"), "current_value")
-    # At most actions / busy_above items.
-    busy = cut_lineage(hot_keys(valid, ["item_id"], busy_above).select("item_id"))
-    if busy.isEmpty():
-        return _audit_by_item(stored, valid)
-    rest = valid.join(F.broadcast(busy), "item_id", "left_anti")
-    crowded = valid.join(F.broadcast(busy), "item_id", "left_semi")
-    return _audit_by_item(stored, rest).unionByName(_audit_of_busy_items(stored, crowded))
-
-
 def reviewed_items(items: DataFrame, actions: DataFrame) -> DataFrame:
     """Every item after the actions; items without actions stay as they are."""
     last = latest_action(actions.where(acceptable())).select(
@@ -202,9 +181,7 @@ def current_items(items: DataFrame, history: DataFrame) -> DataFrame:
     return reviewed_items(items, actions_of(history))
 
 
-def apply_reviews(items: DataFrame, actions: DataFrame) -> ReviewOutcome:
-    return ReviewOutcome(
-        items=reviewed_items(items, actions),
-        audit=review_audit_rows(items, actions),
-        rejected=rejected_reviews(items, actions),
-    )
+def apply_reviews(
+    items: DataFrame, actions: DataFrame, history: DataFrame | None = None
+) -> ReviewOutcome:
+    return ReviewOutcome(items, actions, history)

@@ -13,16 +13,12 @@ from catalore.functions.rules import (
     valid_metadata_type,
     value_error,
 )
-from catalore.schemas import METADATA_TYPES, UPLOAD_REQUIRED
-
-# How many invalid type values the one-line message spells out; upload_invalid_types
-# has them all.
-MESSAGE_VALUES = 20
+from catalore.schemas import UPLOAD_REQUIRED
 
 
 def validate_upload(upload: DataFrame) -> DataFrame:
     """The rows with their failed rules as an array of messages."""
-    return upload.withColumn("errors", upload_errors())
+    return upload.withColumn("errors", upload_errors(upload.columns))
 
 
 def accepted(upload: DataFrame) -> DataFrame:
@@ -40,11 +36,18 @@ def rejected(upload: DataFrame) -> DataFrame:
 
 def upload_summary(upload: DataFrame, approximate: bool = False) -> DataFrame:
     """Rows, distinct tables and distinct types; estimated counts for very wide uploads."""
-    distinct = F.approx_count_distinct if approximate else F.countDistinct
-    return upload.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        distinct("table_name").alias("unique_tables"),
-        distinct("metadata_type").alias("metadata_types"),
+    if approximate:
+        return upload.agg(
+            F.count(F.lit(1)).alias("total_rows"),
+            F.approx_count_distinct("table_name").alias("unique_tables"),
+            F.approx_count_distinct("metadata_type").alias("metadata_types"),
+        )
+    # Grouped first: the two distinct counts then expand groups and not rows.
+    pairs = upload.groupBy("table_name", "metadata_type").agg(F.count(F.lit(1)).alias("rows"))
+    return pairs.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("total_rows"),
+        F.countDistinct("table_name").alias("unique_tables"),
+        F.countDistinct("metadata_type").alias("metadata_types"),
     )
 
 
@@ -74,7 +77,7 @@ def store_checks(rows: DataFrame) -> DataFrame:
 
 
 def upload_outcome(upload: DataFrame) -> DataFrame:
-    checked = upload.select((F.size(upload_errors()) == 0).alias("ok"))
+    checked = upload.select((F.size(upload_errors(upload.columns)) == 0).alias("ok"))
     return checked.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("ok").alias("accepted"),
@@ -83,58 +86,20 @@ def upload_outcome(upload: DataFrame) -> DataFrame:
 
 
 def upload_report(upload: DataFrame) -> DataFrame:
-    """One row: is the upload valid, how many rows, and the message for the uploader."""
-    wrong = invalid_types(upload)
-    some = (
-        wrong.orderBy(F.asc_nulls_last("metadata_type"))
-        .limit(MESSAGE_VALUES)
-        .agg(
-            F.sort_array(F.collect_list("metadata_type")).alias("named"),
-            F.count_if(F.col("metadata_type").isNull()).alias("missing"),
-        )
-        .select(
-            F.concat(
-                F.transform("named", lambda v: F.concat(F.lit("'"), v, F.lit("'"))),
-                F.when(F.col("missing") > 0, F.array(F.lit("nan"))).otherwise(F.array()),
-            )
-        )
-        .scalar()
-    )
-    counts = upload.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        *[F.count_if(F.col(n).isNull()).alias(n) for n in UPLOAD_REQUIRED],
-        F.countDistinct(
-            F.when(
-                ~valid_metadata_type(F.col("metadata_type")),
-                F.coalesce("metadata_type", F.lit("")),
-            )
-        ).alias("wrong"),
-    )
-    allowed = ", ".join(f"'{name}'" for name in METADATA_TYPES)
-    more = F.when(
-        F.col("wrong") > MESSAGE_VALUES,
-        F.concat(F.lit(" and "), (F.col("wrong") - MESSAGE_VALUES).cast("string"), F.lit(" more")),
-    ).otherwise("")
-    type_message = F.when(
-        F.col("wrong") > 0,
-        F.concat(
-            F.lit("Invalid metadata_type values: ["),
-            F.array_join(some, " "),
-            more,
-            F.lit(f"]. Must be one of: [{allowed}]"),
-        ),
+    """One row per finding: the message for the uploader and how many rows it is about.
+
+    Findings are a required column with missing values, an invalid type (each value by
+    itself, all of them) and a column with texts too long for the store. A valid upload
+    has the one finding that it is valid.
+    """
+    listed = upload.select(F.explode(upload_errors(upload.columns)).alias("message"))
+    findings = listed.groupBy("message").agg(F.count(F.lit(1)).alias("n_rows"))
+    outcome = upload_outcome(upload)
+    valid = outcome.where("failed = 0").select(
+        F.lit("Validation successful").alias("message"), F.col("total").alias("n_rows")
     )
-    missing = [
-        F.when(F.col(n) > 0, F.lit(f"Column '{n}' contains empty values"))
-        for n in UPLOAD_REQUIRED
-    ]
-    messages = F.array_compact(F.array(*missing, type_message))
-    return counts.select(
-        "total_rows",
-        (F.size(messages) == 0).alias("valid"),
-        F.when(F.size(messages) == 0, F.lit("Validation successful"))
-        .otherwise(F.array_join(messages, "; "))
-        .alias("message"),
+    return findings.unionByName(valid).withColumn(
+        "valid", F.col("message") == "Validation successful"
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -44,15 +45,23 @@ def run_import(
     is_dry_run: bool = True,
     results_path: str | None = None,
     batch_size: int | None = None,
+    run_id: str | None = None,
+    history: DataFrame | None = None,
 ) -> ImportRun:
+    """``run_id`` names a run to go on with, else a new one begins. Ids of the audit rows
+    follow those of ``history``."""
     approved = approved_items(items, catalog, schema, status, table_filter, level)
     plan = batched_plan(valid_tables(approved, catalog_tables), level, batch_size)
-    results = apply_plan(spark, plan, level, is_dry_run, results_path)
+    results = apply_plan(
+        spark, plan, level, is_dry_run, results_path, run_id or f"run-{uuid.uuid4().hex}"
+    )
     return ImportRun(
         plan=plan,
         skipped=missing_tables(approved, catalog_tables),
         results=results,
         stats=import_stats(results),
         totals=import_totals(results),
-        history=None if is_dry_run else import_history_rows(results, IMPORTERS[level], as_of),
+        history=None
+        if is_dry_run
+        else import_history_rows(results, IMPORTERS[level], as_of, history),
     )

@@ -36,7 +36,7 @@ SELECT e.event_id AS id, e.event_id % (SELECT count(*) FROM documents) AS metada
  CASE e.event_type WHEN 'click' THEN 'approved' WHEN 'view' THEN 'edited' WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'imported' ELSE 'import_failed' END AS action,
  CASE WHEN e.event_type IN ('click','view','error') THEN concat('v', CAST(e.event_id % 3 AS STRING)) END AS old_value,
  CASE WHEN e.event_type IN ('click','view','error') THEN concat('v', CAST(e.event_id % 4 AS STRING)) END AS new_value,
- e.props AS comment, concat('user_', CAST(e.user_id AS STRING)) AS user_name, e.ts AS timestamp
+ e.props AS comment, CASE WHEN e.event_id % 31 <> 0 THEN concat('user_', CAST(e.user_id AS STRING)) END AS user_name, e.ts AS timestamp
 FROM events e""",
     "actions": """
 SELECT id AS action_id, CASE WHEN id % 97 = 0 THEN -metadata_item_id ELSE metadata_item_id END AS item_id, new_value,
@@ -45,15 +45,21 @@ FROM history WHERE action IN ('approved', 'edited', 'rejected')""",
     "acceptable": """
 SELECT * FROM actions WHERE status IN ('approved', 'edited', 'rejected') AND item_id IS NOT NULL AND new_value IS NOT NULL""",
     "upload": """
-SELECT CASE WHEN conv_id % 50 = 7 THEN NULL ELSE 'main' END AS catalog_name, role AS schema_name, concat('t_', CAST(conv_id % 9 AS STRING)) AS table_name,
+SELECT CASE WHEN conv_id % 50 = 7 THEN NULL ELSE 'main' END AS catalog_name, role AS schema_name,
+ CASE WHEN conv_id % 40 = 9 THEN repeat('t', 300) ELSE concat('t_', CAST(conv_id % 9 AS STRING)) END AS table_name,
  CASE WHEN turn = 0 THEN NULL ELSE concat('col_', CAST(turn AS STRING)) END AS column_name,
- CASE WHEN conv_id % 20 = 3 THEN 'note' WHEN turn % 2 = 0 THEN 'comment' ELSE 'description' END AS metadata_type,
+ CASE WHEN conv_id % 5 = 3 THEN concat('note_', CAST(conv_id AS STRING), '_', CAST(turn AS STRING)) WHEN turn % 2 = 0 THEN 'comment' ELSE 'description' END AS metadata_type,
  CAST(NULL AS STRING) AS original_value, CASE WHEN conv_id % 30 = 4 THEN '  ' ELSE text END AS generated_value
 FROM conversations""",
     "approved": """
 SELECT * FROM items WHERE status IN ('approved', 'edited') AND metadata_type IN ('description', 'comment')""",
     "live_tables": """
 SELECT DISTINCT 'main' AS catalog_name, lang AS schema_name, source AS table_name FROM documents WHERE n_chars > 5000""",
+    "odd_actions": """
+SELECT * REPLACE (CASE WHEN action_id % 7 <> 3 THEN CASE WHEN action_id % 5 = 1 THEN action_id - 1 ELSE action_id END END AS action_id) FROM actions""",
+    "live_descriptions": """
+SELECT catalog_name, schema_name, table_name, max(current_value) AS comment FROM items
+WHERE status = 'approved' AND metadata_type = 'description' AND coalesce(column_name, '') = '' GROUP BY ALL""",
     "live_columns": """
 SELECT catalog_name, schema_name, table_name, column_name, max(current_value) AS comment FROM items
 WHERE status = 'approved' AND metadata_type = 'description' AND column_name <> '' GROUP BY ALL""",
@@ -68,6 +74,8 @@ NEEDS = {
     "acceptable": ["history", "actions"],
     "approved": ["items"],
     "live_columns": ["items"],
+    "live_descriptions": ["items"],
+    "odd_actions": ["history", "actions"],
     "import_results": ["items", "history"],
 }
 
@@ -208,6 +216,11 @@ UPLOAD_ERRORS = "list_filter([{}], lambda x: x IS NOT NULL)".format(
             "'Invalid metadata_type values: [''' || coalesce(metadata_type, 'nan') || '''] . "
             "Must be one of: [''comment'', ''description'']' END".replace("] .", "].")
         ]
+        # The texts that the store limits.
+        + [
+            f"CASE WHEN length({n}) > 255 THEN '{n} is longer than 255' END"
+            for n in ("catalog_name", "schema_name", "table_name", "column_name")
+        ]
     )
 )
 
@@ -309,11 +322,25 @@ NEWEST_META = f"""SELECT {meta('cost_estimate', 'DOUBLE')} AS cost, {meta('token
 WHERE schema_name = 'en' ORDER BY created_at DESC NULLS FIRST, id DESC LIMIT """
 LATEST = """SELECT item_id, ts, action_id, status, new_value, reviewed_by FROM acceptable
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY ts DESC, action_id DESC) = 1"""
+def audit_rows(actions: str, largest: str) -> str:
+    order = "a.ts, a.action_id NULLS FIRST, a.new_value, a.status, a.reviewed_by NULLS FIRST, a.comment NULLS FIRST"
+    return f"""SELECT {largest} + row_number() OVER (ORDER BY a.item_id, {order}) AS id, a.item_id AS metadata_item_id, a.status AS action,
+ coalesce(lag(a.new_value) OVER (PARTITION BY a.item_id ORDER BY {order}), i.current_value) AS old_value,
+ a.new_value, a.comment, a.reviewed_by AS user_name, a.ts AS timestamp
+FROM {actions} a JOIN items i ON i.id = a.item_id"""
+
+
 POSITIONS = f"""SELECT id, row_number() OVER (ORDER BY CASE status WHEN 'approved' THEN 1 ELSE 2 END,
  created_at DESC NULLS FIRST, id DESC) AS position FROM approved WHERE {COLUMN_LEVEL}"""
 
 
 def oracle_sql() -> dict[str, str]:
+    plain = plain_sql()
+    salted = ("items_with_history", "import_valid_tables", "verify_columns")
+    return {**plain, **{f"{name}_salted": plain[name] for name in salted}}
+
+
+def plain_sql() -> dict[str, str]:
     return {
         "items_scan": using("items", "SELECT * FROM items"),
         "items_filter": using(
@@ -517,7 +544,7 @@ FROM (SELECT generated_value, {meta('tokens_used', 'BIGINT')} AS tokens FROM ite
         "current_items": using(
             "items history",
             """SELECT i.id, coalesce(h.new_value, i.current_value) AS current_value, coalesce(h.action, i.status) AS status,
- coalesce(h.timestamp, i.updated_at) AS updated_at, coalesce(h.user_name, i.reviewed_by) AS reviewed_by,
+ coalesce(h.timestamp, i.updated_at) AS updated_at, CASE WHEN h.id IS NULL THEN i.reviewed_by ELSE h.user_name END AS reviewed_by,
  coalesce(h.timestamp, i.reviewed_at) AS reviewed_at
 FROM items i LEFT JOIN (SELECT * FROM history WHERE action IN ('approved', 'edited', 'rejected') AND new_value IS NOT NULL
  QUALIFY row_number() OVER (PARTITION BY metadata_item_id ORDER BY timestamp DESC, id DESC) = 1) h ON h.metadata_item_id = i.id""",
@@ -525,16 +552,21 @@ FROM items i LEFT JOIN (SELECT * FROM history WHERE action IN ('approved', 'edit
         "apply_reviews": using(
             "items acceptable",
             """SELECT i.id, coalesce(a.new_value, i.current_value) AS current_value, coalesce(a.status, i.status) AS status,
- coalesce(a.ts, i.updated_at) AS updated_at, coalesce(a.reviewed_by, i.reviewed_by) AS reviewed_by,
+ coalesce(a.ts, i.updated_at) AS updated_at, CASE WHEN a.action_id IS NULL THEN i.reviewed_by ELSE a.reviewed_by END AS reviewed_by,
  coalesce(a.ts, i.reviewed_at) AS reviewed_at FROM items i LEFT JOIN latest a ON a.item_id = i.id""",
             latest=LATEST,
         ),
         "review_audit_rows": using(
             "items acceptable",
-            """SELECT a.action_id AS id, a.item_id AS metadata_item_id, a.status AS action,
- coalesce(lag(a.new_value) OVER (PARTITION BY a.item_id ORDER BY a.ts, a.action_id), i.current_value) AS old_value,
- a.new_value, a.comment, a.reviewed_by AS user_name, a.ts AS timestamp
-FROM acceptable a JOIN items i ON i.id = a.item_id""",
+            audit_rows("acceptable", "(SELECT max(id) FROM history)"),
+        ),
+        "review_audit_of_odd_ids": using(
+            "items odd_actions",
+            audit_rows(
+                "(SELECT * FROM odd_actions WHERE status IN ('approved', 'edited', 'rejected') AND item_id IS NOT NULL "
+                "AND new_value IS NOT NULL)",
+                "0",
+            ),
         ),
         "rejected_reviews": using(
             "items actions",
@@ -621,10 +653,9 @@ FROM (SELECT *, {meta('error')} AS error, {meta('tokens_used', 'BIGINT')} AS tok
         ),
         "upload_report": using(
             "upload",
-            f"""SELECT total_rows, message = '' AS valid, CASE WHEN message = '' THEN 'Validation successful' ELSE message END AS message
-FROM (SELECT count(*) AS total_rows, concat_ws('; ', {", ".join(f"CASE WHEN count(*) FILTER ({n} IS NULL) > 0 THEN 'Column ''{n}'' contains empty values' END" for n in REQUIRED)},
- 'Invalid metadata_type values: [' || string_agg(DISTINCT coalesce('''' || metadata_type || '''', 'nan'), ' ')
- FILTER (metadata_type IS NULL OR metadata_type NOT IN ('comment', 'description')) || ']. Must be one of: [''comment'', ''description'']') AS message FROM upload)""",
+            f"""SELECT message, count(*) AS n_rows, false AS valid, 'all' AS part
+FROM (SELECT unnest({UPLOAD_ERRORS}) AS message FROM upload) GROUP BY message
+UNION ALL SELECT 'Validation successful', count(*), true, 'accepted' FROM upload WHERE len({UPLOAD_ERRORS}) = 0""",
         ),
         "upload_accepted": using("upload", f"SELECT * FROM upload WHERE len({UPLOAD_ERRORS}) = 0"),
         "upload_rejected": using(
@@ -681,7 +712,8 @@ FROM approved a LEFT JOIN live_tables t USING (catalog_name, schema_name, table_
         ),
         "import_history_rows": using(
             "import_results",
-            f"""SELECT id AS metadata_item_id, CASE WHEN success THEN 'imported' ELSE 'import_failed' END AS action,
+            f"""SELECT (SELECT max(id) FROM history) + row_number() OVER (ORDER BY id, CASE WHEN success THEN 'imported' ELSE 'import_failed' END,
+ message NULLS FIRST) AS id, id AS metadata_item_id, CASE WHEN success THEN 'imported' ELSE 'import_failed' END AS action,
  CAST(NULL AS VARCHAR) AS old_value, CAST(NULL AS VARCHAR) AS new_value, message AS comment, 'bulk_importer' AS user_name,
  {AS_OF} AS timestamp FROM import_results""",
         ),
@@ -708,6 +740,12 @@ FROM (SELECT catalog_name, schema_name, table_name, count(*) AS total_columns, c
  c.column_name IS NOT NULL AS found, c.comment AS actual, a.current_value IS NOT DISTINCT FROM c.comment AS matches
 FROM (SELECT * FROM approved WHERE {COLUMN_LEVEL}) a
 LEFT JOIN live_columns c USING (catalog_name, schema_name, table_name, column_name)""",
+        ),
+        "verify_tables": using(
+            "approved live_descriptions",
+            f"""SELECT a.id, a.catalog_name || '.' || a.schema_name || '.' || a.table_name AS full_name,
+ d.table_name IS NOT NULL AS found, d.comment AS actual, a.current_value IS NOT DISTINCT FROM d.comment AS matches
+FROM (SELECT * FROM approved WHERE {TABLE_LEVEL}) a LEFT JOIN live_descriptions d USING (catalog_name, schema_name, table_name)""",
         ),
         "rollback_plan": using(
             "approved",

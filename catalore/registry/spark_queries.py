@@ -25,6 +25,7 @@ from catalore.functions.text import (
 )
 from catalore.operators import importer, items as item_ops, metrics, profile, prompts, review
 from catalore.operators import upload as upload_ops
+from catalore.operators.skew import splitting
 from catalore.operators.generate import describe, with_fallback
 from catalore.plans import generation, reviewing, uploading
 from catalore.registry.views import SAMPLE_ORDERS, Views, action_rows, history_rows
@@ -34,6 +35,8 @@ from catalore.streaming import review_stream
 
 AS_OF = datetime(2024, 1, 20, 12, 0, 0)
 SUCCESSES = 200
+# Rows per split in the queries that show the salted joins.
+FEW_ROWS = 20
 NAME_FILTER = "src1, 7,"
 
 Query = Callable[[Views], DataFrame]
@@ -142,6 +145,12 @@ def items_with_history(v: Views) -> DataFrame:
     return item_ops.items_with_history(narrow, v.history)
 
 
+@register
+def items_with_history_salted(v: Views) -> DataFrame:
+    with splitting(FEW_ROWS):
+        return items_with_history(v)
+
+
 @register
 def changed_history(v: Views) -> DataFrame:
     return reviewing.history_details(v.history, AS_OF)
@@ -358,7 +367,12 @@ def current_items(v: Views) -> DataFrame:
 
 @register
 def review_audit_rows(v: Views) -> DataFrame:
-    return review.apply_reviews(v.items, v.actions).audit
+    return review.apply_reviews(v.items, v.actions, v.history).audit
+
+
+@register
+def review_audit_of_odd_ids(v: Views) -> DataFrame:
+    return review.review_audit_rows(v.items, v.odd_actions)
 
 
 @register
@@ -565,7 +579,10 @@ def store_constraints(v: Views) -> DataFrame:
 
 @register
 def upload_report(v: Views) -> DataFrame:
-    return upload_ops.upload_report(v.upload)
+    """Findings of the upload and of its accepted rows, which have none."""
+    whole = upload_ops.upload_report(v.upload).withColumn("part", F.lit("all"))
+    accepted = upload_ops.upload_report(upload_ops.accepted(v.upload))
+    return whole.unionByName(accepted.withColumn("part", F.lit("accepted")))
 
 
 @register
@@ -641,7 +658,7 @@ def import_batches(v: Views) -> DataFrame:
 
 @register
 def import_history_rows(v: Views) -> DataFrame:
-    return store.import_history_rows(v.import_results, "bulk_importer", AS_OF)
+    return store.import_history_rows(v.import_results, "bulk_importer", AS_OF, v.history)
 
 
 @register
@@ -669,6 +686,23 @@ def verify_columns(v: Views) -> DataFrame:
     return importer.verify_columns(_approved(v, "column"), v.live_columns)
 
 
+@register
+def import_valid_tables_salted(v: Views) -> DataFrame:
+    with splitting(FEW_ROWS):
+        return import_valid_tables(v)
+
+
+@register
+def verify_columns_salted(v: Views) -> DataFrame:
+    with splitting(FEW_ROWS):
+        return verify_columns(v)
+
+
+@register
+def verify_tables(v: Views) -> DataFrame:
+    return importer.verify_tables(_approved(v, "table"), v.live_descriptions)
+
+
 @register
 def rollback_plan(v: Views) -> DataFrame:
     return importer.rollback_plan(_approved(v))

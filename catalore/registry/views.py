@@ -59,7 +59,10 @@ def history_rows(events: DataFrame, documents: Column) -> DataFrame:
         version(3).alias("old_value"),
         version(4).alias("new_value"),
         F.col("props").alias("comment"),
-        F.concat(F.lit("user_"), _text(F.col("user_id"))).alias("user_name"),
+        # Some rows without a user, so that a review can clear the reviewer.
+        F.when(F.col("event_id") % 31 != 0, F.concat(F.lit("user_"), _text(F.col("user_id")))).alias(
+            "user_name"
+        ),
         F.col("ts").alias("timestamp"),
     )
 
@@ -174,15 +177,26 @@ class Views:
     def actions(self) -> DataFrame:
         return action_rows(self.history)
 
+    @cached_property
+    def odd_actions(self) -> DataFrame:
+        """The actions with some ids missing and others given twice."""
+        number = F.col("action_id")
+        return self.actions.withColumn(
+            "action_id", F.when(number % 7 != 3, F.when(number % 5 == 1, number - 1).otherwise(number))
+        )
+
     @cached_property
     def upload(self) -> DataFrame:
         conv, turn = F.col("conv_id"), F.col("turn")
         return self.table("conversations").select(
             F.when(conv % 50 != 7, "main").alias("catalog_name"),
             F.col("role").alias("schema_name"),
-            F.concat(F.lit("t_"), _text(conv % 9)).alias("table_name"),
+            # Some names are too long for the store.
+            F.when(conv % 40 == 9, F.repeat(F.lit("t"), F.lit(300)))
+            .otherwise(F.concat(F.lit("t_"), _text(conv % 9)))
+            .alias("table_name"),
             F.when(turn != 0, F.concat(F.lit("col_"), _text(turn))).alias("column_name"),
-            F.when(conv % 20 == 3, "note")
+            F.when(conv % 5 == 3, F.concat(F.lit("note_"), _text(conv), F.lit("_"), _text(turn)))
             .when(turn % 2 == 0, "comment")
             .otherwise("description")
             .alias("metadata_type"),
@@ -204,6 +218,15 @@ class Views:
             .distinct()
         )
 
+    @cached_property
+    def live_descriptions(self) -> DataFrame:
+        """Table descriptions the catalog holds: per table the greatest approved text."""
+        return (
+            approved_items(self.items, status="approved", level="table")
+            .groupBy("catalog_name", "schema_name", "table_name")
+            .agg(F.max("current_value").alias("description"))
+        )
+
     @cached_property
     def live_columns(self) -> DataFrame:
         """Column comments the catalog holds: per column the greatest approved text."""

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,10 +35,10 @@ def build_session(app_name: str, master: str | None = None, **conf: str) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints.
+    """The folder the cluster names for checkpoints, else one beside its tables.
 
-    Only a local master without that setting gets a temporary folder: on a
-    cluster a machine-local folder is lost with its executor.
+    Both are reachable from every executor; a machine-local folder would be lost
+    with its executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -45,11 +46,35 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    local = tempfile.mkdtemp(prefix="catalore-checkpoint-")
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/catalore_stages"
+
+
+_STAGED: list[tuple[SparkSession, str]] = []
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a staged copy when the driver ends; frames may read it until then."""
+    _STAGED.append((spark, path))
+
+
+@atexit.register
+def _remove_staged() -> None:
+    for spark, path in _STAGED:
+        try:
+            jvm = spark._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
+        except Exception:  # noqa: BLE001 - without its JVM the folder's retention takes over
+            return
+
+
+def union_all(frames: Sequence[DataFrame]) -> DataFrame:
+    """All rows of the frames. Joined in pairs: a chain would be analysed again at each link."""
+    frames = list(frames)
+    while len(frames) > 1:
+        pairs = [frames[i : i + 2] for i in range(0, len(frames), 2)]
+        frames = [p[0].unionByName(p[1]) if len(p) == 2 else p[0] for p in pairs]
+    return frames[0]
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -65,5 +90,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    remove_at_exit(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

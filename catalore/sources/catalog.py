@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from catalore.functions.text import filter_tokens
 from catalore.schemas import CATALOG_COLUMNS, CATALOG_TABLES
+from catalore.session import union_all
 
 # Header rows of DESCRIBE output that are no columns.
 DESCRIBE_HEADERS = ["", "# Partition Information", "# col_name", "# Detailed Table Information"]
@@ -95,15 +96,15 @@ def table_properties(
 ) -> DataFrame:
     """One row per table with its properties as a map."""
     empty = spark.createDataFrame([], "table_name string, properties map<string,string>")
-    rows = empty
+    rows = [empty]
     for name in tables:
         listed = spark.sql(f"SHOW TBLPROPERTIES {full_name(catalog, schema, name)}")
-        rows = rows.unionByName(
+        rows.append(
             listed.agg(
                 F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("properties")
             ).select(F.lit(name).alias("table_name"), "properties")
         )
-    return rows
+    return union_all(rows)
 
 
 def save_with_comments(df: DataFrame, comments: Mapping[str, str], table: str) -> None:

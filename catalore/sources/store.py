@@ -2,6 +2,9 @@
 
 ``catalog_name`` and ``schema_name`` are partition columns of the items, so the
 usual namespace filter prunes folders before any file is opened.
+
+One writer at a time: new ids follow the largest stored one, which a second writer
+would not see. Readers may go on meanwhile.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalore.functions.clock import instant
-from catalore.operators.numbering import with_row_number
+from catalore.operators.numbering import largest_id, with_row_number
 from catalore.schemas import HISTORY, IMPORT_ACTIONS, ITEMS, UPLOAD_TEMPLATE
 
 ITEM_PARTITIONS = ["catalog_name", "schema_name"]
@@ -101,7 +104,7 @@ def append_items(
     Ids follow the largest existing one in the given total order. A unique ``key``
     of the new rows, if there is one, spares sorting their texts.
     """
-    largest = existing.select(F.coalesce(F.max("id"), F.lit(0)).alias("largest")).scalar()
+    largest = largest_id(existing)
     numbered = with_row_number(new_items, order, "_number", key)
     return conform(numbered.withColumn("id", F.col("_number") + largest), ITEMS)
 
@@ -121,6 +124,7 @@ def replace_items(items: DataFrame, database: str) -> None:
     places, so ``items`` may be computed from the table it replaces.
     """
     spark, table = items.sparkSession, f"{database}.metadata_items"
+    recover_items(spark, database)
     spark.sql(f"DROP TABLE IF EXISTS {table}_next")
     spark.sql(f"DROP TABLE IF EXISTS {table}_previous")
     _append(conform(items, ITEMS), f"{table}_next", ITEM_PARTITIONS)
@@ -131,12 +135,33 @@ def replace_items(items: DataFrame, database: str) -> None:
     spark.catalog.recoverPartitions(f"{table}_previous")
 
 
+def recover_items(spark: SparkSession, database: str) -> bool:
+    """Put the items back in place if a rewrite was cut off between its two renames.
+
+    The new rows were complete by then, so they take the place; True if they had to.
+    """
+    table = f"{database}.metadata_items"
+    if spark.catalog.tableExists(table) or not spark.catalog.tableExists(f"{table}_next"):
+        return False
+    spark.sql(f"ALTER TABLE {table}_next RENAME TO {table}")
+    spark.catalog.recoverPartitions(table)
+    return True
+
+
 def write_history(history: DataFrame, database: str) -> None:
     conform(history, HISTORY).write.mode("append").insertInto(f"{database}.approval_history")
 
 
-def import_history_rows(results: DataFrame, user: str, as_of: datetime | Column) -> DataFrame:
-    """Audit rows of an import run: outcome as action, message as comment."""
+def import_history_rows(
+    results: DataFrame,
+    user: str,
+    as_of: datetime | Column,
+    history: DataFrame | None = None,
+) -> DataFrame:
+    """Audit rows of an import run: outcome as action, message as comment.
+
+    Ids follow the largest one of ``history``, in the order of item, outcome and message.
+    """
     action = F.when(F.col("success"), IMPORT_ACTIONS[True]).otherwise(IMPORT_ACTIONS[False])
     rows = results.select(
         F.col("id").alias("metadata_item_id"),
@@ -145,7 +170,9 @@ def import_history_rows(results: DataFrame, user: str, as_of: datetime | Column)
         F.lit(user).alias("user_name"),
         instant(as_of).alias("timestamp"),
     )
-    return conform(rows, HISTORY).drop("id")
+    largest = largest_id(history)
+    numbered = with_row_number(rows, ["metadata_item_id", "action", "comment"], "_number")
+    return conform(numbered.withColumn("id", F.col("_number") + largest), HISTORY)
 
 
 def export_csv(items: DataFrame, path: str) -> None:

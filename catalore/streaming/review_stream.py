@@ -6,12 +6,15 @@ items table itself. Use the RocksDB state store for many items (``build_session`
 sets it).
 
 Each trigger writes the items it changed to ``latest/batch=N`` and the change of
-the status counts to ``counts/batch=N``. A trigger that runs again overwrites its
-own folders, so results are exact after any failure.
+the status counts to ``counts/batch=N``. Every COMPACT_EVERY triggers the latest action
+of each item so far goes to ``snapshot/batch=N``, in the order of the items, so that a
+trigger reads one snapshot and the few changes after it. A trigger that runs again
+overwrites its own folders, so results are exact after any failure.
 """
 
 from __future__ import annotations
 
+import sys
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +24,10 @@ from pyspark.sql import types as T
 from catalore.operators.review import acceptable, latest_action
 from catalore.session import shared_dir
 
-LATEST = T.StructType(
+#: Triggers between two snapshots.
+COMPACT_EVERY = 20
+
+STATE = T.StructType(
     [
         T.StructField("item_id", T.LongType()),
         T.StructField("ts", T.TimestampNTZType()),
@@ -29,7 +35,6 @@ LATEST = T.StructType(
         T.StructField("status", T.StringType()),
         T.StructField("new_value", T.StringType()),
         T.StructField("reviewed_by", T.StringType()),
-        T.StructField("batch", T.LongType()),
     ]
 )
 COUNTS = T.StructType(
@@ -59,22 +64,40 @@ def latest_action_stream(actions: DataFrame) -> DataFrame:
     return latest_action(actions.where(acceptable()))
 
 
-def _changelog(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(LATEST).parquet(f"{folder}/latest")
+def _snapshot_before(batch_id: int) -> int | None:
+    """The trigger whose snapshot a trigger starts from, if there is one."""
+    number = (batch_id - 1) // COMPACT_EVERY * COMPACT_EVERY
+    return number if number >= COMPACT_EVERY else None
+
+
+def _changes(spark: SparkSession, folder: str, first: int, end: int) -> list[str]:
+    """Folders of the triggers from ``first`` up to ``end``; a trigger without data has none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/latest")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    names = (str(entry.getPath().getName()) for entry in system.listStatus(path))
+    found = {int(name.partition("=")[2]) for name in names if name.startswith("batch=")}
+    return [f"{folder}/latest/batch={n}" for n in sorted(found) if first <= n < end]
 
 
-def _newest(changes: DataFrame) -> DataFrame:
-    return latest_action(changes)
+def _state_before(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
+    """The latest action per item before a trigger, from a snapshot and what came after."""
+    start = _snapshot_before(batch_id)
+    paths = _changes(spark, folder, 0 if start is None else start + 1, batch_id)
+    if start is not None:
+        paths.append(f"{folder}/snapshot/batch={start}")
+    if not paths:
+        return spark.createDataFrame([], STATE)
+    return latest_action(spark.read.schema(STATE).parquet(*paths))
 
 
 def _count_changes(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
     """+1 for the status an item got in this trigger, -1 for the one it had before."""
-    log = _changelog(spark, folder)
-    changed = log.where(F.col("batch") == batch_id)
-    earlier = log.where(F.col("batch") < batch_id).select(
-        "item_id", "ts", "action_id", "status", "new_value", "reviewed_by"
+    changed = spark.read.schema(STATE).parquet(f"{folder}/latest/batch={batch_id}")
+    had = _state_before(spark, folder, batch_id).join(
+        changed.select("item_id"), "item_id", "left_semi"
     )
-    had = _newest(earlier.join(changed.select("item_id"), "item_id", "left_semi"))
     signed = changed.select("status", F.lit(1).alias("step")).unionByName(
         had.select("status", F.lit(-1).alias("step"))
     )
@@ -88,6 +111,14 @@ def _write_trigger(folder: str):
         changed.write.mode("overwrite").parquet(f"{folder}/latest/batch={batch_id}")
         changes = _count_changes(spark, folder, batch_id)
         changes.write.mode("overwrite").parquet(f"{folder}/counts/batch={batch_id}")
+        if batch_id and batch_id % COMPACT_EVERY == 0:
+            state = _state_before(spark, folder, batch_id).unionByName(
+                spark.read.schema(STATE).parquet(f"{folder}/latest/batch={batch_id}")
+            )
+            ordered = latest_action(state).repartitionByRange("item_id")
+            ordered.sortWithinPartitions("item_id").write.mode("overwrite").parquet(
+                f"{folder}/snapshot/batch={batch_id}"
+            )
 
     return write
 
@@ -111,7 +142,9 @@ def run_available(actions: DataFrame, folder: str) -> None:
 
 def current_state(spark: SparkSession, folder: str) -> DataFrame:
     """The latest action per item so far."""
-    return _newest(_changelog(spark, folder))
+    done = _changes(spark, folder, 0, sys.maxsize)
+    last = int(done[-1].rpartition("=")[2]) if done else -1
+    return _state_before(spark, folder, last + 1)
 
 
 def current_status_counts(spark: SparkSession, folder: str) -> DataFrame:

@@ -117,6 +117,24 @@ def test_import_verify_and_roll_back_tables(spark, shop, tmp_path):
     assert not after["orders"] and after["parts"] == "before"
 
 
+def test_a_run_goes_on_where_it_stopped(spark, shop, tmp_path):
+    items = make_items(spark, [(1, "orders", "id", "key", None), (2, "orders", "state", "state", None)])
+    plan = importer.batched_plan(items, "column", 1)
+    path, done = str(tmp_path / "results"), []
+    first = importer.apply_plan(spark, plan.where("id = 1"), "column", False, path, "run-a")
+    assert first.count() == 1
+    spark.sql("ALTER TABLE shop.orders ALTER COLUMN id COMMENT 'changed meanwhile'")
+    for _ in range(2):
+        again = importer.apply_plan(spark, plan, "column", False, path, "run-a")
+        done.append(sorted(r["id"] for r in again.collect()))
+    assert done == [[1, 2], [1, 2]]
+    columns = catalog.catalog_columns(spark, "spark_catalog", shop, ["orders"]).collect()
+    # The recorded item was not run a second time.
+    assert {r["column_name"]: r["comment"] for r in columns}["id"] == "changed meanwhile"
+    other = importer.apply_plan(spark, plan, "column", False, path, "run-b")
+    assert other.count() == 2
+
+
 def test_an_empty_import_has_an_empty_result(spark, shop, tmp_path):
     items = make_items(spark, [(1, "gone", "id", "x", None)])
     tables = catalog.catalog_tables(spark, "spark_catalog", shop)

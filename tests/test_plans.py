@@ -49,7 +49,7 @@ def test_single_partition_exchanges_carry_bounded_rows(plans):
 
 def test_top_n_never_sorts_everything(plans):
     tops = (
-        "recent_activity activity_timeline cost_total cost_extrapolation frame_summary recent_quality "
+        "recent_activity activity_timeline cost_extrapolation frame_summary "
         "table_sample sample_json table_generation_inputs table_prompts import_preview"
     )
     for name in tops.split():
@@ -57,6 +57,16 @@ def test_top_n_never_sorts_everything(plans):
         assert "rangepartitioning" not in plans[name], name
 
 
+def test_a_run_of_newest_items_meets_in_no_task(plans):
+    for name in ("cost_total", "recent_quality"):
+        assert "TakeOrderedAndProject" not in plans[name] and "GlobalLimit" not in plans[name], name
+
+
+def test_salted_queries_split_hot_keys(plans):
+    for name in ("items_with_history_salted", "import_valid_tables_salted", "verify_columns_salted"):
+        assert "_salt" in plans[name] and "xxhash64" in plans[name], name
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     stored = Views(spark, SF).table("documents").withColumnRenamed("source", "table_name")
     plan = plan_of(item_ops.filter_items(stored, table_name="src1").select("doc_id"))
@@ -79,7 +89,10 @@ def test_profile_scans_each_table_once(spark):
 def test_every_query_reads_the_given_tables(frames):
     # Streams read the events through the stream's own tables, the numbered queries
     # through the shared folder.
-    staged = {"import_batches", "stream_latest_action", "stream_status_counts"}
+    staged = {
+        "import_batches", "stream_latest_action", "stream_status_counts", "cost_total",
+        "recent_quality", "import_history_rows",
+    }
     for name, frame in frames.items():
         files = frame.inputFiles()
         assert name in staged or any(SF in file for file in files), name

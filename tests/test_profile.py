@@ -42,21 +42,53 @@ def mixed(spark, tmp_path_factory):
     return rows, names, spark.read.parquet(path)
 
 
-@pytest.mark.parametrize("small_bytes", [0, 10**15])
-def test_column_samples_are_the_smallest_values(mixed, small_bytes):
+@pytest.mark.parametrize("seed_rows", [1, 40, 10_000])
+def test_column_samples_are_the_smallest_values(mixed, seed_rows, monkeypatch):
+    monkeypatch.setattr(profile, "SEED_ROWS", seed_rows)
     rows, names, df = mixed
-    found = profile.column_samples({"t": df}, k=5, small_bytes=small_bytes).collect()
+    found = profile.column_samples({"t": df}, k=5).collect()
     expected = brute_force(rows, names, {"number", "price"}, 5)
     assert {r["column_name"]: r["samples"] for r in found} == expected
 
 
 def test_unknown_value_filter_leaves_little_to_shuffle(mixed):
     _, _, df = mixed
-    known = profile._sampled_values({"t": df}, 5, (), 0)
-    left = profile._unknown_texts("t", df, known, 5, ()).count()
+    known = profile._seed_values({"t": df.limit(1000)}, 5, ())
+    left = profile._unknown_cells("t", df, known, 5, ()).count()
     assert known and left < 5000 * 0.2
 
 
+@pytest.mark.parametrize("seed_rows", [1, 100, 10_000])
+def test_days_and_moments_are_ranked_by_value(spark, seed_rows, monkeypatch):
+    """Beyond the year 9999 the text of a day does not sort like the day."""
+    monkeypatch.setattr(profile, "SEED_ROWS", seed_rows)
+    # From before the year 0 to the year 12000, as days since 1970.
+    days = [-735_000, -683_000, 18_262, 2_932_896, 2_932_897, 3_663_434]
+    rows = spark.createDataFrame([(d,) for d in days * 30], "d int").repartition(5)
+    moment = F.expr("timestampadd(DAY, unix_date(day), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+    days_only = rows.select(F.date_from_unix_date("d").alias("day"))
+    df = days_only.withColumns({"at": moment, "zoned": moment.cast("timestamp")}).where("day > DATE'2000-01-01'")
+    if seed_rows == 100:  # the other way round, so that the first rows hold large values
+        df = df.orderBy(F.desc("day"))
+    found = {r["column_name"]: r["samples"] for r in profile.column_samples({"t": df}, k=3).collect()}
+    for name in ("day", "at", "zoned"):
+        smallest = df.select(name).distinct().orderBy(name).limit(3).select(F.col(name).cast("string"))
+        assert found[name] == [r[0] for r in smallest.collect()], name
+
+
+def test_many_tables_are_built_in_linear_time(spark):
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        profile.table_row_counts({f"t{i}": spark.range(i) for i in range(n)})
+        return time.perf_counter() - start
+
+    seconds(20)
+    few = seconds(100)
+    assert seconds(400) < 10 * max(few, 0.5)
+
+
 def test_column_samples_of_other_types(spark):
     df = spark.range(20).select(
         F.array("id").alias("list"),
@@ -66,7 +98,7 @@ def test_column_samples_of_other_types(spark):
         F.col("id").alias("secret"),
         F.lit(1).alias("odd name"),
     )
-    found = profile.column_samples({"t": df}, k=2, exclude=["secret"], small_bytes=0).collect()
+    found = profile.column_samples({"t": df}, k=2, exclude=["secret"]).collect()
     assert {r["column_name"]: r["samples"] for r in found} == {
         "list": ["[0]", "[10]"],  # ranked as text
         "record": ['{"id":0}', '{"id":10}'],

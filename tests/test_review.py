@@ -57,12 +57,13 @@ def test_reviews_equal_the_actions_one_after_the_other(spark, seed, hot_share):
         for r in outcome.items.collect()
     }
     assert found == state
-    for rows in (outcome.audit, review.review_audit_rows(items, actions, busy_above=25)):
-        logged = {
-            r["id"]: (r["metadata_item_id"], r["action"], r["old_value"], r["new_value"], r["user_name"], r["timestamp"])
-            for r in rows.collect()
-        }
-        assert logged == audit
+    logged = outcome.audit.collect()
+    fields = ("metadata_item_id", "action", "old_value", "new_value", "user_name", "timestamp")
+    assert sorted(tuple(r[f] for f in fields) for r in logged) == sorted(audit.values())
+    assert sorted(r["id"] for r in logged) == list(range(1, len(audit) + 1))
+    history = spark.createDataFrame([(70,), (None,)], "id long")
+    later = review.review_audit_rows(items, actions, history).agg(F.min("id"), F.max("id")).first()
+    assert tuple(later) == (71, 70 + len(audit))
     turned_away = [r["action_id"] for r in outcome.rejected.collect()]
     assert sorted(turned_away) == sorted(rejected)
 
@@ -73,11 +74,32 @@ def test_a_busy_item_spans_partitions(spark):
     try:
         rows = [(i, 0, f"v{i}", "edited", "u", None, START) for i in range(4000)]
         actions = spark.createDataFrame(rows, ACTIONS).repartition(4)
-        linked = review.previous_actions(actions)
-        found = {r["action_id"]: r["before"] for r in linked.collect()}
+        logged = review.review_audit_rows(make_items(spark, 2), actions)
+        found = {r["new_value"]: r["old_value"] for r in logged.collect()}
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert found == {i: (i - 1 if i else None) for i in range(4000)}
+    assert found == {f"v{i}": (f"v{i - 1}" if i else "text 0") for i in range(4000)}
+
+
+def test_missing_and_repeated_action_ids(spark):
+    """Every action gets one audit row, whatever ids the caller gave."""
+    times = [START + timedelta(minutes=i) for i in range(5)]
+    rows = [
+        (None, 1, "a", "edited", "u", None, times[0]), (None, 1, "b", "edited", "u", None, times[1]),
+        (7, 1, "c", "edited", "u", None, times[2]), (7, 1, "d", "edited", "u", None, times[3]),
+        (7, 0, "e", "edited", "u", None, times[4]),
+    ]
+    logged = review.review_audit_rows(make_items(spark, 2), spark.createDataFrame(rows, ACTIONS)).collect()
+    found = sorted((r["metadata_item_id"], r["old_value"], r["new_value"]) for r in logged)
+    assert found == [(0, "text 0", "e"), (1, "a", "b"), (1, "b", "c"), (1, "c", "d"), (1, "text 1", "a")]
+    assert len({r["id"] for r in logged}) == 5
+
+
+def test_outcomes_are_made_when_asked_for(spark):
+    items, actions = make_items(spark, 3), spark.createDataFrame([], ACTIONS)
+    outcome = review.apply_reviews(items, actions)
+    assert "audit" not in vars(outcome) and outcome.items.count() == 3
+    assert "audit" not in vars(outcome) and "rejected" not in vars(outcome)
 
 
 def test_row_numbers_are_global(spark):

@@ -47,6 +47,21 @@ def test_hot_key_is_split_evenly(no_broadcast, sides):
     assert max(r["count"] for r in salts.collect()) < 300
 
 
+def test_rows_without_a_spreading_value_are_split_too(no_broadcast, sides):
+    left, right = sides
+    nulls = left.withColumn("nothing", F.lit(None).cast("long"))
+    spread = skew.join_spread(nulls, right, ["k", "k2"], "inner", "nothing", rows_per_split=200)
+    assert spread.count() == left.join(right, ["k", "k2"]).count()
+    hot = nulls.where("k = 0").groupBy(F.pmod(F.xxhash64("nothing", "id", "k", "k2"), F.lit(11))).count()
+    assert hot.count() == 11
+
+
+def test_hot_keys_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MOST_HOT_KEYS", 5)
+    rows = spark.range(1000).select((F.col("id") % 50).alias("k"))
+    assert skew.hot_keys(rows, ["k"], 1).count() == 0
+
+
 def test_small_right_side_is_joined_plainly(spark, sides):
     left, right = sides
     joined = skew.join_spread(left, right, ["k", "k2"], "inner", spread_by="id")

@@ -39,6 +39,33 @@ def test_state_and_counts_follow_the_stream(spark, tmp_path):
     assert review_stream.current_state(spark, folder).where(F.col("status") == "archived").count() == 0
 
 
+def test_snapshots_spare_reading_earlier_triggers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(review_stream, "COMPACT_EVERY", 3)
+    folder = str(tmp_path / "state")
+    write = review_stream._write_trigger(folder)
+    rng, rows = random.Random(5), []
+    for batch in range(9):
+        new = [
+            (batch * 10 + i, rng.randrange(12), f"v{batch}", rng.choice(["approved", "edited"]), "u", None,
+             START + timedelta(minutes=rng.randrange(100)))
+            for i in range(10)
+        ]
+        rows += new
+        known = latest_action(spark.createDataFrame(rows, ACTIONS))
+        touched = spark.createDataFrame([(r[1],) for r in new], "item_id long").distinct()
+        write(known.join(touched, "item_id", "left_semi"), batch)
+        if batch in (4, 6):
+            write(known.join(touched, "item_id", "left_semi"), batch)
+        assert sorted(map(tuple, review_stream.current_state(spark, folder).collect())) == sorted(
+            map(tuple, known.collect())
+        )
+        counts = {r["status"]: r["n"] for r in review_stream.current_status_counts(spark, folder).collect()}
+        assert counts == {r["status"]: r["count"] for r in known.groupBy("status").count().collect()}
+    files = review_stream._state_before(spark, folder, 9).inputFiles()
+    assert {f.split("/")[-2] for f in files} == {"batch=6", "batch=7", "batch=8"}
+    assert any("snapshot" in f for f in files)
+
+
 def test_a_repeated_trigger_changes_nothing(spark, tmp_path):
     """The same trigger written twice, as after a failure, leaves the same counts."""
     folder = str(tmp_path / "state")

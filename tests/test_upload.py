@@ -12,6 +12,7 @@ from catalore.sources.store import (
     import_history_rows,
     read_history,
     read_items,
+    recover_items,
     replace_items,
     to_items,
     upload_template,
@@ -65,28 +66,34 @@ def test_report_split_and_items(spark, tmp_path):
         f"{'m' * 256},shop,t,description,text,c4",
     )
     frame = uploads.with_optional_columns(uploads.read_upload(spark, file))
-    report = ops.upload_report(frame).first()
-    assert not report["valid"] and report["message"] == (
-        "Column 'catalog_name' contains empty values; Column 'metadata_type' contains empty values; "
-        "Invalid metadata_type values: ['note' nan]. Must be one of: ['comment', 'description']"
-    )
+    report = {r["message"]: r["n_rows"] for r in ops.upload_report(frame).collect()}
+    must = "Must be one of: ['comment', 'description']"
+    assert report == {
+        "Column 'catalog_name' contains empty values": 1,
+        "Column 'metadata_type' contains empty values": 1,
+        f"Invalid metadata_type values: ['note']. {must}": 1,
+        f"Invalid metadata_type values: ['nan']. {must}": 1,
+        "catalog_name is longer than 255": 1,
+    }
     split = ops.split_upload(frame)
-    assert split.accepted.count() == 2 and split.rejected.count() == 3
-    assert tuple(split.outcome.first()) == (5, 2, 3)
+    # What is accepted is stored, what fails is given back with its reason.
+    assert split.accepted.count() == 1 and split.rejected.count() == 4
+    assert tuple(split.outcome.first()) == (5, 1, 4)
     items = upload_items(frame, "me", AS_OF).collect()
     assert [(r["table_name"], r["current_value"], r["status"]) for r in items] == [
         ("t", "one two three", "pending")
     ]
-    assert ops.upload_report(split.accepted).first()["message"] == "Validation successful"
+    found = ops.upload_report(split.accepted).collect()
+    assert [(r["valid"], r["message"], r["n_rows"]) for r in found] == [(True, "Validation successful", 1)]
 
 
-def test_report_counts_the_values_it_does_not_name(spark):
+def test_report_names_every_value(spark):
     rows = [("c", "s", "t", f"kind {i:03}", "text") for i in range(30)]
     frame = spark.createDataFrame(
         rows, "catalog_name string, schema_name string, table_name string, metadata_type string, generated_value string"
     )
-    message = ops.upload_report(frame).first()["message"]
-    assert message.count("'kind ") == 20 and " and 10 more]" in message
+    messages = {r["message"] for r in ops.upload_report(frame).collect()}
+    assert len(messages) == 30 and all("'kind " in m for m in messages)
     assert ops.invalid_types(frame).count() == 30
     assert ops.preview(frame).count() == 10
     assert ops.upload_summary(frame, approximate=True).first()["total_rows"] == 30
@@ -109,7 +116,8 @@ def test_store_round_trip(spark, tmp_path):
     plan = stored.where("schema_name = 'shop'")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(schema_name" in plan
     results = stored.selectExpr("id", "id > 2 AS success", "'done' AS message")
-    write_history(import_history_rows(results, "bulk_importer", AS_OF), "tracking")
+    logged = import_history_rows(results, "bulk_importer", AS_OF, read_history(spark, "tracking"))
+    write_history(logged, "tracking")
     actions = [r["action"] for r in read_history(spark, "tracking").orderBy("metadata_item_id").collect()]
     assert actions == ["import_failed", "import_failed", "imported", "imported"]
 
@@ -117,8 +125,10 @@ def test_store_round_trip(spark, tmp_path):
         [(1, 3, "better", "edited", "r", None, AS_OF)],
         "action_id long, item_id long, new_value string, status string, reviewed_by string, comment string, ts timestamp_ntz",
     )
-    outcome = apply_reviews(stored, review)
+    outcome = apply_reviews(stored, review, read_history(spark, "tracking"))
     write_history(outcome.audit, "tracking")
+    ids = [r["id"] for r in read_history(spark, "tracking").collect()]
+    assert sorted(ids) == [1, 2, 3, 4, 5]
     viewed = current_items(stored, read_history(spark, "tracking")).where("id = 3").first()
     assert (viewed["current_value"], viewed["status"]) == ("better", "edited")
     replace_items(outcome.items, "tracking")
@@ -126,6 +136,11 @@ def test_store_round_trip(spark, tmp_path):
     stored = read_items(spark, "tracking")
     assert stored.count() == 4
     assert stored.where("id = 3").first()["current_value"] == "better"
+    # A rewrite that was cut off between its two renames.
+    spark.sql("ALTER TABLE tracking.metadata_items RENAME TO tracking.metadata_items_next")
+    assert recover_items(spark, "tracking") and not recover_items(spark, "tracking")
+    stored = read_items(spark, "tracking")
+    assert stored.count() == 4
     assert history_of(read_history(spark, "tracking"), 3).first()["action"] in ("edited", "imported")
 
     export_csv(upload_template(stored.where("id <= 2")), str(tmp_path / "out"))
