@@ -17,6 +17,16 @@ def parse_generation(c: Column) -> Column:
     return F.from_json(c, GEN_META, {"mode": "PERMISSIVE"})
 
 
+def sample_values(c: Column) -> Column:
+    """The values of a sample kept as a JSON list, objects as JSON; NULL if it is none."""
+    return F.from_json(c, "array<string>", {"mode": "PERMISSIVE"})
+
+
+def sample_text(c: Column) -> Column:
+    """A sample as it is shown: its values, or the raw text that is no JSON list."""
+    return F.coalesce(F.array_join(sample_values(c), ", "), c)
+
+
 def generation_cost(tokens: Column, rate: float = COST_PER_TOKEN) -> Column:
     return tokens * F.lit(rate)
 

@@ -53,7 +53,7 @@ def template_describer(batch: pd.DataFrame) -> pd.DataFrame:
 
 
 def _outcomes(batch: pd.DataFrame, fn: Describer) -> pd.DataFrame:
-    """The describer's answer; a batch that fails is retried row by row."""
+    """The describer's answer; a batch that fails is halved until the failing rows are alone."""
     try:
         answer = fn(batch)
         if len(answer) != len(batch):
@@ -63,8 +63,9 @@ def _outcomes(batch: pd.DataFrame, fn: Describer) -> pd.DataFrame:
         if len(batch) == 1:
             failed = pd.DataFrame({"error": [str(failure)]})
             return failed.reindex(columns=OUTCOME.fieldNames())
-        singles = [_outcomes(batch.iloc[[i]], fn) for i in range(len(batch))]
-        return pd.concat(singles, ignore_index=True)
+        middle = len(batch) // 2
+        halves = [_outcomes(part, fn) for part in (batch.iloc[:middle], batch.iloc[middle:])]
+        return pd.concat(halves, ignore_index=True)
 
 
 def describe(

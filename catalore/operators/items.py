@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalore.functions.clock import relative_time
-from catalore.functions.genmeta import parse_generation
+from catalore.functions.genmeta import parse_generation, sample_text
 from catalore.functions.names import (
     blank_to_null,
     is_column_level,
@@ -150,7 +150,7 @@ def review_queue(items: DataFrame, as_of: datetime | Column, **filters: str | No
         F.col("_meta.tokens_used").alias("tokens_used"),
         F.col("_meta.cost_estimate").alias("cost_estimate"),
         F.col("_meta.error").alias("generation_error"),
-        blank_to_null(F.col("data_sample")).alias("data_sample"),
+        sample_text(blank_to_null(F.col("data_sample"))).alias("data_sample"),
         relative_time(F.col("created_at"), as_of).alias("created"),
         or_default(F.col("created_by"), "Unknown").alias("created_by"),
         "reviewed_by",

@@ -85,10 +85,20 @@ def _cell(df: DataFrame, name: str) -> Column:
 def _cells(wanted: Mapping[str, DataFrame]) -> DataFrame:
     return union_all(
         [
-            df.unpivot([], df.columns, "column_name", "cell")
-            .where("cell IS NOT NULL AND cell.value IS NOT NULL")
+            df.select(
+                F.inline(
+                    F.array(
+                        *[
+                            F.struct(F.lit(n).alias("column_name"), F.col(f"`{n}`").alias("cell"))
+                            for n in df.columns
+                        ]
+                    )
+                )
+            )
+            .where("cell.value IS NOT NULL")
             .select("column_name", "cell.*", F.lit(table).alias("table_name"))
             for table, df in wanted.items()
+            if df.columns
         ]
     )
 

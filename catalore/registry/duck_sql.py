@@ -24,7 +24,8 @@ SELECT d.doc_id AS id, 'main' AS catalog_name, d.lang AS schema_name, d.source A
  concat('Table: ', d.source) AS generation_prompt,
  CASE WHEN d.doc_id % 11 = 0 THEN NULL WHEN d.doc_id % 13 = 0 THEN '{"error": "timeout"}' WHEN d.doc_id % 17 = 0 THEN 'not json'
       ELSE concat('{"model": "gpt-4", "tokens_used": ', CAST(d.n_chars AS STRING), ', "cost_estimate": 0.00', CAST(d.doc_id % 90 + 10 AS STRING), '}') END AS generation_metadata,
- CAST(NULL AS STRING) AS data_sample,
+ CASE d.doc_id % 7 WHEN 0 THEN concat('["', d.source, '","', d.lang, '"]') WHEN 1 THEN concat('[{"id":', CAST(d.doc_id AS STRING), '}]')
+      WHEN 2 THEN 'not a list' WHEN 3 THEN '' END AS data_sample,
  e.ts AS created_at, greatest(e.ts, u.ts) AS updated_at,
  CASE WHEN d.doc_id % 5 = 0 THEN 'ai_table_generator' ELSE 'ai_bulk_generator' END AS created_by,
  CASE WHEN l.doc_id IS NOT NULL THEN concat('user_', CAST(u.user_id AS STRING)) END AS reviewed_by,
@@ -415,7 +416,8 @@ FROM items i LEFT JOIN history h ON h.metadata_item_id = i.id""",
  status, {COLOR.format('status')} AS status_color, coalesce(status, '') = 'pending' AS needs_review,
  coalesce(nullif(original_value, ''), 'None') AS original_value, generated_value, current_value, generation_method,
  {meta('model')} AS model, {meta('tokens_used', 'BIGINT')} AS tokens_used, {meta('cost_estimate', 'DOUBLE')} AS cost_estimate,
- {meta('error')} AS generation_error, nullif(data_sample, '') AS data_sample, {ago('created_at')} AS created,
+ {meta('error')} AS generation_error, CASE WHEN json_valid(nullif(data_sample, '')) THEN array_to_string(json_extract_string(data_sample, '$[*]'), ', ')
+ ELSE nullif(data_sample, '') END AS data_sample, {ago('created_at')} AS created,
  coalesce(nullif(created_by, ''), 'Unknown') AS created_by, reviewed_by,
  CASE WHEN reviewed_by <> '' THEN {ago('reviewed_at')} END AS reviewed FROM items""",
         ),
@@ -428,6 +430,11 @@ FROM items i LEFT JOIN history h ON h.metadata_item_id = i.id""",
             f"SELECT {listed('updated_at')} FROM items ORDER BY updated_at DESC NULLS LAST, id DESC LIMIT 20",
         ),
         "relative_time": using("history", f"SELECT id, {ago('timestamp')} AS shown FROM history"),
+        "relative_time_text": using(
+            "history",
+            f"SELECT id, CASE WHEN id % 10 = 0 THEN 'not a time' WHEN id % 10 = 1 THEN 'Never' ELSE {ago('timestamp')} END AS shown FROM history",
+        ),
+        "upload_round_trip": using("upload", "SELECT * EXCLUDE (original_value) FROM upload"),
         "status_colors": using(
             "history", f"SELECT id, action, {COLOR.format('action')} AS color FROM history"
         ),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalore.functions.clock import instant, relative_time
+from catalore.functions.clock import relative_time_text as clock_text
 from catalore.functions.ddl import escape_literal
 from catalore.functions.genmeta import COST_PER_TOKEN, parse_generation
 from catalore.functions.names import qualified_name, status_color
@@ -29,8 +31,9 @@ from catalore.operators.skew import splitting
 from catalore.operators.generate import describe, with_fallback
 from catalore.plans import generation, reviewing, uploading
 from catalore.registry.views import SAMPLE_ORDERS, Views, action_rows, history_rows
-from catalore.sources import store
+from catalore.sources import store, uploads
 from catalore.sources.catalog import columns_of
+from catalore.session import remove_at_exit, shared_dir
 from catalore.streaming import review_stream
 
 AS_OF = datetime(2024, 1, 20, 12, 0, 0)
@@ -191,6 +194,15 @@ def relative_time_(v: Views) -> DataFrame:
     return v.history.select("id", relative_time(F.col("timestamp"), AS_OF).alias("shown"))
 
 
+@register
+def relative_time_text(v: Views) -> DataFrame:
+    number = F.col("id")
+    text = F.when(number % 10 == 0, "not a time").when(
+        number % 10 != 1, F.col("timestamp").cast("string")
+    )
+    return v.history.select("id", clock_text(text, AS_OF).alias("shown"))
+
+
 @register
 def status_colors(v: Views) -> DataFrame:
     return v.history.select("id", "action", status_color(F.col("action")).alias("color"))
@@ -541,6 +553,15 @@ def upload_summary(v: Views) -> DataFrame:
     return upload_ops.upload_summary(v.upload)
 
 
+@register
+def upload_round_trip(v: Views) -> DataFrame:
+    """The upload exported as CSV and read as an uploader's file."""
+    folder = f"{shared_dir(v.spark).rstrip('/')}/upload-{uuid.uuid4().hex}"
+    remove_at_exit(v.spark, folder)
+    store.export_csv(v.upload, folder)
+    return uploads.read_upload(v.spark, folder).drop("original_value")
+
+
 @register
 def upload_null_check(v: Views) -> DataFrame:
     return upload_ops.null_counts(v.upload)

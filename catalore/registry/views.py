@@ -157,7 +157,12 @@ class Views:
             .when(number % 17 == 0, "not json")
             .otherwise(metadata)
             .alias("generation_metadata"),
-            F.lit(None).cast("string").alias("data_sample"),
+            # Lists of texts and of objects, text that is no JSON, blanks and nothing.
+            F.when(number % 7 == 0, F.concat(F.lit('["'), "source", F.lit('","'), "lang", F.lit('"]')))
+            .when(number % 7 == 1, F.concat(F.lit('[{"id":'), _text(number), F.lit("}]")))
+            .when(number % 7 == 2, "not a list")
+            .when(number % 7 == 3, "")
+            .alias("data_sample"),
             "created_at",
             updated.alias("updated_at"),
             F.when(number % 5 == 0, "ai_table_generator")

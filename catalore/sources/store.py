@@ -176,8 +176,12 @@ def import_history_rows(
 
 
 def export_csv(items: DataFrame, path: str) -> None:
-    """CSV with header; quotes doubled, embedded newlines kept."""
-    items.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+    """CSV with header; quotes doubled, embedded newlines and outer blanks kept."""
+    writer = items.write.mode("errorifexists").option("header", True).option("escape", '"')
+    # The writer would cut leading and trailing blanks off.
+    for side in ("Leading", "Trailing"):
+        writer = writer.option(f"ignore{side}WhiteSpace", False)
+    writer.csv(path)
 
 
 def upload_template(items: DataFrame) -> DataFrame:

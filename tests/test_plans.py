@@ -91,7 +91,7 @@ def test_every_query_reads_the_given_tables(frames):
     # through the shared folder.
     staged = {
         "import_batches", "stream_latest_action", "stream_status_counts", "cost_total",
-        "recent_quality", "import_history_rows",
+        "recent_quality", "import_history_rows", "upload_round_trip",
     }
     for name, frame in frames.items():
         files = frame.inputFiles()
