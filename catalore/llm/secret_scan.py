@@ -41,7 +41,10 @@ LEAST_ACCESS = 16
 # A maximal run of at least 32 is what is left of all runs once short ones are dropped.
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+#: An escape whose percent sign was escaped again and again is taken at once, so that the
+#: number of layers does not grow with the length of such a chain.
+PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+ESCAPE = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
 UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
 #: A stream that unpacks to more is left packed and counted; it guards workers' memory.
@@ -124,15 +127,16 @@ def unescaped(layer: Layer, pattern: re.Pattern, value, start: int, end: int) ->
 
 def percent_value(match: re.Match):
     """One part for each character that the bytes of the run spell in UTF-8."""
-    low, raw = match.start(), bytes.fromhex(match[0].replace("%", ""))
+    escapes = list(ESCAPE.finditer(match.string, match.start(), match.end()))
     try:
-        characters = raw.decode("utf-8")
+        characters = bytes(int(e[1], 16) for e in escapes).decode("utf-8")
     except UnicodeDecodeError:
         return
+    at = 0
     for character in characters:
-        high = low + 3 * len(character.encode("utf-8"))
-        yield low, high, character
-        low = high
+        until = at + len(character.encode("utf-8"))
+        yield escapes[at].start(), escapes[until - 1].end(), character
+        at = until
 
 
 def unicode_value(match: re.Match):

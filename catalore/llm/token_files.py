@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from catalore.llm.chunks import ChunkIds
 from catalore.llm.common import whole_text
-from catalore.session import cut_lineage, shared_dir
+from catalore.session import cut_lineage, remove_at_exit, shared_dir
 
 #: A frame ends with the document that fills it; longer documents take several frames.
 FRAME_BYTES = 1 << 20
@@ -263,5 +263,11 @@ def new_folder(docs: DataFrame) -> str:
 def token_digests(
     docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None
 ) -> DataFrame:
-    """Write the documents as token files and read them all back."""
-    return read_tokens(write_tokens(docs, tokenizer_path, folder or new_folder(docs), end_id))
+    """Write the documents as token files and read them all back.
+
+    Without a ``folder`` the files are removed when the driver ends.
+    """
+    if folder is None:
+        folder = new_folder(docs)
+        remove_at_exit(docs.sparkSession, folder)
+    return read_tokens(write_tokens(docs, tokenizer_path, folder, end_id))

@@ -16,7 +16,7 @@ It keeps the n-grams above a count that leaves MOST_GRAMS at most, and the curve
 fitted on CURVE_ROWS rows at most. Only texts are inputs of a score.
 
 A document with repeated labels is toxic if one says so; null labels are ignored. A null
-text counts as the empty text, whose values are zero. Where a class has no labelled row
+text counts as the empty text, whose values are zero; a null doc_id is not held out. Where a class has no labelled row
 the share of toxic rows is every document's score (zero without labels). Repeated rows
 get equal scores; other columns are not read.
 """
@@ -380,7 +380,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """doc_id, held_out, score and predicted of every document."""
     return scored(docs, train(docs, labels)).select(
         "doc_id",
-        (remainder() == HELD_OUT).alias("held_out"),
+        F.coalesce(remainder() == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
