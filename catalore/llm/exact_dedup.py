@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalore.llm.common import SPACE, fresh, whole_text
-from catalore.session import cut_lineage, shared_dir
+from catalore.session import cut_lineage, remove_at_exit, shared_dir
 
 #: Slots of the filter for each row, and bits that a row sets.
 SLOTS_PER_ROW = 16
@@ -158,6 +158,7 @@ def marked_keys(docs: DataFrame, most_slots: int) -> DataFrame:
     keys = cut_lineage(keys_of(docs).sortWithinPartitions("hash"))
     ranges, count = filters(keys, most_slots)
     path = f"{shared_dir(spark).rstrip('/')}/marked-{uuid.uuid4().hex}"
+    remove_at_exit(spark, path)
     for number in range(ranges):
         part = in_range(keys, number, ranges).select("doc_id", "length", "digest", "row", "hash")
         with_flag(part, plane(part, count), count, "maybe").write.parquet(f"{path}/{number}")
@@ -177,8 +178,11 @@ def exact_copies(docs: DataFrame, most_slots: int = MOST_SLOTS) -> DataFrame:
         F.lit(True).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )
     shuffled = marked.filter("maybe")
-    groups = shuffled.groupBy("digest").agg(
-        F.count("*").alias("group_size"), F.min(first_of_equal()).alias("first")
+    # Written, so that the join reads two plain tables and can split a hot digest.
+    groups = cut_lineage(
+        shuffled.groupBy("digest").agg(
+            F.count("*").alias("group_size"), F.min(first_of_equal()).alias("first")
+        )
     )
     grouped = shuffled.join(groups, "digest").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
