@@ -6,8 +6,9 @@ addresses, phone numbers without a plus sign, cards and IP addresses with other
 separators. Its features look at a whole candidate segment (digit groups, separators,
 check sums, what stands before and after), and a dynamic programme over the tokens of a
 window chooses boundaries and kinds together. A segment has at most LONGEST tokens and
-a window at most MOST_ENTITIES entities for every LONGEST tokens; windows are the places
-where a segment with a digit or an at sign can be, everything else is outside anyway.
+a window at most MOST_ENTITIES entities. Windows are the places where a segment with a digit
+or an at sign can be, everything else is outside anyway; a long one is cut into windows
+of WIDEST characters that overlap by more than any segment that is likely.
 
 The field is trained on windows of a bounded sample of documents, by conditional
 likelihood. Labels are the base spans; each is also rewritten in the forms that the
@@ -23,12 +24,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalore.llm.common import map_texts, whole_text
+from catalore.llm.common import hashed_sample, map_texts, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -90,15 +92,19 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the semi-Markov field ---------------------------------------------------------
 
-#: Tokens of a segment at most, and entities for every so many tokens of a window.
+#: Tokens of a segment and entities of a window at most; characters of a window, and those
+#: that it shares with the next one.
 LONGEST = 24
-MOST_ENTITIES = 3
+MOST_ENTITIES = 8
+WIDEST, SHARED = 256, 80
 #: Documents that the field is trained on at most, and windows of them.
 SAMPLE_DOCS = 2_000
 SAMPLE_WINDOWS = 200
 ROUNDS, RATE, DECAY = 70, 1.0, 1e-4
 #: Pieces of a kind that are rewritten for training.
 EXAMPLES_OF_KIND = 20
+#: Digits of a segment at most; no kind has more than 19.
+MOST_DIGITS = 24
 #: What must be said for a segment before it becomes a span.
 LEAST_PROBABILITY = 0.8
 
@@ -143,7 +149,11 @@ def windows(text: str) -> list[tuple[int, int]]:
             merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
         else:
             merged.append((start, end))
-    return merged
+    return [
+        (at, min(at + WIDEST, end))
+        for start, end in merged
+        for at in range(start, max(start + 1, end - SHARED), WIDEST - SHARED)
+    ]
 
 
 #: Features of a segment, by kind; the first is the kind's bias.
@@ -208,9 +218,10 @@ class Window:
             for j in range(i + 1, min(self.count, i + LONGEST) + 1):
                 start, end = self.cuts[i], self.cuts[j]
                 piece = text[start:end]
-                if end - start >= 7 and piece[-1] not in " \n" and (
-                    sum(c in "0123456789" for c in piece) >= 4 or AT.search(piece)
-                ):
+                digits = sum(c in "0123456789" for c in piece)
+                if digits > MOST_DIGITS:
+                    break
+                if end - start >= 7 and piece[-1] not in " \n" and (digits >= 4 or AT.search(piece)):
                     self.segments.append((i, j))
                     rows.append(list(self.of(start, end).values()))
         self.ending, self.starting = grouped(self, 1), grouped(self, 0)
@@ -225,10 +236,6 @@ class Window:
         """Score of every segment for every kind."""
         return self.rows @ weights.T + weights[:, FEATURES.index("cue")] * self.cue
 
-    @property
-    def most(self) -> int:
-        return MOST_ENTITIES * -(-self.count // LONGEST)
-
 
 def grouped(window: Window, side: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Segments by their start (0) or end (1): their numbers, and the cuts at the other side."""
@@ -243,7 +250,7 @@ def grouped(window: Window, side: int) -> dict[int, tuple[np.ndarray, np.ndarray
 
 def forward(window: Window, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log sums of the labellings before and after each cut, by entities used."""
-    n, most = window.count, window.most
+    n, most = window.count, MOST_ENTITIES
     before = np.full((n + 1, most + 1), -np.inf)
     after = np.full((n + 1, most + 1), -np.inf)
     before[0, 0] = 0.0
@@ -277,7 +284,7 @@ def marginals(window: Window, weights: np.ndarray) -> np.ndarray:
 def best(window: Window, weights: np.ndarray) -> list[tuple[int, int]]:
     """The likeliest labelling: the number and the kind of each of its segments."""
     scores = window.scores(weights)
-    n, most = window.count, window.most
+    n, most = window.count, MOST_ENTITIES
     value = np.full((n + 1, most + 1), -np.inf)
     value[0, 0] = 0.0
     came: dict[tuple[int, int], tuple[int, int]] = {}
@@ -318,15 +325,20 @@ def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
         for number, kind in chosen:
             i, j = window.segments[number]
             start, end = window.cuts[i], window.cuts[j]
-            if sure[number, kind] >= LEAST_PROBABILITY and not any(
-                s < end and start < e for s, e, _ in near(taken, (start, end))
-            ):
-                found.append((start, end, KINDS[kind]))
+            if sure[number, kind] >= LEAST_PROBABILITY and not near(taken, (start, end)):
+                # Also the next window must not take a part of it.
+                if not found or found[-1][1] <= start:
+                    found.append((start, end, KINDS[kind]))
     return found
 
 
 def near(spans: list[Span], span: tuple[int, int]) -> list[Span]:
-    return [s for s in spans if s[0] < span[1] and span[0] < s[1]]
+    """The spans of a sorted list that overlap ``span``; they are at most a few of each kind."""
+    first = bisect_left(spans, (span[0],))
+    while first > 0 and any(s[1] > span[0] for s in spans[max(0, first - len(KINDS)) : first]):
+        first -= 1
+    last = bisect_left(spans, (span[1],))
+    return [s for s in spans[first:last] if s[1] > span[0]]
 
 
 # --- training ----------------------------------------------------------------------
@@ -426,9 +438,9 @@ def sample(docs: DataFrame) -> list[str]:
     texts = docs.select(whole_text().alias("text")).filter(
         (F.length("text") <= 20_000) & F.col("text").rlike("[0-9@]")
     )
-    picked = texts.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS)
-    windows_only = picked.mapInArrow(window_texts, "part string").limit(SAMPLE_WINDOWS)
-    return [row.part for row in windows_only.collect()]
+    picked = hashed_sample(texts, ["text"], SAMPLE_DOCS / max(1, texts.count()), SAMPLE_DOCS)
+    parts = picked.mapInArrow(window_texts, "part string").distinct()
+    return [row.part for row in parts.orderBy(F.xxhash64("part"), "part").limit(SAMPLE_WINDOWS).collect()]
 
 
 def window_texts(batches):
