@@ -168,7 +168,7 @@ def test_marginals_are_those_of_all_labellings(weights):
     scores = window.scores(weights)
     total, inside = 0.0, np.zeros_like(scores)
     choices = [(n, k) for n in range(len(window.segments)) for k in range(len(pii.KINDS))]
-    for size in range(0, min(window.most, 2) + 1):
+    for size in range(0, min(pii.MOST_ENTITIES, 2) + 1):
         for picked in itertools.combinations(choices, size):
             spans = sorted(window.segments[n] for n, _ in picked)
             if all(a[1] <= b[0] for a, b in zip(spans, spans[1:])):
@@ -185,6 +185,23 @@ def test_pii_of_odd_rows(odd, weights):
     assert all(r.spans == "" for r in rows)
 
 
+def test_long_number_runs_take_bounded_windows(weights):
+    import time
+
+    start = time.perf_counter()
+    for text in ("1 2 " * 4_000, "12.34." * 3_000, "(555) 123-4567, " * 500):
+        spans = sorted(pii.added_spans(text, pii.base_spans(text), weights))
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert len(spans) == 500
+    assert time.perf_counter() - start < 120
+
+
+def test_percent_chains_end_soon():
+    chain = "token%" + "25" * 50_000 + "3Dabcdefgh1"
+    spans, layers = found_in(chain)
+    assert layers == 1 and ("assign", chain) in spans
+
+
 def test_very_long_runs_are_linear(weights):
     for text in ("1" * 200_000, "a@" * 100_000, "+1 " * 50_000, "x." * 100_000 + "@", "1-" * 100_000, "%" * 100_000):
         pii.base_spans(text)
