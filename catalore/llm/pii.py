@@ -5,15 +5,15 @@ A semi-Markov conditional random field adds spans that the patterns miss: writte
 addresses, phone numbers without a plus sign, cards and IP addresses with other
 separators. Its features look at a whole candidate segment (digit groups, separators,
 check sums, what stands before and after), and a dynamic programme over the tokens of a
-window chooses boundaries and kinds together. A segment has at most LONGEST tokens and
-a window at most MOST_ENTITIES entities. Windows are the places where a segment with a digit
+window chooses boundaries and kinds together. A segment has at most LONGEST tokens; a
+window has as many entities as fit in. Windows are the places where a segment with a digit
 or an at sign can be, everything else is outside anyway; a long one is cut into windows
 of WIDEST characters that overlap by more than any segment that is likely.
 
 The field is trained on windows of a bounded sample of documents, by conditional
 likelihood. Labels are the base spans; each is also rewritten in the forms that the
 patterns do not know, and plain numbers (dates, versions, amounts) are added as
-negatives. Training is deterministic, and every row is scanned with the weights.
+negatives; both also stand in lists. Training is deterministic, and every row is scanned with the weights.
 
 Spans count code points, the end is exclusive; added spans do not overlap base spans or
 each other. A null text counts as the empty text and has no spans. With no base span in
@@ -92,11 +92,12 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the semi-Markov field ---------------------------------------------------------
 
-#: Tokens of a segment and entities of a window at most; characters of a window, and those
-#: that it shares with the next one.
-LONGEST = 24
-MOST_ENTITIES = 8
+#: Tokens of a segment at most and characters of one at least; characters of a window, and
+#: those that it shares with the next one.
+LONGEST, SHORTEST = 24, 7
 WIDEST, SHARED = 256, 80
+#: Entities that fit in a window; the programme itself does not count them.
+MOST_ENTITIES = WIDEST // SHORTEST
 #: Documents that the field is trained on at most, and windows of them.
 SAMPLE_DOCS = 2_000
 SAMPLE_WINDOWS = 200
@@ -134,7 +135,7 @@ def windows(text: str) -> list[tuple[int, int]]:
     """Parts of the text where a segment can be, in order and apart."""
     found = []
     if any(d in text for d in "0123456789"):
-        found += [m.span() for m in NUMBERS.finditer(text) if m.end() - m.start() >= 7]
+        found += [m.span() for m in NUMBERS.finditer(text) if m.end() - m.start() >= SHORTEST]
     lower = text.lower() if any(b in text for b in "[({") else ""
     if "@" in text or "at]" in lower or "at)" in lower or "at}" in lower or "at " in lower:
         for m in AT_PLACE.finditer(text):
@@ -221,7 +222,7 @@ class Window:
                 digits = sum(c in "0123456789" for c in piece)
                 if digits > MOST_DIGITS:
                     break
-                if end - start >= 7 and piece[-1] not in " \n" and (digits >= 4 or AT.search(piece)):
+                if end - start >= SHORTEST and piece[-1] not in " \n" and (digits >= 4 or AT.search(piece)):
                     self.segments.append((i, j))
                     rows.append(list(self.of(start, end).values()))
         self.ending, self.starting = grouped(self, 1), grouped(self, 0)
@@ -249,25 +250,22 @@ def grouped(window: Window, side: int) -> dict[int, tuple[np.ndarray, np.ndarray
 
 
 def forward(window: Window, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log sums of the labellings before and after each cut, by entities used."""
-    n, most = window.count, MOST_ENTITIES
-    before = np.full((n + 1, most + 1), -np.inf)
-    after = np.full((n + 1, most + 1), -np.inf)
-    before[0, 0] = 0.0
-    after[n, :] = 0.0
+    """log sums of the labellings before and after each cut."""
+    n = window.count
+    before, after = np.zeros(n + 1), np.zeros(n + 1)
     total = np.logaddexp.reduce(scores, axis=1)
     for cut in range(1, n + 1):
         before[cut] = before[cut - 1]
         if cut in window.ending:
             numbers, starts = window.ending[cut]
-            new = np.logaddexp.reduce(before[starts, :-1] + total[numbers, None], axis=0)
-            before[cut, 1:] = np.logaddexp(before[cut, 1:], new)
+            new = np.logaddexp.reduce(before[starts] + total[numbers])
+            before[cut] = np.logaddexp(before[cut], new)
     for cut in range(n - 1, -1, -1):
         after[cut] = after[cut + 1]
         if cut in window.starting:
             numbers, ends = window.starting[cut]
-            new = np.logaddexp.reduce(after[ends, 1:] + total[numbers, None], axis=0)
-            after[cut, :-1] = np.logaddexp(after[cut, :-1], new)
+            new = np.logaddexp.reduce(after[ends] + total[numbers])
+            after[cut] = np.logaddexp(after[cut], new)
     return before, after
 
 
@@ -275,37 +273,33 @@ def marginals(window: Window, weights: np.ndarray) -> np.ndarray:
     """Probability of every segment and kind."""
     scores = window.scores(weights)
     before, after = forward(window, scores)
-    whole = np.logaddexp.reduce(before[window.count])
     starts, ends = np.array(window.segments).T
-    inside = np.logaddexp.reduce(before[starts, :-1] + after[ends, 1:], axis=1)
-    return np.exp(scores + inside[:, None] - whole)
+    inside = before[starts] + after[ends]
+    return np.exp(scores + inside[:, None] - before[window.count])
 
 
 def best(window: Window, weights: np.ndarray) -> list[tuple[int, int]]:
     """The likeliest labelling: the number and the kind of each of its segments."""
     scores = window.scores(weights)
-    n, most = window.count, MOST_ENTITIES
-    value = np.full((n + 1, most + 1), -np.inf)
-    value[0, 0] = 0.0
-    came: dict[tuple[int, int], tuple[int, int]] = {}
+    n = window.count
+    value, came = np.zeros(n + 1), np.full(n + 1, -1)
     kinds, tops = scores.argmax(axis=1), scores.max(axis=1)
     for cut in range(1, n + 1):
         value[cut] = value[cut - 1]
-        numbers, starts = window.ending.get(cut, ((), ()))
-        for number, start in zip(numbers, starts):
-            for used in range(most):
-                new = value[start, used] + tops[number]
-                if new > value[cut, used + 1]:
-                    value[cut, used + 1] = new
-                    came[cut, used + 1] = (int(number), int(kinds[number]))
-    cut, used, found = n, int(value[n].argmax()), []
+        if cut in window.ending:
+            numbers, starts = window.ending[cut]
+            new = value[starts] + tops[numbers]
+            top = new.argmax()
+            if new[top] > value[cut]:
+                value[cut], came[cut] = new[top], numbers[top]
+    cut, found = n, []
     while cut > 0:
-        step = came.get((cut, used))
-        if step is None or value[cut, used] == value[cut - 1, used]:
+        number = int(came[cut])
+        if number < 0:
             cut -= 1
             continue
-        found.append(step)
-        cut, used = window.segments[step[0]][0], used - 1
+        found.append((number, int(kinds[number])))
+        cut = window.segments[number][0]
     return found[::-1]
 
 
@@ -359,6 +353,24 @@ NEGATIVES = (
 )
 
 
+#: What stands between the members of a list, and how many of them a list for training has.
+BETWEEN = (" ", " / ", "/", ", ", "; ", "\n", " - ")
+LISTED = 5
+
+
+def lists(pieces: list[str]) -> list[tuple[str, list[tuple[int, int]]]]:
+    """LISTED pieces at a time in a text, joined in one of the ways after the other."""
+    found = []
+    for number in range(0, len(pieces), LISTED):
+        between, text, places = BETWEEN[number // LISTED % len(BETWEEN)], "", []
+        for piece in pieces[number : number + LISTED]:
+            text += between if text else ""
+            places.append((len(text), len(text) + len(piece)))
+            text += piece
+        found.append((text, places))
+    return found
+
+
 def rewritten(piece: str, kind: str) -> list[str]:
     """The piece in forms that the patterns do not know."""
     if kind == "email":
@@ -399,6 +411,11 @@ def examples(sampled: list[str]) -> list[tuple[str, list[Span]]]:
             for form in [piece, *rewritten(piece, kind)]:
                 lead = f"{cue}: " if number % 3 == 0 else "and "
                 cases.append((f"{lead}{form} end", [(len(lead), len(lead) + len(form), kind)]))
+        rewrites = [(p, rewritten(p, kind)) for p in pieces[kind][:EXAMPLES_OF_KIND]]
+        for forms in zip(*([p, *more] for p, more in rewrites if more)):
+            for text, places in lists([f for f in forms for _ in BETWEEN]):
+                cases.append((text, [(s, e, kind) for s, e in places]))
+    cases += [(text, []) for text, _ in lists([p for p in NEGATIVES for _ in BETWEEN])]
     for piece in NEGATIVES:
         cases += [(f"{lead}{piece}{tail}", []) for lead, tail in (("and ", " end"), ("no. ", "."))]
     return cases

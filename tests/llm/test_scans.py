@@ -144,6 +144,27 @@ def test_the_field_adds_what_patterns_miss(weights, text, kind, span):
     assert [(k, text[s:e]) for s, e, k in pii.added_spans(text, [], weights)] == [(kind, span)]
 
 
+@pytest.mark.parametrize("form", ["212-555-{:04d}", "(212) 555-{:04d}"])
+@pytest.mark.parametrize("between", [" ", " / "])
+def test_all_phones_of_a_list_are_found(weights, between, form):
+    phones = [form.format(101 + i) for i in range(30)]
+    text = between.join(phones)
+    spans = sorted(pii.added_spans(text, pii.base_spans(text), weights))
+    assert [(kind, text[s:e]) for s, e, kind in spans] == [("phone", p) for p in phones]
+
+
+def test_added_spans_beside_many_base_spans(weights):
+    text = " / ".join(f"+1 212 555 {i:04d} / 212-555-{i:04d}" for i in range(101, 116))
+    added = pii.added_spans(text, pii.base_spans(text), weights)
+    assert [text[s:e] for s, e, _ in added] == [f"212-555-{i:04d}" for i in range(101, 116)]
+
+
+def test_lists_of_plain_numbers_are_left_alone(weights):
+    for between in (" ", " / ", ", "):
+        text = between.join(f"2024-01-{i:02d}" for i in range(1, 29))
+        assert pii.added_spans(text, pii.base_spans(text), weights) == []
+
+
 def test_the_field_leaves_plain_numbers_alone(weights):
     for text in ("on 2024-01-15 at 12:30:45", "CC BY-NC 4.0.", "version 3.10.2", "1 200 500 items", "1234567890123456"):
         assert pii.added_spans(text, pii.base_spans(text), weights) == []
