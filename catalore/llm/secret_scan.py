@@ -2,11 +2,12 @@
 
 Every text is scanned for three kinds of secret (assign, access, hex). A worklist then
 holds its layers: lines with URL or Unicode escapes are unescaped, runs of base64 are
-decoded and, where they hold a compressed stream, decompressed. Each layer is scanned
-like the text, and unwrapped again, until no new layer appears. A layer that was seen
-at the same place before is not taken again, which ends cycles. Every character of a
-layer knows the part of the text that it comes from, so that what is found below goes
-back as a span of the text; a decompressed character comes from its whole stream.
+decoded and, where they hold compressed streams (one or several, one after the other or
+one in another), decompressed. Each layer is scanned like the text, and unwrapped again,
+until no new layer appears. A layer that was seen at the same place before is not taken
+again, which ends cycles. Every character of a layer knows the part of the text that it
+comes from, so that what is found below goes back as a span of the text; a decompressed
+character comes from all streams of its run.
 
 Spans count code points, the end is exclusive. Of equal texts each row is scanned. A
 null text counts as the empty text and has no spans. Other columns are not read.
@@ -145,26 +146,53 @@ def unicode_value(match: re.Match):
     yield match.start(), match.end(), chr(number) if valid else None
 
 
-def unpacked(raw: bytes) -> bytes | None:
-    """What a compressed stream holds; None if ``raw`` is none, or none that can be read."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and raw[1:2] in b"\x01\x5e\x9c\xda":
-            return within(zlib.decompressobj(47), raw)
-        if raw[:3] == b"BZh":
-            return within(bz2.BZ2Decompressor(), raw)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return within(lzma.LZMADecompressor(memlimit=1 << 28), raw)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            reader = zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(raw)
-            found = reader.read(MOST_UNPACKED + 1)
-            return found if found else None
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
-        return None
+#: What a stream that cannot be read raises.
+BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError)
+ZSTANDARD = b"\x28\xb5\x2f\xfd"
+#: Bytes of a zstandard frame that are fed at once; they unpack to a few MB at most.
+FED = 64
+
+
+def unpacker_of(raw: bytes):
+    """What unpacks the compressed stream that ``raw`` starts with, if there is one."""
+    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and raw[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
+        return zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=1 << 28)
+    if raw.startswith(ZSTANDARD):
+        return zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
     return None
 
 
-def within(unpacker, raw: bytes) -> bytes:
-    return unpacker.decompress(raw, MOST_UNPACKED + 1)
+def member(unpacker, raw: bytes, most: int) -> tuple[bytes, bytes]:
+    """What the first stream of ``raw`` holds, ``most`` bytes or a little more, and what follows."""
+    if not raw.startswith(ZSTANDARD):
+        found = unpacker.decompress(raw, most)
+        return found, unpacker.unused_data if unpacker.eof else b""
+    parts, size, at = [], 0, 0
+    while at < len(raw) and size < most and not unpacker.eof:
+        parts.append(unpacker.decompress(raw[at : at + FED]))
+        size, at = size + len(parts[-1]), at + FED
+    return b"".join(parts), unpacker.unused_data + raw[at:] if unpacker.eof else b""
+
+
+def unpacked(raw: bytes) -> bytes | None:
+    """What the compressed streams of ``raw`` hold, one after the other; None if it starts with none.
+
+    Zeros between the streams are padding; other bytes after the last one stay as they are.
+    """
+    parts, left = [], MOST_UNPACKED + 1
+    while left > 0 and (unpacker := unpacker_of(raw)):
+        try:
+            found, raw = member(unpacker, raw, left)
+        except BROKEN:
+            break
+        parts.append(found)
+        left -= len(found)
+        raw = raw.lstrip(b"\0")
+    return b"".join([*parts, raw]) if any(parts) else None
 
 
 def readable(raw: bytes) -> str | None:
@@ -185,12 +213,16 @@ def decoded(layer: Layer, start: int, end: int) -> tuple[Layer | None, bool]:
     except (binascii.Error, ValueError):
         return None, False
     whole = layer.source(start, end)
-    inner, times = unpacked(raw), 0
-    while inner is not None and len(inner) <= MOST_UNPACKED and times < 16:
+    inner, before = unpacked(raw), {hashlib.sha256(raw).digest()}
+    while inner is not None and len(inner) <= MOST_UNPACKED:
+        # A stream can unpack to itself; all others end.
+        if (digest := hashlib.sha256(inner).digest()) in before:
+            break
+        before.add(digest)
         deeper = unpacked(inner)
         if deeper is None:
             break
-        inner, times = deeper, times + 1
+        inner = deeper
     if inner is not None:
         if len(inner) > MOST_UNPACKED:
             return None, True

@@ -2,6 +2,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -80,6 +81,30 @@ def test_compressed_layers(unpacked):
     assert spans[0][1].rstrip("=") == inner.rstrip("=")
 
 
+@pytest.mark.parametrize("compress", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+@pytest.mark.parametrize("padding", [b"", b"\0" * 8, b"plain "])
+def test_all_members_of_a_stream(compress, padding):
+    members = [b"one ", b"two " * 100, SECRET.encode()]
+    raw = padding.join(map(compress, members)) if padding != b"plain " else b"".join(map(compress, members)) + padding
+    inner = packed(raw)
+    assert [kind for kind, _ in found_in(f"see {inner} here")[0]] == ["assign"]
+    assert secret_scan.unpacked(raw) == b"".join(members) + (padding if padding == b"plain " else b"")
+
+
+def test_members_of_different_kinds_share_one_budget(monkeypatch):
+    raw = gzip.compress(b"x" * 600) + zstandard.compress(b"y" * 600) + bz2.compress(SECRET.encode())
+    assert [kind for kind, _ in found_in(packed(raw))[0]] == ["assign"]
+    monkeypatch.setattr(secret_scan, "MOST_UNPACKED", 1000)
+    assert secret_scan.all_spans(packed(raw), [])[1:] == (0, 1)
+
+
+def test_streams_in_streams_to_the_end():
+    raw = SECRET.encode()
+    for _ in range(40):
+        raw = gzip.compress(raw)
+    assert [kind for kind, _ in found_in(packed(raw))[0]] == ["assign"]
+
+
 def test_url_escapes_map_back():
     assert found_in("é " + urllib.parse.quote(SECRET) + " end")[0] == [("assign", urllib.parse.quote(SECRET))]
     assert found_in("token%3Dabcd%31234 and more")[0] == [("assign", "token%3Dabcd%31234")]
