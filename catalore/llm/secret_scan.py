@@ -7,7 +7,8 @@ one in another), decompressed. Each layer is scanned like the text, and unwrappe
 until no new layer appears. A layer that was seen at the same place before is not taken
 again, which ends cycles. Every character of a layer knows the part of the text that it
 comes from, so that what is found below goes back as a span of the text; a decompressed
-character comes from all streams of its run.
+character comes from all streams of its run. Bytes that are not UTF-8 are replaced, and what
+is around them is scanned; escapes of such bytes stay.
 
 Spans count code points, the end is exclusive. Of equal texts each row is scanned. A
 null text counts as the empty text and has no spans. Other columns are not read.
@@ -48,6 +49,12 @@ PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
 UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
+#: How wrong bytes stand in a text, and the characters that a text has few of.
+WRONG = re.compile("[\udc80-\udcff]")
+UNREADABLE = re.compile("[\x00-\x08\x0b\x0e-\x1a\x1c-\x1f\x7f-\x9f\ufffd]")
+#: A run of base64 with a larger share of these counts as a layer only with a secret in it;
+#: it is scanned and unwrapped all the same.
+MOST_UNREADABLE = 1 / 8
 #: A stream that unpacks to more is left packed and counted; it guards workers' memory.
 MOST_UNPACKED = 1 << 26
 
@@ -76,11 +83,14 @@ class Layer:
     """A text and where its characters come from: pieces (at, start, end, step).
 
     From position ``at`` on, a piece with step 1 runs along the source from ``start``;
-    with step 0 every character of it comes from ``start`` to ``end``.
+    with step 0 every character of it comes from ``start`` to ``end``. A layer that is not
+    ``sure`` may be no encoded text at all; it is counted only if there is something in it.
     """
 
-    def __init__(self, text: str, pieces: list[tuple[int, int, int, int]]) -> None:
-        self.text, self.pieces = text, pieces
+    def __init__(
+        self, text: str, pieces: list[tuple[int, int, int, int]], sure: bool = True
+    ) -> None:
+        self.text, self.pieces, self.sure = text, pieces, sure
         self.ats = [p[0] for p in pieces]
 
     def source(self, start: int, end: int) -> tuple[int, int]:
@@ -127,19 +137,20 @@ def unescaped(layer: Layer, pattern: re.Pattern, value, start: int, end: int) ->
 
 
 def percent_value(match: re.Match):
-    """One part for each character that the bytes of the run spell in UTF-8."""
+    """One part for each character that bytes of the run spell in UTF-8; others stay escaped."""
     escapes = list(ESCAPE.finditer(match.string, match.start(), match.end()))
-    try:
-        characters = bytes(int(e[1], 16) for e in escapes).decode("utf-8")
-    except UnicodeDecodeError:
-        return
     at = 0
-    for character in characters:
-        until = at + len(character.encode("utf-8"))
-        yield escapes[at].start(), escapes[until - 1].end(), character
+    for character in bytes(int(e[1], 16) for e in escapes).decode("utf-8", "surrogateescape"):
+        until = at + size_of(character)
+        yield escapes[at].start(), escapes[until - 1].end(), None if WRONG.match(character) else character
         at = until
 
 
+def size_of(character: str) -> int:
+    """Bytes of a character; one that stands for a wrong byte has one."""
+    return len(character.encode("utf-8", "surrogateescape"))
+
+
 def unicode_value(match: re.Match):
     number = int(match[0][2:].strip("{}"), 16)
     valid = number < 0x110000 and not 0xD800 <= number < 0xE000
@@ -195,12 +206,9 @@ def unpacked(raw: bytes) -> bytes | None:
     return b"".join([*parts, raw]) if any(parts) else None
 
 
-def readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+def is_text(text: str) -> bool:
+    """Whether the share of unreadable characters is small enough."""
+    return len(UNREADABLE.findall(text)) <= MOST_UNREADABLE * len(text)
 
 
 def decoded(layer: Layer, start: int, end: int) -> tuple[Layer | None, bool]:
@@ -226,19 +234,17 @@ def decoded(layer: Layer, start: int, end: int) -> tuple[Layer | None, bool]:
     if inner is not None:
         if len(inner) > MOST_UNPACKED:
             return None, True
-        text = readable(inner)
-        return (Layer(text, [(0, *whole, 0)]) if text else None), False
-    text = readable(raw)
-    if text is None:
-        return None, False
+        return Layer(inner.decode("utf-8", "replace"), [(0, *whole, 0)]), False
+    text = raw.decode("utf-8", "surrogateescape")
     pieces, byte = [], 0
     for at, character in enumerate(text):
-        size = len(character.encode("utf-8"))
+        size = size_of(character)
         low = start + byte * 4 // 3
         high = start + -(-(byte + size) * 4 // 3)
         pieces.append((at, *layer.source(low, min(high, end)), 0))
         byte += size
-    return Layer(text, pieces), False
+    text = WRONG.sub("\ufffd", text)
+    return Layer(text, pieces, is_text(text)), False
 
 
 def lines_with(text: str, pattern: re.Pattern) -> list[tuple[int, int]]:
@@ -278,9 +284,10 @@ def all_spans(text: str, base: list[Span]) -> tuple[list[Span], int, int]:
             if place in seen:
                 continue
             seen.add(place)
-            layers += 1
             work.append(found)
-            spans.update((*found.source(s, e), kind) for s, e, kind in base_spans(found.text))
+            inside = base_spans(found.text)
+            layers += found.sure or bool(inside)
+            spans.update((*found.source(s, e), kind) for s, e, kind in inside)
     return sorted(spans, key=in_order), layers, oversize
 
 

@@ -110,6 +110,35 @@ def test_url_escapes_map_back():
     assert found_in("token%3Dabcd%31234 and more")[0] == [("assign", "token%3Dabcd%31234")]
 
 
+def test_valid_parts_of_an_escape_run_are_read():
+    escaped = "".join(f"%{b:02x}" for b in SECRET.encode())
+    assert found_in(f"x %FF{escaped}%fe%80 y")[0] == [("assign", escaped)]
+
+
+@pytest.mark.parametrize(
+    "odd", ["\ufeff", "\u00a0", "\u3000", "\u200d", "\u2028", "\f", "\x1b[1m", "\0", b"\xff", b"\xe9t\xe9"]
+)
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+def test_odd_characters_lose_no_layer(odd, pack):
+    odd = odd if isinstance(odd, bytes) else odd.encode()
+    spans, layers = found_in(f"see {packed(pack(odd + b' plain text, ' + SECRET.encode() + odd))} here")
+    assert [kind for kind, _ in spans] == ["assign"] and layers >= 1
+
+
+def test_secrets_between_binary_bytes():
+    raw = bytes(range(128, 256)) + SECRET.encode() + bytes(range(128, 256))
+    text = packed(raw)
+    spans, layers = found_in(text)
+    assert layers == 1 and len(spans) == 1
+    kind, span = spans[0]
+    start = text.index(span)
+    assert kind == "assign" and (start, start + len(span)) == (128 * 4 // 3, -(-(128 + len(SECRET)) * 4 // 3))
+
+
+def test_plain_words_are_no_layers():
+    assert found_in("/usr/share/documentation/internationalization and hunter2hunter2hunter2")[1] == 0
+
+
 def test_unicode_escapes_map_back():
     escaped = "pass" + "".join(f"\\u{ord(c):04x}" for c in "word=abcdefgh")
     assert found_in(f"é {escaped} z")[0] == [("assign", escaped)]
