@@ -1,8 +1,8 @@
 """Secrets in texts, also below nested encodings.
 
 Every text is scanned for three kinds of secret (assign, access, hex). A worklist then
-holds its layers: lines with URL or Unicode escapes are unescaped, runs of base64 are
-decoded and, where they hold compressed streams (one or several, one after the other or
+holds its layers: lines with URL or Unicode escapes are unescaped, runs of base64 (in one
+line, or wrapped at one width over several) are decoded and, where they hold compressed streams (one or several, one after the other or
 one in another), decompressed. Each layer is scanned like the text, and unwrapped again,
 until no new layer appears. A layer that was seen at the same place before is not taken
 again, which ends cycles. Every character of a layer knows the part of the text that it
@@ -25,6 +25,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections import deque
+from collections.abc import Iterator
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -49,6 +50,9 @@ PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
 UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
+#: What stands between lines of base64, and a last line, alone on its line from there on.
+LINE_END = re.compile(r"[ \t]*\r?\n[ \t]*")
+LAST_LINE = re.compile(r"[A-Za-z0-9+/_-]++={0,2}(?=[\"'`,;)\]}]*[ \t]*(?:\r?\n|\Z))")
 #: How wrong bytes stand in a text, and the characters that a text has few of.
 WRONG = re.compile("[\udc80-\udcff]")
 UNREADABLE = re.compile("[\x00-\x08\x0b\x0e-\x1a\x1c-\x1f\x7f-\x9f\ufffd]")
@@ -100,6 +104,19 @@ class Layer:
         high = last[1] + end - last[0] if last[3] else last[2]
         return low, high
 
+    def joined(self, parts: list[tuple[int, int]]) -> Layer:
+        """Parts of the text one after the other, with the sources they have."""
+        pieces, at = [], 0
+        for low, high in parts:
+            while low < high:
+                number = bisect_right(self.ats, low) - 1
+                piece = self.pieces[number]
+                until = min(high, self.ats[number + 1] if number + 1 < len(self.ats) else high)
+                pieces.append((at, piece[1] + (low - piece[0]) * piece[3], piece[2], piece[3]))
+                at += until - low
+                low = until
+        return Layer("".join(self.text[low:high] for low, high in parts), pieces)
+
 
 def unescaped(layer: Layer, pattern: re.Pattern, value, start: int, end: int) -> Layer | None:
     """Characters ``start`` to ``end`` with the escapes replaced that ``value`` can read."""
@@ -108,15 +125,10 @@ def unescaped(layer: Layer, pattern: re.Pattern, value, start: int, end: int) ->
     def plain(low: int, high: int) -> int:
         """Characters that stay keep the sources they have."""
         nonlocal at
-        while low < high:
-            number = bisect_right(layer.ats, low) - 1
-            piece = layer.pieces[number]
-            until = min(high, layer.ats[number + 1] if number + 1 < len(layer.ats) else high)
-            shift = (low - piece[0]) * piece[3]
-            pieces.append((at, piece[1] + shift, piece[2], piece[3]))
-            parts.append(text[low:until])
-            at += until - low
-            low = until
+        kept = layer.joined([(low, high)])
+        pieces.extend((at + p[0], *p[1:]) for p in kept.pieces)
+        parts.append(kept.text)
+        at += high - low
         return high
 
     changed = False
@@ -247,6 +259,30 @@ def decoded(layer: Layer, start: int, end: int) -> tuple[Layer | None, bool]:
     return Layer(text, pieces, is_text(text)), False
 
 
+def wrapped(layer: Layer, runs: list[tuple[int, int]]) -> Iterator[Layer]:
+    """Base64 over several lines as one run: runs of equal length, and a shorter last one."""
+    text, number = layer.text, 0
+    while number < len(runs):
+        lines = [runs[number]]
+        width = lines[0][1] - lines[0][0]
+        number += 1
+        while text[lines[-1][1] - 1] != "=" and (between := LINE_END.match(text, lines[-1][1])):
+            start = between.end()
+            if number < len(runs) and runs[number] == (start, start + width):
+                lines.append(runs[number])
+                number += 1
+                continue
+            last = LAST_LINE.match(text, start)
+            if last and last.end() - start < width and not last[0].startswith("--"):
+                lines.append(last.span())
+            break
+        if len(lines) > 1:
+            # A last line that does not fit is no part of it.
+            if (sum(high - low for low, high in lines) - text.count("=", *lines[-1])) % 4 == 1:
+                lines.pop()
+            yield layer.joined(lines)
+
+
 def lines_with(text: str, pattern: re.Pattern) -> list[tuple[int, int]]:
     """Start and end of the lines that ``pattern`` occurs in."""
     found, at = [], 0
@@ -273,8 +309,11 @@ def all_spans(text: str, base: list[Span]) -> tuple[list[Span], int, int]:
                     unescaped(layer, pattern, value, *line)
                     for line in lines_with(layer.text, pattern)
                 ]
-        for match in BASE64.finditer(layer.text):
-            found, large = decoded(layer, match.start(), match.end())
+        runs = [match.span() for match in BASE64.finditer(layer.text)]
+        for source, run in [(layer, r) for r in runs] + [
+            (lines, (0, len(lines.text))) for lines in wrapped(layer, runs)
+        ]:
+            found, large = decoded(source, *run)
             inner.append(found)
             oversize += large
         for found in inner:

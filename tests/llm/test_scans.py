@@ -139,6 +139,31 @@ def test_plain_words_are_no_layers():
     assert found_in("/usr/share/documentation/internationalization and hunter2hunter2hunter2")[1] == 0
 
 
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("line_end", ["\n", "\r\n", "\n    "])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zstandard.compress])
+def test_wrapped_base64(pack, line_end, width):
+    random.seed(width)
+    noise = bytes(random.choices(b"ghijklmnopqrstuvwxyz \n", k=700))
+    for lead in range(40, 60):
+        run = packed(pack(noise[:lead] + "é ".encode() + SECRET.encode() + b"\n" + noise))
+        lines = [run[i : i + width] for i in range(0, len(run), width)]
+        text = "-----BEGIN X-----" + line_end + line_end.join(lines) + "\n-----END X-----\n"
+        spans, _ = found_in(text)
+        want = "".join(lines) if pack is not bytes else run[(lead + 3) * 4 // 3 : -(-(lead + 3 + len(SECRET)) * 4 // 3)]
+        found = ["".join(span.split()) for kind, span in spans if kind == "assign"]
+        assert want.rstrip("=") in [f.rstrip("=") for f in found]
+
+
+def test_wrapped_base64_that_ends_with_a_whole_line():
+    run = packed(b"x" * 40 + SECRET.encode() + b"\n" * 31)
+    assert len(run) == 128
+    for after in ("", "\nEnd", "\nEnd of it", "\n--"):
+        text = run[:64] + "\n" + run[64:] + after
+        spans = [(kind, "".join(span.split())) for kind, span in found_in(text)[0]]
+        assert ("assign", run[40 * 4 // 3 : -(-65 * 4 // 3)]) in spans
+
+
 def test_unicode_escapes_map_back():
     escaped = "pass" + "".join(f"\\u{ord(c):04x}" for c in "word=abcdefgh")
     assert found_in(f"é {escaped} z")[0] == [("assign", escaped)]
