@@ -12,8 +12,9 @@ turns the description into a score.
 Counts come from all labelled rows but those with remainder HELD_OUT of crc32(doc_id)
 mod 3. Words and then their n-grams are counted in parallel, in two folds: the curve is
 fitted on documents described by the counts of the other fold, then the model takes both.
-It keeps the n-grams above a count that leaves MOST_GRAMS at most, and the curve is
-fitted on CURVE_ROWS rows at most. Only texts are inputs of a score.
+All n-grams are kept, however rare, so that the model grows with their distinct number
+(the driver and every worker hold it); a caller who must bound it can give ``most_grams``.
+The curve is fitted on CURVE_ROWS rows at most. Only texts are inputs of a score.
 
 A document with repeated labels is toxic if one says so; null labels are ignored. A null
 text counts as the empty text, whose values are zero; a null doc_id is not held out. Where a class has no labelled row
@@ -42,8 +43,6 @@ DISCOUNT = 0.75
 HELD_OUT = 1
 #: Rows that the curve is fitted on at most, half of them for each class.
 CURVE_ROWS = 4_000
-#: n-grams of the highest order that the model keeps at most.
-MOST_GRAMS = 500_000
 THRESHOLD = 0.7
 #: Words that one worker remembers, and longest ones it does.
 REMEMBERED, LONGEST = 400_000, 64
@@ -132,7 +131,10 @@ def grams_of(batch: pa.RecordBatch) -> Iterator[tuple[str, tuple]]:
 
 
 def frequent(grams: DataFrame, most: int) -> DataFrame:
-    """The n-grams above a power of two of the class-balanced count; ``most`` at most."""
+    """The n-grams above a power of two of the class-balanced count; ``most`` at most.
+
+    Lower orders are then those of the n-grams that are left.
+    """
     ordinary, toxic = (F.col(f"{c}_0") + F.col(f"{c}_1") for c in ("ordinary", "toxic"))
     sums = grams.agg(F.sum(ordinary), F.sum(toxic), F.count("*")).first()
     if not sums[2] or sums[2] <= most:
@@ -317,8 +319,8 @@ def scores(model: Model, rows: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.curve[0] + x @ model.curve[1:], -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_grams: int = MOST_GRAMS) -> Model | float:
-    """The model, or the share of toxic rows where one class has no row."""
+def train(docs: DataFrame, labels: DataFrame, most_grams: int | None = None) -> Model | float:
+    """The model of all n-grams, or the share of toxic rows where one class has no row."""
     rows = cut_lineage(labelled(docs, labels))
     seen = {(r.toxic, r.fold): r["count"] for r in rows.groupBy("toxic", "fold").count().collect()}
     of_class = [seen.get((c, 0), 0) + seen.get((c, 1), 0) for c in (0, 1)]
@@ -326,7 +328,8 @@ def train(docs: DataFrame, labels: DataFrame, most_grams: int = MOST_GRAMS) -> M
         return of_class[1] / max(1, sum(of_class))
     words = count_batches(rows.select("text", "toxic", "fold"), "word", words_of)
     grams = cut_lineage(count_batches(words, "gram", grams_of))
-    kept = frequent(grams, most_grams).toPandas().sort_values("gram")
+    grams = grams if most_grams is None else frequent(grams, most_grams)
+    kept = grams.toPandas().sort_values("gram")
     if not len(kept):
         return of_class[1] / sum(of_class)
     names, counts = kept["gram"].tolist(), kept[list(COUNTS)].to_numpy(float).T

@@ -268,3 +268,17 @@ def test_rare_grams_go_first(spark):
     left = toxicity.frequent(grams, 100).toPandas()
     assert 0 < len(left) <= 100 and left["ordinary_0"].min() == 128
     assert isinstance(left, pd.DataFrame)
+
+
+def test_the_model_keeps_every_gram(spark, table):
+    random.seed(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("".join(random.choices(letters, k=9)) for _ in range(300)) for _ in range(450)]
+    docs = table(list(enumerate(texts)))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    learned = [r.text for r in docs.filter(toxicity.remainder() != toxicity.HELD_OUT).collect()]
+    words = {w for text in learned for w in text.split()}
+    padded = [toxicity.LEAD + w + toxicity.END for w in words]
+    grams = {p[i : i + toxicity.ORDER] for p in padded for i in range(len(p) - toxicity.ORDER + 1)}
+    assert len(grams) > 500_000
+    assert len(toxicity.train(docs, labels).keys[-1]) == len(grams)
