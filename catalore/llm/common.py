@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def mixed(values: np.ndarray) -> np.ndarray:
+    """Well spread 64-bit values, one for each."""
+    values = (values ^ (values >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    values = (values ^ (values >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return values ^ (values >> np.uint64(32))
+
+
 def hashed_sample(df: DataFrame, by: list[str], share: float, most: int) -> DataFrame:
     """About the ``share`` of the distinct rows whose hash of ``by`` is least, ``most`` at most.
 

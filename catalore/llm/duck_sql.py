@@ -150,6 +150,111 @@ SELECT doc_id, source, lang, topic, weighed.tokens, round(least(1, ratio * s), 6
 FROM weighed JOIN raked USING (source, lang, topic), scale_8
 """
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+MINHASH = rf"""
+WITH RECURSIVE given AS (
+  SELECT doc_id, row_number() OVER () AS id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') AS shingle
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM given WHERE len(w) > 0)
+), sizes AS (SELECT id, count(*) AS n, md5(string_agg(md5(shingle), '' ORDER BY md5(shingle))) AS digest FROM shingles GROUP BY id
+), classes AS (SELECT digest, min(id) AS class, any_value(n) AS n FROM sizes GROUP BY digest
+), rare AS (
+  SELECT class, shingle FROM shingles JOIN classes ON id = class
+), links AS (
+  SELECT x.class AS u, y.class AS v FROM rare x JOIN rare y ON x.shingle = y.shingle AND x.class <> y.class
+  JOIN classes c ON c.class = x.class JOIN classes d ON d.class = y.class
+  GROUP BY x.class, y.class, c.n, d.n HAVING 100 * count(*) >= 80 * (c.n + d.n - count(*))
+), reach AS (
+  SELECT class AS u, class AS v FROM classes
+  UNION SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v
+), named AS (
+  SELECT reach.u AS class, min(doc_id) AS component_id FROM reach
+  JOIN classes ON classes.class = reach.v JOIN sizes USING (digest) JOIN given USING (id) GROUP BY reach.u
+)
+SELECT doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles,
+  CASE WHEN sizes.n IS NULL THEN doc_id ELSE component_id END AS component_id,
+  sizes.n IS NULL OR doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM given LEFT JOIN sizes USING (id) LEFT JOIN classes USING (digest) LEFT JOIN named USING (class)
+"""
+
+# crc32 of the decimal doc_id, bit by bit: a byte, then eight shifts.
+CRC32 = """xor(list_reduce(
+    [4294967295] || flatten(list_transform(range(1, len(doc_id::VARCHAR) + 1),
+      lambda i: [ascii((doc_id::VARCHAR)[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+
+RUNS = rf"""
+WITH given AS (
+  SELECT doc_id, row_number() OVER () AS id, {CRC32} AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), placed AS (
+  SELECT *, len(w)::BIGINT AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM given
+), words AS MATERIALIZED (
+  SELECT id, i, w[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END] AS word, n
+  FROM (SELECT *, unnest(range(0, n)) AS i FROM placed)
+), same AS (
+  SELECT x.id, x.i, y.i - x.i AS p FROM words x JOIN words y
+  ON x.id = y.id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n AND x.n >= 24
+), stretches AS (
+  SELECT id, p, min(i) AS start, count(*) + p AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY id, p ORDER BY i) AS island FROM same)
+  GROUP BY id, p, island HAVING count(*) + p >= greatest(24, 3 * p)
+), runs AS (
+  SELECT id, start, length, min(p) AS period FROM stretches GROUP BY id, start, length
+), best AS (
+  SELECT id, start, length, period FROM runs r WHERE NOT EXISTS (
+    SELECT 1 FROM runs o WHERE o.id = r.id AND (o.length * r.period > r.length * o.period
+      OR o.length * r.period = r.length * o.period AND (o.start, o.period) < (r.start, r.period)))
+), listed AS (
+  SELECT id, count(*) AS n_runs,
+    sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS digest
+  FROM runs GROUP BY id
+), dropped AS (
+  SELECT DISTINCT id, unnest(range(start + period, start + length)) AS i FROM runs
+), left_over AS (
+  SELECT id, sha256(string_agg(word, ' ' ORDER BY i)) AS digest FROM words ANTI JOIN dropped USING (id, i) GROUP BY id
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start, best.length, best.period,
+  (1000 * best.length) // best.period AS exponent_milli,
+  coalesce(listed.digest, sha256('')) AS runs_sha256, coalesce(left_over.digest, sha256('')) AS collapsed_sha256
+FROM placed LEFT JOIN best USING (id) LEFT JOIN listed USING (id) LEFT JOIN left_over USING (id)
+"""
+
+COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), lists AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::HUGEINT AS n FROM lists GROUP BY lang
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists
+), grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS m FROM starts)
+), f AS MATERIALIZED (
+  SELECT lang, m, phrase, count(*) AS a, string_split(phrase, ' ') AS w FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 100
+), inner_phrases AS (
+  SELECT lang, array_to_string(w[s:s + k - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, m - k + 2)) AS s FROM (SELECT *, unnest(range(2, m)) AS k FROM f WHERE m > 2))
+  GROUP BY ALL
+), cuts AS (
+  SELECT f.lang, f.phrase, f.a, k, l.a AS l, r.a AS r, n, (1000::HUGEINT * f.a * n) // (l.a::HUGEINT * r.a) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1) f JOIN totals USING (lang)
+  JOIN f l ON l.lang = f.lang AND l.phrase = array_to_string(f.w[1:k], ' ')
+  JOIN f r ON r.lang = f.lang AND r.phrase = array_to_string(f.w[k + 1:], ' ')
+), least_cuts AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), kept AS (
+  SELECT c.* FROM least_cuts c LEFT JOIN inner_phrases i USING (lang, phrase) WHERE longer IS NULL OR longer < a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+  a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -157,4 +262,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_quality": QUALITY,
         "op7_chat": CHAT,
         "op10_exact_dedup": EXACT_DEDUP,
+        "op11_minhash": MINHASH,
+        "op12_periodic_runs": RUNS,
+        "op13_collocations": COLLOCATIONS,
     }

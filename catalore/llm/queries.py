@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from catalore.llm import (
-    byte_bpe, chat, exact_dedup, mixing, pii, quality, secret_scan, simhash, token_files, toxicity,
+    byte_bpe, chat, collocations, exact_dedup, minhash, mixing, pii, quality, runs, secret_scan,
+    simhash, token_files, toxicity,
 )
 from catalore.llm.common import documents
 
@@ -60,8 +61,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(documents(spark, sf_dir))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(documents(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.collapsed_runs(documents(spark, sf_dir), runs.planted)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_pii, op2_token_files, op3_secret_scan, op4_mixing, op5_line_quality, op6_byte_bpe,
-        op7_chat, op8_toxicity, op9_simhash, op10_exact_dedup,
+        op7_chat, op8_toxicity, op9_simhash, op10_exact_dedup, op11_minhash,
+        op12_periodic_runs, op13_collocations,
     )}

@@ -11,7 +11,7 @@ from __spark_entry__ import oracle_sql, queries
 from catalore.llm import duck_sql
 from catalore.llm import queries as own
 from catalore.llm import chat, exact_dedup, mixing, pii, quality, secret_scan, simhash, token_files, toxicity
-from catalore.llm import byte_bpe
+from catalore.llm import byte_bpe, collocations, minhash, runs
 
 from .test_dedup import brute_components, brute_fingerprint, exact
 
@@ -31,7 +31,7 @@ def duck(sf):
 
 def test_all_are_registered():
     names = set(own.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)}
     assert names | {"pipeline"} <= set(queries())
     assert set(duck_sql.oracle_sql()) <= set(oracle_sql())
 
@@ -86,7 +86,8 @@ def test_operators_of_an_empty_table(spark, sf, table):
     for frame in (
         pii.personal_data(empty), secret_scan.secrets(empty), quality.verdicts(empty),
         mixing.mixture(empty), toxicity.toxicity(empty, labels), simhash.near_copies(empty),
-        exact_dedup.exact_copies(empty), token_files.token_digests(empty, public_tokenizers.path("byte_bpe_50k.json"), 2),
+        exact_dedup.exact_copies(empty), minhash.near_copies(empty), runs.collapsed_runs(empty),
+        collocations.collocations(empty), token_files.token_digests(empty, public_tokenizers.path("byte_bpe_50k.json"), 2),
         byte_bpe.round_trip(empty, ranks, public_tokenizers.PATTERN),
         chat.rendered(spark.createDataFrame([], "conv_id long, turn long, role string, text string")),
     ):
