@@ -7,9 +7,9 @@ ways around a pivot, word after word: smaller, equal, larger. The equal part of
 depth d is a phrase of d words, and its size the number of its occurrences; it is split
 further by the next word. Parts with fewer than ``least`` occurrences are abandoned.
 
-So that few pointers move, a first pass counts words and word pairs by hash in a fixed
-number of slots. A slot below ``least`` holds no frequent word or pair, so that a pointer
-ends before it; nothing frequent is lost, however many words share a slot. Equal pointers of
+So that few pointers move, a first pass counts words, pairs and triples by hash in a fixed
+number of slots. A slot below ``least`` holds nothing frequent, so that a pointer ends
+before it; nothing frequent is lost, however many share a slot. Equal pointers of
 a batch of texts move as one row with a weight.
 
 A phrase that is cut after its first k words scores 1000 a n / (l r), the least cut counts.
@@ -44,7 +44,7 @@ LEAST = 100
 TOP = 2000
 NO_LANG = "und"
 
-#: Slots that words and pairs are counted in (a byte each), and slots of one row of them.
+#: Slots that words, pairs and triples are counted in (a byte each), and slots of one row of them.
 SLOTS = 1 << 26
 CHUNK = 1 << 16
 #: Tasks that count; each ships a row for every chunk it has set.
@@ -79,10 +79,18 @@ class Tokens:
         hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in listed], np.uint64)
         self.hashes = hashes[self.codes]
 
-    def slots(self, count: int) -> tuple[np.ndarray, np.ndarray]:
-        """The slots of every token, and of every token with the next one."""
-        pairs = mixed(self.hashes[:-1] * PAIR + self.hashes[1:])
-        return tuple((h % np.uint64(count)).astype(np.int64) for h in (self.hashes, pairs))
+    def slots(self, count: int) -> list[np.ndarray]:
+        """The slots of every token, of every token with the next one, and with the next two."""
+        hashes = [self.hashes]
+        for width in (1, 2):
+            hashes.append(mixed(hashes[-1][:-1] * PAIR + self.hashes[width:]))
+        return [(h % np.uint64(count)).astype(np.int64) for h in hashes]
+
+    def within_piece(self) -> list[np.ndarray]:
+        """Whether one, two and three tokens from each on are words of one piece."""
+        one = self.is_word
+        two = one[:-1] & one[1:]
+        return [one, two, two[:-1] & one[2:]]
 
 
 def by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
@@ -105,7 +113,7 @@ def source(docs: DataFrame) -> DataFrame:
 
 
 def frequent_slots(docs: DataFrame, least: int, slots: int) -> np.ndarray:
-    """Packed bits of the ``slots`` that ``least`` words or pairs may share."""
+    """Packed bits of the ``slots`` that ``least`` words, pairs or triples may share."""
     enough, chunk = min(least, 255), min(CHUNK, slots)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,11 +121,8 @@ def frequent_slots(docs: DataFrame, least: int, slots: int) -> np.ndarray:
         for batch in batches:
             for lang, texts in by_lang(batch):
                 tokens = Tokens(lang, texts)
-                one, two = tokens.slots(slots)
-                both = tokens.is_word[:-1] & tokens.is_word[1:]
-                slot, times = np.unique(
-                    np.concatenate([one[tokens.is_word], two[both]]), return_counts=True
-                )
+                used = [s[w] for s, w in zip(tokens.slots(slots), tokens.within_piece())]
+                slot, times = np.unique(np.concatenate(used), return_counts=True)
                 counts[slot] = np.minimum(255, counts[slot] + times)
         packer = zstandard.ZstdCompressor(level=1)
         for at in range(0, slots, chunk):
@@ -166,15 +171,18 @@ def weighted(columns: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarr
 
 def pointers_of(tokens: Tokens, bits: np.ndarray, longest: int) -> tuple[pa.Array, ...]:
     """phrase, words and times of what some texts give: all words, words, and pointers."""
-    one, two = tokens.slots(8 * len(bits))
     codes, known = tokens.codes, tokens.words.cast(pa.string())
-    word = tokens.is_word & lookup(bits, one)
-    pair = word[:-1] & word[1:] & lookup(bits, two)
-    reach = word.astype(np.int64)
-    goes_on = np.append(pair, False)
-    for _ in range(longest - 1):
-        reach = np.where(goes_on, 1 + np.append(reach[1:], 0), word)
-    reach = np.minimum(reach, longest)
+    word, pair, three = (
+        np.append(within & lookup(bits, slots), np.zeros(width, bool))
+        for width, (slots, within) in enumerate(zip(tokens.slots(8 * len(bits)), tokens.within_piece()))
+    )
+    # A pointer reads on while the last two words and the next one may be frequent together.
+    pair &= word & np.append(word[1:], False)
+    three &= pair & np.append(pair[1:], False)
+    reach = pair + np.int64(1)
+    for _ in range(longest - 2):
+        reach = np.where(three, 1 + np.append(reach[1:], 0), pair + np.int64(1))
+    reach = np.where(word, reach, 0)
     singles = np.bincount(codes[word], minlength=len(known))
     used = np.flatnonzero(singles)
     start = np.flatnonzero(reach >= 2)
