@@ -13,8 +13,9 @@ A bucket of a band key may be large, so pairs come in two steps. First every mem
 the least member of its bucket. Most near copies of a text are then in one component. In
 buckets that still hold more than one component, the members outside the component of the
 least one meet all members of other components, block against block: a task holds two blocks
-at a time, and only pairs that pass the estimate leave it. Every pair that shares a key and
-is not connected already is looked at, so nothing depends on the size of a bucket.
+at a time. Members with a pair that passes the estimate meet once more with their full sets,
+and a forest of the links leaves the task, never the pairs. Every pair that shares a key and
+is not connected already is looked at, whatever the size of its bucket.
 
 Words are runs of characters other than the six ASCII white-space characters after A-Z is
 lower-cased; a shorter text is one shingle of all its words. Equal sets are taken once. A
@@ -47,8 +48,9 @@ BITS = 4
 ROWS = 4
 MARGIN = 0.19
 SEED = 11
-#: Members of one block of a bucket, and texts hashed together.
+#: Members of one block of a bucket, their shingles on average, and texts hashed together.
 BLOCK = 4096
+SHINGLES_PER_ROW = 512
 TEXTS = 256
 
 PLANES = [f"s{i}" for i in range(BITS * PERMUTATIONS // 64)]
@@ -227,9 +229,11 @@ def in_blocks(sets: DataFrame, label: DataFrame, block: int) -> DataFrame:
     the others in blocks from cu on; block i of U meets the blocks from i on.
     """
     labelled = cut_lineage(
-        sets.join(label, "id", "left").select("id", "bands", F.coalesce("least", "id").alias("label"))
+        sets.join(label, "id", "left").select(
+            "id", "bands", "n_shingles", F.coalesce("least", "id").alias("label")
+        )
     )
-    rows = keyed(labelled, "label")
+    rows = keyed(labelled, "label", "n_shingles")
     buckets = rows.groupBy("key").agg(
         F.min("id").alias("pivot"), F.count("*").alias("n"),
         F.min("label").alias("low"), F.max("label").alias("high"),
@@ -238,10 +242,15 @@ def in_blocks(sets: DataFrame, label: DataFrame, block: int) -> DataFrame:
     buckets = cut_lineage(buckets.select("key", "pivot").join(of, "pivot"))
     rows = cut_lineage(
         rows.join(buckets, "key").filter("id <> pivot").select(
-            "key", "id", "label", (F.col("label") != F.col("of_pivot")).alias("outside")
+            "key", "id", "label", "n_shingles", (F.col("label") != F.col("of_pivot")).alias("outside")
         )
     )
-    blocks = lambda c: F.ceil(F.sum(c.cast("int")) / block).cast("int")
+
+    def blocks(side: Column) -> Column:
+        """Blocks of a side by its rows, or by its shingles where sets are large."""
+        rows, shingles = F.sum(side.cast("int")), F.sum(F.when(side, F.col("n_shingles")).otherwise(0))
+        return F.ceil(F.greatest(rows / block, shingles / (block * SHINGLES_PER_ROW))).cast("int")
+
     counts = cut_lineage(
         rows.groupBy("key").agg(
             blocks(F.col("outside")).alias("cu"), blocks(~F.col("outside")).alias("cl"),
@@ -272,68 +281,130 @@ def in_blocks(sets: DataFrame, label: DataFrame, block: int) -> DataFrame:
     return spread.join(sets.select("id", "n_shingles", *PLANES), "id")
 
 
-def pairs_of_group(rows: np.ndarray, limit: int) -> np.ndarray:
-    """The pairs of one group (columns i, j, own, id, label, size, planes) that pass."""
-    left, right = (rows[rows[:, 2] == rows[0, side]] for side in (0, 1))
-    least, found = least_agreeing(limit), []
+def sides(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one group (columns i, j, own) the members of block i and of block j."""
+    return tuple(np.flatnonzero(groups[:, 2] == groups[0, side]) for side in (0, 1))
+
+
+def passing(rows: np.ndarray, limit: int) -> np.ndarray:
+    """Which rows of a group (columns i, j, own, id, label, size, planes) have a pair that passes."""
+    (left, right), least = sides(rows), least_agreeing(limit)
+    found = np.zeros(len(rows), bool)
     step = max(1, (1 << 20) // max(1, len(right)))
     for at in range(0, len(left), step):
         part = left[at : at + step]
-        ok = part[:, None, 4] != right[None, :, 4]
-        if rows[0, 0] == rows[0, 1]:
-            ok &= part[:, None, 3] < right[None, :, 3]
-        small = np.minimum(part[:, None, 5], right[None, :, 5])
-        ok &= 100 * small >= limit * np.maximum(part[:, None, 5], right[None, :, 5])
-        one, two = np.nonzero(ok)
-        x, y = part[one, 6:] ^ right[two, 6:], 0
+        ok = rows[part, 4][:, None] != rows[right, 4]
+        small, large = (f(rows[part, 5][:, None], rows[right, 5]) for f in (np.minimum, np.maximum))
+        one, two = np.nonzero(ok & (100 * small >= limit * large))
+        one, two = part[one], right[two]
+        differ = rows[one, 6:] ^ rows[two, 6:]
+        agree = np.full(len(one), PERMUTATIONS)
         for half in range(PER_PLANE):
-            y = y + np.bitwise_count(np.bitwise_or.reduce(x[:, half::PER_PLANE], axis=1).view(np.uint64)).astype(int)
-        hit = PERMUTATIONS - y >= least
-        found.append(np.stack([part[one[hit], 3], right[two[hit], 3]], axis=1))
-    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
-
+            any_plane = np.bitwise_or.reduce(differ[:, half::PER_PLANE], axis=1)
+            agree -= np.bitwise_count(any_plane.view(np.uint64))
+        hit = agree >= least
+        found[one[hit]] = found[two[hit]] = True
+    return found
 
-def rest_of_buckets(sets: DataFrame, label: DataFrame, limit: int, block: int) -> DataFrame:
-    """Pairs (u, v) that share a key, are not connected yet and pass the estimate."""
-    order = ["key", "i", "j"]
-    columns = [*order, "own", "id", "label", "n_shingles", *PLANES]
-    rows = in_blocks(sets, label, block).select(*columns).repartition(*order).sortWithinPartitions(*order)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[np.ndarray] = []
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles each set on the left shares with each on the right."""
+    values = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    often = times > 1
+    number = np.cumsum(often) - 1
+    row, column = row[often[column]], number[column[often[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    counts = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(often.sum()), 2048):
+        low, high = np.searchsorted(column, [first, first + 2048])
+        has = np.zeros((len(sets), 2048), np.float32)
+        has[row[low:high], column[low:high] - first] = 1
+        counts += has[left] @ has[right].T
+    return counts
+
+
+def links_of_group(rows: np.ndarray, sets: list[np.ndarray], limit: int) -> list[tuple[int, int]]:
+    """Links of a group (columns i, j, own, id, label) by its full sets; a forest is enough."""
+    left, right = sides(rows)
+    size = np.array([len(s) for s in sets])
+    shared = shared_counts(sets, left, right)
+    union = size[left][:, None] + size[right] - shared
+    ok = (100 * shared >= limit * union) & (rows[left, 4][:, None] != rows[right, 4])
+    above = list(range(len(rows)))
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            above[i] = i = above[above[i]]
+        return i
+
+    found = []
+    for one, two in zip(*(x.tolist() for x in np.nonzero(ok))):
+        a, b = top(int(left[one])), top(int(right[two]))
+        if a != b:
+            above[a] = b
+            found.append((int(rows[left[one], 3]), int(rows[right[two], 3])))
+    return found
 
-        def pairs(group: np.ndarray) -> pa.RecordBatch:
-            found = pairs_of_group(group[:, 1:], limit)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(found.min(axis=1, initial=2**62)), pa.array(found.max(axis=1, initial=0))],
-                names=["u", "v"],
-            )
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-            cuts = np.flatnonzero((table[1:, :3] != table[:-1, :3]).any(axis=1)) + 1
-            if waiting and (waiting[-1][-1, :3] != table[0, :3]).any():
-                yield pairs(np.concatenate(waiting))
-                waiting = []
-            groups = np.split(table, cuts)
-            for group in groups[:-1]:
-                yield pairs(np.concatenate([*waiting, group]))
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one (key, i, j) after the other, from sorted batches."""
+    waiting: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:3]], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for at, to in zip(cuts, cuts[1:]):
+            if waiting and (at or (keys[0] != last).any()):
+                yield pa.Table.from_batches(waiting)
                 waiting = []
-            waiting.append(groups[-1].copy())
-        if waiting:
-            yield pairs(np.concatenate(waiting))
+            waiting.append(batch.slice(at, to - at))
+        last = keys[-1]
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def numbers(table: pa.Table) -> np.ndarray:
+    """All but the key of a group's whole-number columns."""
+    return np.stack([c.to_numpy().astype(np.int64) for c in table.columns[1:] if pa.types.is_integer(c.type)], axis=1)
+
+
+def rest_of_buckets(docs: DataFrame, sets: DataFrame, label: DataFrame, width: int, limit: int, block: int) -> DataFrame:
+    """Links (u, v) of sets that share a key and are not connected yet."""
+    order = ["key", "i", "j"]
+    named = [*order, "own", "id", "label"]
+    rows = in_blocks(sets, label, block).select(*named, "n_shingles", *PLANES)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches):
+            kept = passing(numbers(group), limit)
+            if kept.any():
+                yield from group.select(named).filter(pa.array(kept)).to_batches()
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches):
+            full = [s.values.to_numpy() for s in group["shingles"]]
+            found = links_of_group(numbers(group.drop_columns("shingles")), full, limit)
+            u, v = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    sort = lambda df: df.repartition(*order).sortWithinPartitions(*order)
+    near = cut_lineage(sort(rows).mapInArrow(likely, "key long, i int, j int, own int, id long, label long"))
+    full = cut_lineage(full_sets(docs, sets, near.select("id").distinct(), width))
+    found = sort(near.join(full, "id").select(*named, "shingles")).mapInArrow(links, "u long, v long")
+    return cut_lineage(found.distinct())
 
 
 def linked_sets(docs: DataFrame, sets: DataFrame, width: int, limit: int, block: int) -> DataFrame:
     """(node, least) of every set that has a link."""
     links = confirmed(estimated(with_least(sets), sets, limit), docs, sets, width, limit)
     label = cut_lineage(components(links))
-    rest = rest_of_buckets(sets, label.withColumnRenamed("node", "id"), limit, block)
-    more = confirmed(rest, docs, sets, width, limit)
+    of = label.withColumnRenamed("node", "id")
+    more = rest_of_buckets(docs, sets, of, width, limit, block)
     return label if more.isEmpty() else components(links.unionByName(more))
 
 

@@ -81,13 +81,24 @@ def test_estimate_is_corrected_for_accidents():
         assert abs(estimate - share) < 0.15
 
 
-def test_every_link_of_a_bucket_is_compared():
-    """Blocks of a bucket: all pairs of different labels that touch a member from outside."""
+def test_members_of_a_group_meet_by_blocks():
     random.seed(1)
-    planes = [0] * len(minhash.PLANES)
-    rows = np.array([[0, 0, 0, i, i % 7, 100, *planes] for i in range(40)], np.int64)
-    got = {tuple(sorted(p)) for p in minhash.pairs_of_group(rows, 80).tolist()}
-    assert got == {(j, i) for i in range(40) for j in range(i) if i % 7 != j % 7}
+    sets = [np.unique([random.randrange(40) for _ in range(30)]) for _ in range(40)]
+    rows = np.array([[0, 1, i % 2, i, i % 7, len(s)] for i, s in enumerate(sets)], np.int64)
+    left, right = minhash.sides(rows)
+    shared = minhash.shared_counts(sets, left, right)
+    assert shared.tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+    linked = {
+        (i, j) for i in range(0, 40, 2) for j in range(1, 40, 2) if i % 7 != j % 7
+        and 100 * len(np.intersect1d(sets[i], sets[j])) >= 50 * len(np.union1d(sets[i], sets[j]))
+    }
+    forest = minhash.links_of_group(rows[:, :5], sets, 50)
+    assert set(forest) <= linked and len(forest) < len(rows)
+    above = {i: i for i in range(40)}
+    for i, j in forest:
+        old, new = above[i], above[j]
+        above = {k: new if v == old else v for k, v in above.items()}
+    assert all(above[i] == above[j] for i, j in linked)
 
 
 def all_runs(words):
