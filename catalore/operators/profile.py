@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping, Sequence
-from functools import reduce
+from collections.abc import Callable, Collection, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,10 +15,8 @@ from catalore.functions.text import cell_text
 from catalore.session import union_all
 
 COMPLEX = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
-# Types that are compared as stored and whose text reads back as the same value.
+# Types that are compared as stored.
 STORED_ORDER = (T.NumericType, T.StringType, T.DateType, T.TimestampNTZType)
-# Rows of each table that the first values are taken from.
-SEED_ROWS = 5_000
 
 
 def table_row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -53,136 +52,73 @@ def sampled_columns(df: DataFrame, exclude: Collection[str] = ()) -> list[str]:
     ]
 
 
-# Cells proven to occur, smallest first: {(table, column): [cell, ...]}.
-Known = Mapping[tuple[str, str], Sequence[Row]]
-
-
-def _rank_number(df: DataFrame, name: str) -> Column | None:
-    """What a column is ranked by: numbers, days and moments by value, the rest as text."""
+def _comparable(df: DataFrame, name: str) -> Column:
+    """What a column is ranked by: its stored value, or the text of what has no order."""
     column, kind = F.col(f"`{name}`"), df.schema[name].dataType
-    if isinstance(kind, T.NumericType):
-        return column
-    if isinstance(kind, T.DateType):
-        return F.unix_date(column)
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(column)
-    if isinstance(kind, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)")
-    return None
-
-
-def _cell(df: DataFrame, name: str) -> Column:
-    """The text of a value with what it is ranked by; the decimal settles large integers."""
-    number = _rank_number(df, name)
-    number = F.lit(None).cast("double") if number is None else number
-    return F.struct(
-        value_text(df, name).alias("value"),
-        number.cast("double").alias("number"),
-        number.try_cast("decimal(38, 18)").alias("exact"),
-    )
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        return column + F.lit(0).cast(kind)  # one zero, not two
+    return column if isinstance(kind, STORED_ORDER) else value_text(df, name)
 
 
-def _cells(wanted: Mapping[str, DataFrame]) -> DataFrame:
-    return union_all(
-        [
-            df.select(
-                F.inline(
-                    F.array(
-                        *[
-                            F.struct(F.lit(n).alias("column_name"), F.col(f"`{n}`").alias("cell"))
-                            for n in df.columns
-                        ]
-                    )
-                )
-            )
-            .where("cell.value IS NOT NULL")
-            .select("column_name", "cell.*", F.lit(table).alias("table_name"))
-            for table, df in wanted.items()
-            if df.columns
-        ]
-    )
+def _shown(values: Column, kind: T.DataType) -> Column:
+    """The texts of values that ``_comparable`` gave."""
+    if isinstance(kind, T.TimestampType):
+        values = F.transform(values, F.timestamp_micros)
+    return values.cast("array<string>")
 
 
-def _smallest(cells: DataFrame, k: int) -> DataFrame:
-    """The k smallest distinct cells per (table, column), with their rank."""
-    by_value = W.partitionBy("table_name", "column_name").orderBy("number", "exact", "value")
-    # The rank limit runs before the shuffle too: k rows per column leave each task.
-    ranked = cells.distinct().withColumn("rank", F.row_number().over(by_value))
-    return ranked.where(F.col("rank") <= k)
+class _Least:
+    """The k smallest distinct values of each column, from one batch after the other."""
 
+    def __init__(self, k: int) -> None:
+        self.k = k
+        self.found: list[pa.Array] = []
 
-def _seed_values(
-    tables: Mapping[str, DataFrame], k: int, exclude: Collection[str]
-) -> dict[tuple[str, str], list[Row]]:
-    """The k smallest cells per column of the first rows of each table.
+    def add(self, batch: pa.RecordBatch) -> None:
+        if not self.found:
+            self.found = [column.slice(0, 0) for column in batch.columns]
+        self.found = [self._merged(*pair) for pair in zip(self.found, batch.columns)]
 
-    Any rows will do, as they decide on work and not on results. At most k values per
-    column come back to the driver.
-    """
-    first = {
-        table: _unknown_cells(table, df.limit(SEED_ROWS), {}, k, exclude)
-        for table, df in tables.items()
-    }
-    cells: dict[tuple[str, str], list[Row]] = {}
-    for row in _smallest(_cells(first), k).collect():
-        cells.setdefault((row["table_name"], row["column_name"]), []).append(row)
-    return {column: sorted(found, key=lambda row: row["rank"]) for column, found in cells.items()}
-
-
-def _unknown_cells(
-    table: str, df: DataFrame, known: Known, k: int, exclude: Collection[str]
-) -> DataFrame:
-    """Cells where a value may still be among the k smallest, else NULL.
+    def _merged(self, found: pa.Array, column: pa.Array) -> pa.Array:
+        if len(found) == self.k:
+            column = column.filter(pc.less(column, found[self.k - 1]))
+        column = pc.unique(column).drop_null()
+        if not len(column):
+            return found
+        both = pc.unique(pa.concat_arrays([found, column]))
+        return both.take(pc.array_sort_indices(both)[: self.k])
 
-    That is a value not known yet and, once k values are known, below the largest of
-    them in the order of ``_smallest``. Only the values found are turned into text.
-    """
+    def rows(self) -> list[pa.Array]:
+        """k rows; the i-th has the i-th value of every column, NULL where there is none."""
+        return [pa.concat_arrays([f, pa.nulls(self.k - len(f), f.type)]) for f in self.found]
 
-    def unknown(name: str) -> Column:
-        kind = df.schema[name].dataType
-        cells = known.get((table, name), ())
-        if isinstance(kind, STORED_ORDER):
-            compared = F.col(f"`{name}`")
-            literals = [F.lit(cell["value"]).cast(kind) for cell in cells]
-        elif isinstance(kind, T.TimestampType):
-            compared = F.unix_micros(f"`{name}`")
-            literals = [F.lit(int(cell["exact"])) for cell in cells]
-        else:
-            compared = value_text(df, name)
-            literals = [F.lit(cell["value"]) for cell in cells]
-        if not literals:
-            return compared.isNotNull()
-        if len(literals) < k:
-            return ~compared.isin(literals)
-        return (compared < literals[-1]) & ~compared.isin(literals)
-
-    wanted = {name: unknown(name) for name in sampled_columns(df, exclude)}
-    rows = df
-    if any((table, name) in known for name in wanted):
-        rows = df.where(reduce(Column.__or__, wanted.values()))
-    return rows.select(
-        *[F.when(keep, _cell(df, name)).alias(name) for name, keep in wanted.items()]
-    )
+    def lists(self) -> list[pa.Array]:
+        """One row with all values of every column."""
+        return [pa.ListArray.from_arrays(pa.array([0, len(f)], pa.int32()), f) for f in self.found]
 
 
-def column_values(
-    tables: Mapping[str, DataFrame], k: int = 5, exclude: Collection[str] = ()
-) -> DataFrame:
-    """The k smallest distinct values per (table, column), exact, over whole tables.
+def _least_values(df: DataFrame, names: Sequence[str], k: int) -> DataFrame:
+    """One row with the k smallest distinct values of each column as arrays c0, c1, ..."""
 
-    ``distinct`` alone would shuffle every distinct value of every column. Instead the
-    first rows of a table give k values per column that are known to occur, and the scan
-    of the whole table looks only for values that would displace them. Few rows have
-    one, whether a column holds few values or many, so little is unpivoted or shuffled.
-    """
-    known = _seed_values(tables, k, exclude)
-    wanted = {table: _unknown_cells(table, df, known, k, exclude) for table, df in tables.items()}
-    cells = _cells(wanted)
-    if known:
-        spark = next(iter(tables.values())).sparkSession
-        rows = [tuple(row[n] for n in cells.columns) for found in known.values() for row in found]
-        cells = cells.unionByName(spark.createDataFrame(rows, cells.schema))
-    return _smallest(cells, k)
+    def least(rows: Callable[[_Least], list[pa.Array]]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept = _Least(k)
+            for batch in batches:
+                kept.add(batch)
+            if kept.found:
+                yield pa.RecordBatch.from_arrays(rows(kept), names=labels)
+
+        return run
+
+    labels = [f"c{i}" for i in range(len(names))]
+    cells = df.select(*[_comparable(df, name).alias(label) for name, label in zip(names, labels)])
+    single = T.StructType([T.StructField(f.name, f.dataType) for f in cells.schema])
+    listed = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in cells.schema])
+    # k rows of each task meet in one, which keeps k of them.
+    of_tasks = cells.mapInArrow(least(_Least.rows), single)
+    return of_tasks.repartition(1).mapInArrow(least(_Least.lists), listed)
 
 
 def column_samples(
@@ -190,13 +126,29 @@ def column_samples(
     k: int = 5,
     exclude: Collection[str] = (),
 ) -> DataFrame:
-    """Up to k distinct non-null values per (table, column) as a text array."""
-    values = column_values(tables, k, exclude)
-    # At most k values per column reach a group.
-    listed = values.groupBy("table_name", "column_name").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("ranked")
-    )
-    return listed.select("table_name", "column_name", F.col("ranked.value").alias("samples"))
+    """The k smallest distinct non-null values per (table, column), exact, as a text array.
+
+    ``distinct`` would shuffle every distinct value of every column, and no built-in
+    aggregate keeps a fixed number of distinct values. Here a task keeps k values of each
+    column while the batches of its split go by, so that k rows leave it, whatever the
+    order and the number of rows and values. Each table is scanned once. Columns without an
+    order of their own are ranked by their text.
+    """
+    samples = []
+    for table, df in tables.items():
+        names = sampled_columns(df, exclude)
+        if not names:
+            continue
+        shown = [
+            F.struct(
+                F.lit(name).alias("column_name"),
+                _shown(F.col(f"c{i}"), df.schema[name].dataType).alias("samples"),
+            )
+            for i, name in enumerate(names)
+        ]
+        found = _least_values(df, names, k).select(F.inline(F.array(*shown)))
+        samples.append(found.select(F.lit(table).alias("table_name"), "column_name", "samples"))
+    return union_all(samples).where(F.size("samples") > 0)
 
 
 def _first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:

@@ -10,7 +10,11 @@ from catalore.registry.spark_queries import queries
 from catalore.registry.views import Views
 
 SF = "/root/testdata/sf0.001"
-WITH_PYTHON = {"generated_descriptions", "generate_column_items", "generate_table_items"}
+#: Descriptions, and samples: no built-in aggregate keeps k distinct values of a task.
+WITH_PYTHON = {
+    "generated_descriptions", "generate_column_items", "generate_table_items", "column_samples",
+    "generation_inputs", "column_prompts",
+}
 
 
 def plan_of(df):
@@ -37,13 +41,13 @@ def test_no_cross_joins(plans):
 
 
 def test_single_partition_exchanges_carry_bounded_rows(plans):
-    """Only aggregates, top-n rows and per-partition offsets meet in one task."""
+    """Only aggregates, top-n rows, per-partition offsets and samples meet in one task."""
     for name, plan in plans.items():
         lines = plan.splitlines()
         for above, line in zip(lines[1:], lines):
             if "Exchange SinglePartition" in line:
                 assert re.search(
-                    "HashAggregate|SortAggregate|TakeOrdered|LocalLimit|WindowGroupLimit|ObjectHash", above
+                    "HashAggregate|SortAggregate|TakeOrdered|LocalLimit|WindowGroupLimit|ObjectHash|MapInArrow", above
                 ) or "offsets" in name, (name, line, above)
 
 
@@ -82,8 +86,10 @@ def test_counts_do_not_read_texts(plans):
 
 def test_profile_scans_each_table_once(spark):
     lineitem = Views(spark, SF).table("lineitem")
-    plan = plan_of(profile.column_values({"lineitem": lineitem}))
-    assert plan.count("FileScan parquet") == 1 and "WindowGroupLimit" in plan
+    plan = plan_of(profile.column_samples({"lineitem": lineitem}))
+    # Between the scan and the only exchange a task keeps its k smallest values.
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange") == 1
+    assert plan.index("MapInArrow") < plan.index("Exchange") < plan.rindex("MapInArrow") < plan.index("FileScan")
 
 
 def test_every_query_reads_the_given_tables(frames):

@@ -42,33 +42,73 @@ def mixed(spark, tmp_path_factory):
     return rows, names, spark.read.parquet(path)
 
 
-@pytest.mark.parametrize("seed_rows", [1, 40, 10_000])
-def test_column_samples_are_the_smallest_values(mixed, seed_rows, monkeypatch):
-    monkeypatch.setattr(profile, "SEED_ROWS", seed_rows)
+@pytest.mark.parametrize("k", [1, 5, 4000])
+def test_column_samples_are_the_smallest_values(mixed, k):
     rows, names, df = mixed
-    found = profile.column_samples({"t": df}, k=5).collect()
-    expected = brute_force(rows, names, {"number", "price"}, 5)
+    found = profile.column_samples({"t": df}, k=k).collect()
+    expected = brute_force(rows, names, {"number", "price"}, k)
     assert {r["column_name"]: r["samples"] for r in found} == expected
 
 
-def test_unknown_value_filter_leaves_little_to_shuffle(mixed):
-    _, _, df = mixed
-    known = profile._seed_values({"t": df.limit(1000)}, 5, ())
-    left = profile._unknown_cells("t", df, known, 5, ()).count()
-    assert known and left < 5000 * 0.2
-
-
-@pytest.mark.parametrize("seed_rows", [1, 100, 10_000])
-def test_days_and_moments_are_ranked_by_value(spark, seed_rows, monkeypatch):
+@pytest.mark.parametrize("order", ["id", "-id", "hash"])
+def test_k_rows_leave_a_task(spark, tmp_path, order):
+    """Tables of several files in ascending, descending and random order."""
+    path = str(tmp_path / "rows")
+    by = {"id": F.col("id"), "-id": -F.col("id"), "hash": F.xxhash64("id")}[order]
+    wide = spark.range(200_000).withColumn("text", F.format_string("%07d", "id"))
+    wide.repartitionByRange(6, by).sortWithinPartitions(by).write.parquet(path)
+    df = spark.read.parquet(path)
+    least = profile._least_values(df, ["id", "text"], 5)
+    assert least.collect()[0].asDict() == {"c0": [*range(5)], "c1": [f"{i:07d}" for i in range(5)]}
+    moved = moved_rows(least)
+    assert moved and moved <= 5 * df.rdd.getNumPartitions()
+
+
+def moved_rows(frame):
+    """Rows that the exchange of a collected frame has written."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    assert text.count("Exchange") >= 1
+    node = plan.finalPhysicalPlan() if hasattr(plan, "finalPhysicalPlan") else plan
+    waiting, written = [node], 0
+    while waiting:
+        node = waiting.pop()
+        if "Exchange" in node.nodeName() and node.metrics().contains("shuffleRecordsWritten"):
+            written += node.metrics().apply("shuffleRecordsWritten").value()
+        if node.nodeName().startswith("ShuffleQueryStage"):
+            waiting.append(node.plan())
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return written
+
+
+def test_wide_decimals_are_ranked_by_value(spark):
+    """Beyond 21 digits neither a double nor decimal(38, 18) tells numbers apart."""
+    big = 10**25
+    values = [Decimal(sign * (big + i)) for i in range(30) for sign in (1, -1)]
+    df = spark.createDataFrame([(v,) for v in values], "d decimal(38,0)").repartition(4)
+    found = profile.column_samples({"t": df}, k=3).first()["samples"]
+    assert found == [str(-(big + i)) for i in (29, 28, 27)]
+
+
+def test_numbers_without_a_plain_order(spark):
+    rows = [(float("nan"), 1.5), (float("inf"), -0.0), (float("-inf"), 0.0), (2.0, None), (None, None)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(3)
+    found = {r["column_name"]: r["samples"] for r in profile.column_samples({"t": df}).collect()}
+    assert found == {"a": ["-Infinity", "2.0", "Infinity", "NaN"], "b": ["0.0", "1.5"]}
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_days_and_moments_are_ranked_by_value(spark, descending):
     """Beyond the year 9999 the text of a day does not sort like the day."""
-    monkeypatch.setattr(profile, "SEED_ROWS", seed_rows)
     # From before the year 0 to the year 12000, as days since 1970.
     days = [-735_000, -683_000, 18_262, 2_932_896, 2_932_897, 3_663_434]
     rows = spark.createDataFrame([(d,) for d in days * 30], "d int").repartition(5)
     moment = F.expr("timestampadd(DAY, unix_date(day), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
     days_only = rows.select(F.date_from_unix_date("d").alias("day"))
     df = days_only.withColumns({"at": moment, "zoned": moment.cast("timestamp")}).where("day > DATE'2000-01-01'")
-    if seed_rows == 100:  # the other way round, so that the first rows hold large values
+    if descending:
         df = df.orderBy(F.desc("day"))
     found = {r["column_name"]: r["samples"] for r in profile.column_samples({"t": df}, k=3).collect()}
     for name in ("day", "at", "zoned"):
