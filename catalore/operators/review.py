@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catalore.operators.numbering import fixed_order, largest_id, partition_of, place_of
+from catalore.operators.numbering import fixed_order, largest_id, partition_of
 from catalore.operators.skew import join_spread
 from catalore.schemas import ITEMS, REVIEW_STATUSES
 
@@ -80,59 +80,76 @@ def latest_action(actions: DataFrame) -> DataFrame:
     )
 
 
+def _with_stored(items: DataFrame, actions: DataFrame, order: list[str]) -> DataFrame:
+    """The acceptable actions, and the stored value of every item they name as a row before them."""
+    valid = actions.where(acceptable()).select(*order, F.lit(True).alias("acts"))
+    acted = valid.select(F.col("item_id").alias("id")).distinct()
+    stored = items.join(acted, "id", "left_semi").select(
+        F.col("id").alias("item_id"), F.col("current_value").alias("new_value"), F.lit(False).alias("acts")
+    )
+    return valid.unionByName(stored, allowMissingColumns=True)
+
+
 def review_audit_rows(
     items: DataFrame, actions: DataFrame, history: DataFrame | None = None
 ) -> DataFrame:
     """One audit row per applied action, with the value it replaced.
 
-    That is the value the action before it set, or the stored value for the first
-    action. The actions are range-sorted over all tasks by item, time and id, so that
-    the actions of a busy item lie in several partitions. A row's position in that order
-    is unique whatever ids the caller gave, and an action's predecessor is the row one
-    position before it, or the last row of the partition before. Ids of the audit rows
-    follow the largest one of ``history`` in the same order.
+    That is the value the action before it set, or the stored value for the first action.
+    Stored values are sorted with the actions as the first row of their item, so that a
+    row's predecessor has the value in either case, and items without a stored row are
+    unknown. The rows are range-sorted over all tasks by item, time and id; the rows of a
+    busy item lie in several pieces. Predecessors are looked up inside a piece; the first
+    row of a piece takes what the pieces before it end with, one row of each. A row's
+    position is unique whatever ids the caller gave. Ids of the audit rows follow the
+    largest one of ``history`` in the same order.
     """
-    valid = actions.where(acceptable())
-    known = join_spread(valid, _item_ids(items), ["item_id"], "left_semi", spread_by="action_id")
     # Ties in time and id are settled by what the actions say.
-    order = ["item_id", "ts", "action_id", "new_value", "status", "reviewed_by", "comment"]
-    placed = fixed_order(known.select(*order), order, "position").withColumn(
+    fields = ["item_id", "ts", "action_id", "new_value", "status", "reviewed_by", "comment"]
+    rows = _with_stored(items, actions, fields)
+    placed = fixed_order(rows, ["item_id", "acts", *fields[1:]], "position").withColumn(
         "part", partition_of(F.col("position"))
     )
-    # One row of a few integers per partition: small whatever the data size.
-    parts = placed.groupBy("part").agg(
-        F.count(F.lit(1)).alias("rows"), F.max("position").alias("last")
+    within = W.partitionBy("part").orderBy("position")
+    stored_item = F.when(~F.col("acts"), F.col("item_id"))
+    last_stored = F.last(stored_item, ignorenulls=True).over(within)
+    # One row per piece: small whatever the data size.
+    ends = placed.groupBy("part").agg(
+        F.max("position").alias("position"), F.max(stored_item).alias("end_stored")
     )
     earlier = W.orderBy("part")
-    edges = parts.select(
-        "part",
-        F.lag("last").over(earlier).alias("carried"),
-        F.coalesce(
-            F.sum("rows").over(earlier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-        ).alias("rows_before"),
+    before = earlier.rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select("part", F.max("end_stored").over(before).alias("carried_stored"))
+    end_values = placed.select("position", "new_value").join(F.broadcast(ends), "position")
+    carried_values = end_values.select("part", F.lag("new_value").over(earlier).alias("carried_value"))
+    known = F.col("acts") & (F.col("item_id") == F.coalesce(F.col("last_stored"), F.col("carried_stored")))
+    # Which rows are applied takes a few integers of each; their counts give the ids.
+    applied = (
+        placed.select("part", "position", "item_id", "acts")
+        .withColumn("last_stored", last_stored)
+        .join(F.broadcast(carried), "part")
+        .groupBy("part").agg(F.sum(known.cast("long")).alias("applied"))
     )
-    linked = placed.join(F.broadcast(edges), "part").select(
-        *order,
-        F.when(place_of(F.col("position")) == 0, F.col("carried"))
-        .otherwise(F.col("position") - 1)
-        .alias("before"),
-        (F.col("rows_before") + place_of(F.col("position")) + 1).alias("number"),
+    offsets = applied.select(
+        "part", F.coalesce(F.sum("applied").over(before), F.lit(0)).alias("applied_before")
     )
-    values = placed.select(
-        F.col("position").alias("before"),
-        F.col("item_id").alias("item_before"),
-        F.col("new_value").alias("value_before"),
+    linked = (
+        placed.withColumns({
+            "last_stored": last_stored,
+            "value_before": F.lag("new_value").over(within),
+            "place": F.row_number().over(within),
+        })
+        .join(F.broadcast(carried.join(carried_values, "part").join(offsets, "part")), "part")
+        .withColumn("known", known)
+        .withColumn("number", F.sum(F.col("known").cast("long")).over(within) + F.col("applied_before"))
+        .where("known")
     )
-    followed = linked.join(values, "before", "left")
-    stored = items.select(F.col("id").alias("item_id"), "current_value")
-    joined = join_spread(followed, stored, ["item_id"], "inner", spread_by="number")
-    return joined.select(
+    # The stored row comes before all actions of its item, so a predecessor is of that item.
+    return linked.select(
         (F.col("number") + largest_id(history)).cast("bigint").alias("id"),
         F.col("item_id").alias("metadata_item_id"),
         F.col("status").alias("action"),
-        F.when(F.col("item_before") == F.col("item_id"), F.col("value_before"))
-        .otherwise(F.col("current_value"))
-        .alias("old_value"),
+        F.when(F.col("place") == 1, F.col("carried_value")).otherwise(F.col("value_before")).alias("old_value"),
         "new_value",
         "comment",
         F.col("reviewed_by").alias("user_name"),

@@ -81,6 +81,30 @@ def test_a_busy_item_spans_partitions(spark):
     assert found == {f"v{i}": (f"v{i - 1}" if i else "text 0") for i in range(4000)}
 
 
+def test_audit_rows_move_once_after_the_sort(spark):
+    """No join of the actions with themselves: one shuffle of the staged rows, by piece."""
+    actions = spark.createDataFrame(random_actions(4, 50, 5, 0.2), ACTIONS)
+    plan = review.review_audit_rows(make_items(spark, 5), actions)._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.splitlines() if "FileScan parquet" in line and "comment" in line]
+    assert len(wide) == 1 and "SortMergeJoin" not in plan
+    assert all("part" in line or "SinglePartition" in line for line in plan.splitlines() if " Exchange " in line)
+
+
+def test_actions_of_unknown_items_between_known_ones(spark):
+    """Pieces that begin or end with unknown items, and a stored value that is NULL."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(i, i % 40, f"v{i}", "edited", "u", None, START) for i in range(400)]
+        items = make_items(spark, 40).where("id % 3 = 0").withColumn("current_value", F.expr("nullif(current_value, 'text 6')"))
+        logged = review.review_audit_rows(items, spark.createDataFrame(rows, ACTIONS).repartition(5)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    first = {i: None if i == 6 else f"text {i}" for i in range(0, 40, 3)}
+    want = {f"v{i}": f"v{i - 40}" if i >= 40 else first[i % 40] for i in range(400) if i % 40 % 3 == 0}
+    assert {r["new_value"]: r["old_value"] for r in logged} == want
+    assert sorted(r["id"] for r in logged) == list(range(1, len(want) + 1))
+
+
 def test_missing_and_repeated_action_ids(spark):
     """Every action gets one audit row, whatever ids the caller gave."""
     times = [START + timedelta(minutes=i) for i in range(5)]
