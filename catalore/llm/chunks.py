@@ -4,7 +4,8 @@ A chunk starts at a space with a character other than white space on either side
 split pattern of byte-level tokenizers always starts a new piece there, so the ids of a
 text are those of its chunks one after another. It also starts one between a letter and
 a full stop or comma. Most words come again and again, and a chunk that a worker has
-seen costs one lookup.
+seen costs one lookup. Where a pattern makes a single line end between two other characters
+a piece by itself, texts are cut there too.
 """
 
 from __future__ import annotations
@@ -37,45 +38,76 @@ def joined(pieces: list[str]) -> list[str]:
     return [" ".join(group) for group in groups]
 
 
+def lines_of(text: str) -> list[str]:
+    """The lines of a text, not cut at line ends beside other white space."""
+    lines = text.split("\n")
+    if not any(map(at_edge, lines)):
+        return lines
+    groups, last = [[lines[0]]], lines[0]
+    for line in lines[1:]:
+        if at_edge(line[:1]) or at_edge(last[-1:]):
+            groups[-1].append(line)
+        else:
+            groups.append([line])
+        last = line
+    return ["\n".join(group) for group in groups]
+
+
+#: The key of a line end that is a piece by itself.
+LINE_END = ("\n",)
+
+
 class ChunkIds:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     ``encode`` turns chunks into such ids. Chunks are remembered without their leading
     space; the first chunk of a text has none and is remembered as a tuple. A full memory
-    takes nothing more, and is emptied when most chunks of a call are not in it.
+    takes nothing more, and is emptied when most chunks of a call are not in it. With
+    ``lines`` a single line end is a piece by itself.
     """
 
-    def __init__(self, encode: Encode, remembered: int = REMEMBERED) -> None:
+    def __init__(self, encode: Encode, remembered: int = REMEMBERED, lines: bool = False) -> None:
         self.encode, self.remembered, self.known = encode, remembered, {}
         self.stops = dict(zip(STOPS, encode(list(STOPS))))
+        self.lines = lines
+
+    def pieces_of(self, text: str) -> list[str | tuple[str]]:
+        """The chunks of a text, the first of each line as a tuple."""
+        words, lines = text.split(), [text]
+        # White space is then single spaces and line ends with something on either side.
+        gaps = len(text) - sum(map(len, words))
+        plain = gaps == len(words) - 1 == text.count(" ") + text.count("\n")
+        if self.lines and "\n" in text:
+            lines = text.split("\n") if plain else lines_of(text)
+        pieces: list[str | tuple[str]] = []
+        for line in lines:
+            found = line.split(" ") if plain else joined(line.split(" "))
+            if pieces:
+                pieces.append(LINE_END)
+            pieces.append((found[0],))
+            pieces += found[1:]
+        return pieces
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        # One lookup for each chunk; what it gives stays valid when the memory is emptied.
         known, split, missing, seen = self.known, [], set(), 0
         for text in texts:
-            pieces = text.split(" ")
-            new = set(pieces[1:]).difference(known)
-            if at_edge(pieces[0]) or any(map(at_edge, new)):
-                pieces = joined(pieces)
-                new = set(pieces[1:]).difference(known)
-            pieces[0] = (pieces[0],)
-            missing |= new
-            if pieces[0] not in known:
-                missing.add(pieces[0])
+            pieces = self.pieces_of(text)
+            ids = list(map(known.get, pieces))
             seen += len(pieces)
-            split.append(pieces)
+            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            chunks = [pieces[i] for i in gaps]
+            missing.update(chunks)
+            split.append((ids, gaps, chunks))
         found = self.found(missing)
-        full = len(known) + len(found) > self.remembered
-        if full and 2 * len(missing) > seen:
-            known = self.known = {c: known[c] for pieces in split for c in pieces if c in known}
-        if not full:
-            passing = {c: found.pop(c) for c in list(found) if not lasting(c)}
-            known.update(found)
-            found = passing
-        if not found:
-            return [b"".join([known[c] for c in pieces]) for pieces in split]
-        return [
-            b"".join([known[c] if c in known else found[c] for c in pieces]) for pieces in split
-        ]
+        for ids, gaps, chunks in split:
+            for i, chunk in zip(gaps, chunks):
+                ids[i] = found[chunk]
+        if len(known) + len(found) <= self.remembered:
+            known.update({c: x for c, x in found.items() if lasting(c)})
+        elif 2 * len(missing) > seen:
+            self.known = {}
+        return [b"".join(ids) for ids, _, _ in split]
 
     def found(self, missing: set) -> dict:
         """Ids of chunks that are not known; a stop after a word is added to the word's."""

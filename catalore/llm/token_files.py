@@ -8,9 +8,11 @@ bits of the XXH64 of its content. A reader finds both from the end of the file a
 decompresses only the frames that hold the documents asked for.
 
 Documents are written in ascending doc_id order (null first; rows with one doc_id by
-text), a file for each range. A null text counts as the empty text; every document ends
+the hash of their text), a file for each range. A null text counts as the empty text; every document ends
 with the end id, so none is empty. Repeated rows are written as often as they occur. An
-empty table gives no files. Other columns are not read.
+empty table gives no files. Other columns are not read. Rows with one doc_id may lie
+in several files. Strings of the tokenizer's added tokens become those tokens, as the
+library does it.
 
 Files go to their final name only when whole, and a task that runs again writes the
 same bytes.
@@ -21,10 +23,13 @@ from __future__ import annotations
 import array
 import hashlib
 import itertools
+import json
+import os
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -148,35 +153,83 @@ class TokenFile:
                 yield place, self.ids_at(place)
 
 
-_ENCODERS: dict[bytes, ChunkIds] = {}
+_ENCODERS: dict[bytes, Callable[[list[str]], list[bytes]]] = {}
 
+#: Letters up to here have been letters in all versions of Unicode that libraries know.
+SETTLED = "\u0530"
 
-def encoder(definition: str) -> ChunkIds:
-    """The tokenizer of a definition, loaded once in a worker."""
-    key = hashlib.sha256(definition.encode()).digest()
-    if key not in _ENCODERS:
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(definition)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+def byte_letters() -> dict[int, str]:
+    """The character that byte-level tokenizers write for each byte.
+
+    Bytes that print stand for themselves, the others follow from U+0100 on.
+    """
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+
 
-        tokenize, space = tokenizer.model.tokenize, tokenizer.encode(" a").tokens[0][0]
+def one_piece(chunk: str) -> bool:
+    """Whether a chunk is a space and letters, one piece under the pattern."""
+    return chunk[:1] == " " and chunk[1:].isalpha() and (chunk.isascii() or max(chunk) < SETTLED)
 
-        def encode(chunks: list[str]) -> list[bytes]:
-            # A space and ASCII letters are one piece, which the library's model takes as it is.
-            whole = [c[0] == " " and c.isascii() and c[1:].isalpha() if c else False for c in chunks]
-            others = [c for c, w in zip(chunks, whole) if not w]
-            encoded = iter(tokenizer.encode_batch(others, add_special_tokens=False))
-            ids = (
-                [t.id for t in tokenize(space + c[1:])] if w else next(encoded).ids
-                for c, w in zip(chunks, whole)
-            )
-            return [array.array("I", x).tobytes() for x in ids]
 
-        _ENCODERS[key] = ChunkIds(encode)
+def encoder(definition: str) -> Callable[[list[str]], list[bytes]]:
+    """What the tokenizer of a definition gives for texts, loaded once in a worker."""
+    key = hashlib.sha256(definition.encode()).digest()
+    if key not in _ENCODERS:
+        _ENCODERS[key] = new_encoder(definition)
     return _ENCODERS[key]
 
 
+def new_encoder(definition: str) -> Callable[[list[str]], list[bytes]]:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    tokenizer, settings = Tokenizer.from_str(definition), json.loads(definition)
+    tokenize, letters = tokenizer.model.tokenize, byte_letters()
+
+    def whole(texts: list[str]) -> list[bytes]:
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array.array("I", e.ids).tobytes() for e in found]
+
+    # Texts are only cut where this pre-tokenizer cuts them as well.
+    cut = settings["pre_tokenizer"] or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"]
+    added = {t["content"]: t for t in settings["added_tokens"]}
+    simple = not any(t[k] for t in added.values() for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not plain or not simple or settings["normalizer"] is not None:
+        return whole
+
+    def encode(chunks: list[str]) -> list[bytes]:
+        # One piece goes to the library's model, which takes it as it is.
+        single = list(map(one_piece, chunks))
+        others = iter(whole([c for c, s in zip(chunks, single) if not s]))
+        return [
+            array.array("I", [
+                t.id for t in tokenize(c.encode().decode("latin-1").translate(letters))
+            ]).tobytes() if s else next(others)
+            for c, s in zip(chunks, single)
+        ]
+
+    chunk_ids = ChunkIds(encode, lines=True)
+    if not added:
+        return chunk_ids
+    # The library looks for added tokens before anything else; the text between them is cut.
+    tokens = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    ids = {content: struct.pack("<I", token["id"]) for content, token in added.items()}
+
+    def with_added(texts: list[str]) -> list[bytes]:
+        parts = [tokens.split(t) if tokens.search(t) else [t] for t in texts]
+        between = [p for own in parts for p in own[::2]]
+        found = iter(chunk_ids(between))
+        return [
+            b"".join(ids[p] if i % 2 else next(found) for i, p in enumerate(own)) for own in parts
+        ]
+
+    return with_added
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int) -> DataFrame:
     """Encode the documents and write them below ``folder``; one row for each file.
 
@@ -217,9 +270,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int)
         )
 
     ordered = (
-        docs.select("doc_id", whole_text().alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        docs.select("doc_id", whole_text().alias("text"), F.xxhash64(whole_text()).alias("hash"))
+        .repartitionByRange("doc_id", "hash")
+        .sortWithinPartitions("doc_id", "hash", "text")
     )
     return cut_lineage(ordered.mapInArrow(run, MANIFEST))
 

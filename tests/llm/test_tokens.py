@@ -85,14 +85,12 @@ def test_whole_texts_by_the_tokenizer(texts):
     with open(JSON, encoding="utf-8") as file:
         encode = token_files.encoder(file.read())
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [list(memoryview(ids).cast("I")) for ids in encode(texts)] == want
 
 
 def digests(rows):
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     found, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode())):
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
@@ -112,6 +110,48 @@ def test_token_files_of_documents(spark, sf):
     assert collected(token_files.token_digests(docs.repartition(7), JSON, 2)) == digests(rows)
 
 
+ADDED = [
+    "<|endoftext|>", "<|endoftext|> x", "a<|endoftext|>b", "one <|endoftext|>", "<|endoftext|><|endoftext|>\n",
+    "x <|endoftext|> y <|endoftext|>z <|endoftext", "<|ENDOFTEXT|> \n<|endoftext|>", "é<|endoftext|>é",
+]
+
+
+def test_added_tokens_are_those_of_the_library(table):
+    with open(JSON, encoding="utf-8") as file:
+        encode = token_files.encoder(file.read())
+    library = Tokenizer.from_file(JSON)
+    want = [e.ids for e in library.encode_batch(ADDED, add_special_tokens=False)]
+    assert [list(memoryview(ids).cast("I")) for ids in encode(ADDED)] == want and 50256 in want[2]
+    rows = list(enumerate(ADDED))
+    assert collected(token_files.token_digests(table(rows), JSON, 2)) == digests(rows)
+
+
+def test_lines_are_cut_where_the_library_cuts(texts):
+    """Line ends beside letters, marks, white space of all kinds and nothing."""
+    random.seed(6)
+    parts = ["a", "Ü", "1", ".", "'s", " ", "\n", "\n", "\t", "\r\n", "\x85", "\u2028", "日", "ǆ", "ъ", "word", "!?"]
+    odd = ["".join(random.choices(parts, k=random.randrange(12))) for _ in range(4000)]
+    with open(JSON, encoding="utf-8") as file:
+        encode = token_files.new_encoder(file.read())
+    want = [e.ids for e in Tokenizer.from_file(JSON).encode_batch(odd, add_special_tokens=False)]
+    assert [list(memoryview(ids).cast("I")) for ids in encode(odd)] == want
+
+
+def test_a_hot_doc_id_spreads_over_files(spark, table):
+    rows = [(7, f"text number {i}") for i in range(4000)] + [(8, "last")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = token_files.new_folder(table(rows))
+        manifest = token_files.write_tokens(table(rows).repartition(4), JSON, folder, 2)
+        assert manifest.filter("n_docs > 100").count() > 1
+        got = token_files.read_tokens(manifest).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ends = sorted((r.start, r.start + r.n_tokens, r.doc_id) for r in got)
+    assert len(got) == 4001 and [r[2] for r in ends][-1] == 8
+    assert all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+
+
 def test_token_files_of_odd_rows(odd):
     assert collected(token_files.token_digests(odd, JSON, 2)) == digests(ODD)
 
