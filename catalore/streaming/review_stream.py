@@ -5,11 +5,12 @@ and no watermark is needed; the state is one record per item, as large as the
 items table itself. Use the RocksDB state store for many items (``build_session``
 sets it).
 
-Each trigger writes the items it changed to ``latest/batch=N`` and the change of
-the status counts to ``counts/batch=N``. Every COMPACT_EVERY triggers the latest action
-of each item so far goes to ``snapshot/batch=N``, in the order of the items, so that a
-trigger reads one snapshot and the few changes after it. A trigger that runs again
-overwrites its own folders, so results are exact after any failure.
+The latest actions are kept in buckets of neighbouring item ids, a folder for each bucket
+and trigger that changed it: ``state/bucket=B/batch=N``. A trigger reads the buckets of the
+items it changes, writes them anew and removes the versions that nothing needs any more, so
+that its work follows the items it touches and not those there are. Beside them it writes
+the status counts so far to ``counts/batch=N``. A trigger that runs again reads the versions
+before its own and overwrites its own, so results are exact after any failure.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ from __future__ import annotations
 import sys
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalore.operators.review import acceptable, latest_action
 from catalore.session import shared_dir
 
-#: Triggers between two snapshots.
-COMPACT_EVERY = 20
+#: Ids of one bucket. The store numbers items without gaps, so that this is their number too.
+BUCKET_IDS = 4096
+#: Versions of a bucket, and of the counts, that a trigger that runs again may need.
+VERSIONS = 2
 
 STATE = T.StructType(
     [
@@ -40,8 +43,7 @@ STATE = T.StructType(
 COUNTS = T.StructType(
     [
         T.StructField("status", T.StringType()),
-        T.StructField("change", T.LongType()),
-        T.StructField("batch", T.LongType()),
+        T.StructField("n", T.LongType()),
     ]
 )
 
@@ -64,61 +66,75 @@ def latest_action_stream(actions: DataFrame) -> DataFrame:
     return latest_action(actions.where(acceptable()))
 
 
-def _snapshot_before(batch_id: int) -> int | None:
-    """The trigger whose snapshot a trigger starts from, if there is one."""
-    number = (batch_id - 1) // COMPACT_EVERY * COMPACT_EVERY
-    return number if number >= COMPACT_EVERY else None
+class _Versions:
+    """The folders ``batch=N`` below a path, by number."""
 
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._system = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._new = spark._jvm.org.apache.hadoop.fs.Path
+        names = []
+        if self._system.exists(self._path):
+            names = [str(s.getPath().getName()) for s in self._system.listStatus(self._path)]
+        self.path = path
+        self.numbers = sorted(int(n.partition("=")[2]) for n in names if n.startswith("batch="))
 
-def _changes(spark: SparkSession, folder: str, first: int, end: int) -> list[str]:
-    """Folders of the triggers from ``first`` up to ``end``; a trigger without data has none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/latest")
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(path):
-        return []
-    names = (str(entry.getPath().getName()) for entry in system.listStatus(path))
-    found = {int(name.partition("=")[2]) for name in names if name.startswith("batch=")}
-    return [f"{folder}/latest/batch={n}" for n in sorted(found) if first <= n < end]
+    def before(self, batch_id: int) -> str | None:
+        """The newest version before a trigger's."""
+        earlier = [n for n in self.numbers if n < batch_id]
+        return f"{self.path}/batch={earlier[-1]}" if earlier else None
 
+    def remove_old(self) -> None:
+        for number in self.numbers[:-VERSIONS]:
+            self._system.delete(self._new(f"{self.path}/batch={number}"), True)
 
-def _state_before(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
-    """The latest action per item before a trigger, from a snapshot and what came after."""
-    start = _snapshot_before(batch_id)
-    paths = _changes(spark, folder, 0 if start is None else start + 1, batch_id)
-    if start is not None:
-        paths.append(f"{folder}/snapshot/batch={start}")
-    if not paths:
-        return spark.createDataFrame([], STATE)
-    return latest_action(spark.read.schema(STATE).parquet(*paths))
 
+def _bucket() -> Column:
+    return F.expr(f"item_id div {BUCKET_IDS}")
 
-def _count_changes(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
-    """+1 for the status an item got in this trigger, -1 for the one it had before."""
-    changed = spark.read.schema(STATE).parquet(f"{folder}/latest/batch={batch_id}")
-    had = _state_before(spark, folder, batch_id).join(
-        changed.select("item_id"), "item_id", "left_semi"
-    )
-    signed = changed.select("status", F.lit(1).alias("step")).unionByName(
-        had.select("status", F.lit(-1).alias("step"))
+
+def _buckets_of(changed: DataFrame) -> list[int]:
+    """The buckets of the changed items; as many as there are items at most."""
+    return [r[0] for r in changed.select(_bucket().alias("bucket")).distinct().collect()]
+
+
+def _state_before(spark: SparkSession, folder: str, buckets: list[int], batch_id: int) -> DataFrame:
+    """The latest action per item of some buckets before a trigger."""
+    versions = (_Versions(spark, f"{folder}/state/bucket={b}").before(batch_id) for b in buckets)
+    paths = [path for path in versions if path]
+    return spark.read.schema(STATE).parquet(*paths) if paths else spark.createDataFrame([], STATE)
+
+
+def _counts_after(spark: SparkSession, folder: str, had: DataFrame, changed: DataFrame, batch_id: int) -> DataFrame:
+    """Items per status: those before, +1 for what an item got, -1 for what it had."""
+    path = _Versions(spark, f"{folder}/counts").before(batch_id)
+    before = spark.read.schema(COUNTS).parquet(path) if path else spark.createDataFrame([], COUNTS)
+    lost = had.join(changed.select("item_id"), "item_id", "left_semi")
+    steps = before.unionByName(changed.select("status", F.lit(1).cast("long").alias("n"))).unionByName(
+        lost.select("status", F.lit(-1).cast("long").alias("n"))
     )
-    return signed.groupBy("status").agg(F.sum("step").cast("bigint").alias("change"))
+    return steps.groupBy("status").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
 
 
 def _write_trigger(folder: str):
     def write(changed: DataFrame, batch_id: int) -> None:
         spark = changed.sparkSession
         # Written first and read back, so the stateful plan runs once per trigger.
-        changed.write.mode("overwrite").parquet(f"{folder}/latest/batch={batch_id}")
-        changes = _count_changes(spark, folder, batch_id)
-        changes.write.mode("overwrite").parquet(f"{folder}/counts/batch={batch_id}")
-        if batch_id and batch_id % COMPACT_EVERY == 0:
-            state = _state_before(spark, folder, batch_id).unionByName(
-                spark.read.schema(STATE).parquet(f"{folder}/latest/batch={batch_id}")
-            )
-            ordered = latest_action(state).repartitionByRange("item_id")
-            ordered.sortWithinPartitions("item_id").write.mode("overwrite").parquet(
-                f"{folder}/snapshot/batch={batch_id}"
-            )
+        staged = f"{folder}/changes/batch={batch_id}"
+        changed.write.mode("overwrite").parquet(staged)
+        changed = spark.read.schema(STATE).parquet(staged)
+        buckets = _buckets_of(changed)
+        had = _state_before(spark, folder, buckets, batch_id)
+        after = latest_action(had.unionByName(changed)).withColumns(
+            {"bucket": _bucket(), "batch": F.lit(batch_id)}
+        )
+        after.repartition("bucket").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("bucket", "batch").parquet(f"{folder}/state")
+        counts = _counts_after(spark, folder, had, changed, batch_id)
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{folder}/counts/batch={batch_id}")
+        for path in (*(f"state/bucket={b}" for b in buckets), "counts", "changes"):
+            _Versions(spark, f"{folder}/{path}").remove_old()
 
     return write
 
@@ -132,7 +148,7 @@ def run_available(actions: DataFrame, folder: str) -> None:
     query = (
         latest_action_stream(actions)
         .writeStream.outputMode("update")
-        .option("checkpointLocation", f"{folder}/state")
+        .option("checkpointLocation", f"{folder}/checkpoint")
         .foreachBatch(_write_trigger(folder))
         .trigger(availableNow=True)
         .start()
@@ -141,13 +157,17 @@ def run_available(actions: DataFrame, folder: str) -> None:
 
 
 def current_state(spark: SparkSession, folder: str) -> DataFrame:
-    """The latest action per item so far."""
-    done = _changes(spark, folder, 0, sys.maxsize)
-    last = int(done[-1].rpartition("=")[2]) if done else -1
-    return _state_before(spark, folder, last + 1)
+    """The latest action per item so far.
+
+    The newest version of a bucket has all its items; older ones that are still there have
+    nothing newer.
+    """
+    if not _Versions(spark, f"{folder}/counts").numbers:
+        return spark.createDataFrame([], STATE)
+    return latest_action(spark.read.schema(STATE).parquet(f"{folder}/state"))
 
 
 def current_status_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Items per status so far, from the few rows each trigger left."""
-    changes = spark.read.schema(COUNTS).parquet(f"{folder}/counts")
-    return changes.groupBy("status").agg(F.sum("change").alias("n")).where(F.col("n") > 0)
+    """Items per status so far, from the few rows that the last trigger left."""
+    path = _Versions(spark, f"{folder}/counts").before(sys.maxsize)
+    return spark.read.schema(COUNTS).parquet(path) if path else spark.createDataFrame([], COUNTS)

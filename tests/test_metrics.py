@@ -1,5 +1,7 @@
+import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from catalore.operators import items as item_ops
@@ -85,3 +87,30 @@ def test_frame_summary(spark):
     flat = {(r["section"], r["key"], r["n"]) for r in metrics.frame_summary_rows(items).collect()}
     assert {("total_items", None, 8), ("unique_tables", None, 3), ("status", "pending", 4)} <= flat
     assert {n for section, _, n in flat if section == "recent_activity"} == {3, 4, 5, 6, 7}
+
+
+@pytest.mark.parametrize("ties", [1, 60, 10**9])
+def test_newest_items_by_a_bound_on_the_time(spark, ties):
+    """The newest n at any n, whatever share of the items has the same time or none."""
+    rng = random.Random(ties)
+    rows = [
+        (i, None if rng.random() < 0.02 else START + timedelta(seconds=rng.randrange(10**6) // ties * ties, microseconds=7 * (ties == 1)))
+        for i in range(3000)
+    ]
+    items = spark.createDataFrame(rows, "id long, created_at timestamp_ntz").repartition(3)
+    order = sorted(rows, key=lambda r: (r[1] is not None, -(r[1] - START).total_seconds() if r[1] else 0, -r[0]))
+    for n in (0, 10, 500, 2999, 4000):
+        found = {r["item"] for r in metrics._newest(items, n, item=F.col("id")).collect()}
+        assert found == {r[0] for r in order[:n]}, n
+
+
+def test_a_bound_leaves_little_to_sort(spark):
+    times = spark.range(100_000).select(
+        # Nearly all times lie in one minute of ten years.
+        F.expr("timestampadd(MICROSECOND, if(id % 1000 = 0, id * 3000000000, id * 600), TIMESTAMP_NTZ'2015-01-01 00:00:00')").alias("time")
+    )
+    for n in (150, 5_000, 60_000):
+        bound = metrics._time_bound(times, n)
+        left = times.where(F.col("time") >= F.lit(bound.isoformat(" ")).cast("timestamp_ntz")).count()
+        assert n <= left <= n * (1 + metrics.SURPLUS)
+    assert metrics._time_bound(times, 100_000) is None

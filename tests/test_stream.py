@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -34,36 +35,56 @@ def test_state_and_counts_follow_the_stream(spark, tmp_path):
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
         counts = {r["status"]: r["n"] for r in review_stream.current_status_counts(spark, folder).collect()}
         assert counts == {r["status"]: r["count"] for r in expected.groupBy("status").count().collect()}
-    triggers = spark.read.parquet(f"{folder}/latest").select("batch").distinct().count()
-    assert triggers == 6
+    assert review_stream._Versions(spark, f"{folder}/counts").numbers == [4, 5]
     assert review_stream.current_state(spark, folder).where(F.col("status") == "archived").count() == 0
 
 
-def test_snapshots_spare_reading_earlier_triggers(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(review_stream, "COMPACT_EVERY", 3)
-    folder = str(tmp_path / "state")
+def write_batches(spark, folder, batches, again=()):
+    """Triggers over (item_id, status) rows; what ``again`` names runs twice."""
     write = review_stream._write_trigger(folder)
-    rng, rows = random.Random(5), []
-    for batch in range(9):
+    rows = []
+    for batch, changes in enumerate(batches):
         new = [
-            (batch * 10 + i, rng.randrange(12), f"v{batch}", rng.choice(["approved", "edited"]), "u", None,
-             START + timedelta(minutes=rng.randrange(100)))
-            for i in range(10)
+            (batch * 1000 + i, item, f"v{batch}", status, "u", None, START + timedelta(minutes=(batch * 7) % 11))
+            for i, (item, status) in enumerate(changes)
         ]
         rows += new
         known = latest_action(spark.createDataFrame(rows, ACTIONS))
         touched = spark.createDataFrame([(r[1],) for r in new], "item_id long").distinct()
-        write(known.join(touched, "item_id", "left_semi"), batch)
-        if batch in (4, 6):
+        for _ in range(2 if batch in again else 1):
             write(known.join(touched, "item_id", "left_semi"), batch)
-        assert sorted(map(tuple, review_stream.current_state(spark, folder).collect())) == sorted(
-            map(tuple, known.collect())
-        )
-        counts = {r["status"]: r["n"] for r in review_stream.current_status_counts(spark, folder).collect()}
-        assert counts == {r["status"]: r["count"] for r in known.groupBy("status").count().collect()}
-    files = review_stream._state_before(spark, folder, 9).inputFiles()
-    assert {f.split("/")[-2] for f in files} == {"batch=6", "batch=7", "batch=8"}
-    assert any("snapshot" in f for f in files)
+    return known
+
+
+def test_buckets_follow_the_triggers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(review_stream, "BUCKET_IDS", 4)
+    folder, rng = str(tmp_path / "state"), random.Random(5)
+    batches = [
+        [(rng.randrange(-3, 12), rng.choice(["approved", "edited"])) for _ in range(6)] for _ in range(7)
+    ]
+    known = write_batches(spark, folder, batches, again=(2, 6))
+    found = review_stream.current_state(spark, folder)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, known.collect()))
+    counts = {r["status"]: r["n"] for r in review_stream.current_status_counts(spark, folder).collect()}
+    assert counts == {r["status"]: r["count"] for r in known.groupBy("status").count().collect()}
+
+
+def test_a_trigger_reads_the_buckets_it_touches(spark, tmp_path, monkeypatch):
+    """What a late trigger reads does not grow with the items that it leaves alone."""
+    monkeypatch.setattr(review_stream, "BUCKET_IDS", 10)
+    read = []
+    for items in (40, 400):
+        folder = str(tmp_path / f"state{items}")
+        everything = [(i, "approved") for i in range(items)]
+        write_batches(spark, folder, [everything, [(3, "edited")], [(3, "rejected"), (17, "edited")], [(17, "approved")]])
+        before = review_stream._state_before(spark, folder, [0, 1], 4)
+        files = [f.removeprefix("file://") for f in before.inputFiles()]
+        assert sorted(f.split("/")[-2] for f in files) == ["batch=2", "batch=3"]
+        read.append((before.count(), sum(os.path.getsize(f) for f in files)))
+        kept = {p.name: len(list(p.glob("batch=*"))) for p in (tmp_path / f"state{items}" / "state").glob("bucket=*")}
+        assert len(kept) == items // 10 and max(kept.values()) <= review_stream.VERSIONS
+        assert len(list((tmp_path / f"state{items}" / "counts").glob("batch=*"))) == review_stream.VERSIONS
+    assert read[0][0] == read[1][0] == 20 and abs(read[0][1] - read[1][1]) < 200
 
 
 def test_a_repeated_trigger_changes_nothing(spark, tmp_path):
