@@ -2,8 +2,10 @@
 
 Every text is scanned for three kinds of secret (assign, access, hex). A worklist then
 holds its layers: lines with URL or Unicode escapes are unescaped, runs of base64 (in one
-line, or wrapped at one width over several) are decoded and, where they hold compressed streams (one or several, one after the other or
-one in another), decompressed. Each layer is scanned like the text, and unwrapped again,
+line, or wrapped at one width over several, also behind a separator that base64 uses as
+well) are decoded and, where they hold compressed streams (one or several, one after the
+other or one in another), decompressed, up to where a stream breaks. Text may have one or
+two bytes a character. Each layer is scanned like the text, and unwrapped again,
 until no new layer appears. A layer that was seen at the same place before is not taken
 again, which ends cycles. Every character of a layer knows the part of the text that it
 comes from, so that what is found below goes back as a span of the text; a decompressed
@@ -48,8 +50,16 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: number of layers does not grow with the length of such a chain.
 PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
-UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}")
+#: The same for a backslash that was escaped again and again.
+BACKSLASH = r"(?:u005[Cc]|U0000005[Cc]|u\{0{0,4}5[Cc]\}|x5[Cc])"
+UNICODE = re.compile(
+    r"\\" + BACKSLASH + r"*(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))"
+)
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
+LEAST_RUN = 16
+#: Characters of base64 that also part words, and how compressed streams start behind one.
+SEPARATOR = re.compile("[/_+-]")
+PACKED = re.compile(r"[/_+-](?=(H4sI|eJ|eN|eA|Qlpo|_Td6|/Td6|KLUv))")
 #: What stands between lines of base64, and a last line, alone on its line from there on.
 LINE_END = re.compile(r"[ \t]*\r?\n[ \t]*")
 LAST_LINE = re.compile(r"[A-Za-z0-9+/_-]++={0,2}(?=[\"'`,;)\]}]*[ \t]*(?:\r?\n|\Z))")
@@ -164,7 +174,7 @@ def size_of(character: str) -> int:
 
 
 def unicode_value(match: re.Match):
-    number = int(match[0][2:].strip("{}"), 16)
+    number = int(match[match.lastindex], 16)
     valid = number < 0x110000 and not 0xD800 <= number < 0xE000
     yield match.start(), match.end(), chr(number) if valid else None
 
@@ -172,13 +182,15 @@ def unicode_value(match: re.Match):
 #: What a stream that cannot be read raises.
 BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError)
 ZSTANDARD = b"\x28\xb5\x2f\xfd"
-#: Bytes of a zstandard frame that are fed at once; they unpack to a few MB at most.
+#: Bytes of a zstandard frame that are fed at once; they unpack to a few MB at most. And of
+#: a stream that breaks, to find what it holds before that.
 FED = 64
+FED_BROKEN = 512
 
 
 def unpacker_of(raw: bytes):
     """What unpacks the compressed stream that ``raw`` starts with, if there is one."""
-    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and raw[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
+    if raw[:2] == b"\x1f\x8b" or is_zlib(raw[:2]):
         return zlib.decompressobj(47)
     if raw[:3] == b"BZh":
         return bz2.BZ2Decompressor()
@@ -189,6 +201,27 @@ def unpacker_of(raw: bytes):
     return None
 
 
+def is_zlib(head: bytes) -> bool:
+    """Whether two bytes are the header of a zlib stream, of any window and level."""
+    return len(head) == 2 and head[0] & 15 == 8 and head[0] < 0x80 and int.from_bytes(head, "big") % 31 == 0
+
+
+def before_break(raw: bytes, most: int) -> bytes:
+    """What a stream gives before it breaks, or before its check sum turns out wrong."""
+    unpacker, parts, size = unpacker_of(raw), [], 0
+    # The last bytes one by one: a wrong check sum takes nothing that came before it.
+    cuts = [*range(0, max(0, len(raw) - 16), FED_BROKEN), *range(max(0, len(raw) - 16), len(raw))]
+    try:
+        for at, to in zip(cuts, [*cuts[1:], len(raw)]):
+            parts.append(unpacker.decompress(raw[at:to]))
+            size += len(parts[-1])
+            if size >= most or unpacker.eof:
+                break
+    except BROKEN:
+        pass
+    return b"".join(parts)
+
+
 def member(unpacker, raw: bytes, most: int) -> tuple[bytes, bytes]:
     """What the first stream of ``raw`` holds, ``most`` bytes or a little more, and what follows."""
     if not raw.startswith(ZSTANDARD):
@@ -211,13 +244,26 @@ def unpacked(raw: bytes) -> bytes | None:
         try:
             found, raw = member(unpacker, raw, left)
         except BROKEN:
-            break
+            if not (found := before_break(raw, left)):
+                break
+            raw = b""
         parts.append(found)
         left -= len(found)
         raw = raw.lstrip(b"\0")
     return b"".join([*parts, raw]) if any(parts) else None
 
 
+def wide(raw: bytes) -> str | None:
+    """The encoding of text in two bytes a character: by its mark, or zeros in every other byte."""
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16-le" if raw[0] == 0xFF else "utf-16-be"
+    half = len(raw) // 2
+    for encoding, high, low in (("utf-16-le", 1, 0), ("utf-16-be", 0, 1)):
+        if half >= 8 and raw[high::2].count(0) > 0.6 * half and raw[low::2].count(0) < 0.1 * half:
+            return encoding
+    return None
+
+
 def is_text(text: str) -> bool:
     """Whether the share of unreadable characters is small enough."""
     return len(UNREADABLE.findall(text)) <= MOST_UNREADABLE * len(text)
@@ -226,8 +272,9 @@ def is_text(text: str) -> bool:
 def decoded(layer: Layer, start: int, end: int) -> tuple[Layer | None, bool]:
     """The layer in a run of base64, and whether it was too large to unpack."""
     run = layer.text[start:end].rstrip("=")
-    if len(run) % 4 == 1:
-        return None, False
+    if len(run) % 4 == 1:  # one character too many holds no whole byte
+        run = run[:-1]
+        end = start + len(run)
     try:
         raw = base64.b64decode(run.translate({45: "+", 95: "/"}) + "=" * (-len(run) % 4))
     except (binascii.Error, ValueError):
@@ -246,11 +293,12 @@ def decoded(layer: Layer, start: int, end: int) -> tuple[Layer | None, bool]:
     if inner is not None:
         if len(inner) > MOST_UNPACKED:
             return None, True
-        return Layer(inner.decode("utf-8", "replace"), [(0, *whole, 0)]), False
-    text = raw.decode("utf-8", "surrogateescape")
+        return Layer(inner.decode(wide(inner) or "utf-8", "replace"), [(0, *whole, 0)]), False
+    encoding = wide(raw)
+    text = raw.decode(encoding, "replace") if encoding else raw.decode("utf-8", "surrogateescape")
     pieces, byte = [], 0
     for at, character in enumerate(text):
-        size = size_of(character)
+        size = (2 if character < "\U00010000" else 4) if encoding else size_of(character)
         low = start + byte * 4 // 3
         high = start + -(-(byte + size) * 4 // 3)
         pieces.append((at, *layer.source(low, min(high, end)), 0))
@@ -259,6 +307,24 @@ def decoded(layer: Layer, start: int, end: int) -> tuple[Layer | None, bool]:
     return Layer(text, pieces, is_text(text)), False
 
 
+def out_of_step(layer: Layer, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Parts of a run that may be base64 behind other text of the same characters.
+
+    Behind a separator base64 starts in one of four steps, and the other three read it too;
+    compressed streams have to be read from their first character.
+    """
+    text = layer.text
+    separator = SEPARATOR.search(text, start, end)
+    if not separator:
+        return
+    for step in (1, 2, 3):
+        if end - start - step >= LEAST_RUN:
+            yield start + step, end
+    for match in PACKED.finditer(text, start, end):
+        if end - match.start(1) >= LEAST_RUN:
+            yield match.start(1), end
+
+
 def wrapped(layer: Layer, runs: list[tuple[int, int]]) -> Iterator[Layer]:
     """Base64 over several lines as one run: runs of equal length, and a shorter last one."""
     text, number = layer.text, 0
@@ -316,10 +382,18 @@ def all_spans(text: str, base: list[Span]) -> tuple[list[Span], int, int]:
             found, large = decoded(source, *run)
             inner.append(found)
             oversize += large
+            if found is None or not found.sure:
+                for part in out_of_step(source, *run):
+                    other, large = decoded(source, *part)
+                    inner.append(other)
+                    oversize += large
         for found in inner:
             if found is None:
                 continue
-            place = (*found.source(0, len(found.text)), found.text)
+            if not found.text:
+                continue
+            digest = hashlib.sha256(found.text.encode("utf-8", "surrogatepass")).digest()
+            place = (*found.source(0, len(found.text)), digest)
             if place in seen:
                 continue
             seen.add(place)

@@ -5,6 +5,7 @@ import hashlib
 import lzma
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -312,3 +313,71 @@ def test_pii_order(table, weights):
     text = "+1 (555) 555-1234 and a.b@c.example.com and 10.0.0.1"
     row = pii.personal_data(table([(1, text)]), weights).first()
     assert row.spans == "email:22:39,ip:44:52,phone:0:17"
+
+
+@pytest.mark.parametrize("link", ["u005c", "u005C", "x5c", "u{5c}", "U0000005c"])
+def test_unicode_chains_end_soon(link):
+    """Time in proportion to the length, and the escape at the end of the chain is read."""
+    begin = time.perf_counter()
+    text = "pass\\" + link * (1_000_000 // len(link)) + "u0077ord=abcdefgh12"
+    spans = secret_scan.scan([text])[0][4]
+    assert spans == f"assign:0:{len(text)}"
+    assert time.perf_counter() - begin < 20
+
+
+HIDDEN = b"the password=abcdefgh1234 is here"
+
+
+@pytest.mark.parametrize("before", ["https://x.y/", "a-", "path/to/", "k_", "id+", "/", "-", "a/b-c_d/"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, zstandard.compress])
+def test_base64_behind_a_separator(before, pack):
+    text = f"see {before}{base64.b64encode(pack(HIDDEN)).decode()} there"
+    spans = secret_scan.scan([text])[0][4]
+    ends = [int(span.split(":")[2]) for span in spans.split(",")]
+    assert spans.startswith("assign:") and max(ends) <= len(text) - 6
+
+
+@pytest.mark.parametrize("encoding", ["utf-16", "utf-16-le", "utf-16-be"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+def test_two_bytes_a_character(encoding, pack):
+    text = "x " + base64.b64encode(pack(HIDDEN.decode().encode(encoding))).decode()
+    start, end = map(int, secret_scan.scan([text])[0][4].split(":")[1:])
+    assert 2 <= start < end <= len(text)
+    if pack is bytes:
+        assert end - start < len(text) - 10
+
+
+@pytest.mark.parametrize("kind", ["check sum", "cut", "end"])
+def test_broken_streams_give_what_they_hold(kind):
+    packed = bytearray(gzip.compress(HIDDEN * 20 + bytes(range(256)) * 40))
+    if kind == "check sum":
+        packed[-6] ^= 255
+    packed = packed[: len(packed) // 2] if kind == "cut" else packed + b"#?" if kind == "end" else packed
+    assert "assign:" in secret_scan.scan(["x " + base64.b64encode(bytes(packed)).decode()])[0][4]
+
+
+@pytest.mark.parametrize("window", range(9, 16))
+def test_zlib_streams_of_any_window(window):
+    packer = zlib.compressobj(wbits=window)
+    packed = packer.compress(HIDDEN * 3) + packer.flush()
+    assert "assign:" in secret_scan.scan(["x " + base64.b64encode(packed).decode()])[0][4]
+
+
+def test_recall_of_planted_nestings():
+    """Secrets below one to four random wrappings, behind random text: nine in ten at least."""
+    rng = random.Random(12)
+    wrap = [
+        lambda b: base64.b64encode(b), lambda b: base64.urlsafe_b64encode(b), lambda b: base64.encodebytes(b).strip(),
+        lambda b: base64.b64encode(gzip.compress(b)), lambda b: base64.b64encode(zlib.compress(b)),
+        lambda b: base64.b64encode(bz2.compress(b)), lambda b: base64.b64encode(zstandard.compress(b)),
+        lambda b: b"".join(b"%%%02X" % c for c in b), lambda b: b"".join(b"\\u%04x" % c for c in b),
+        lambda b: b"".join(b"\\x%02x" % c for c in b),
+    ]
+    found = 0
+    for _ in range(400):
+        inner = b"password=" + bytes(rng.choice(b"abcdefgh123456") for _ in range(12))
+        for _ in range(rng.randrange(1, 5)):
+            inner = rng.choice(wrap)(inner)
+        before = rng.choice(["", "note ", "url/", "a-", "key: '"])
+        found += "assign:" in secret_scan.scan([before + inner.decode() + " end"])[0][4]
+    assert found >= 380, found
