@@ -14,9 +14,13 @@ from collections.abc import Callable
 
 #: Chunks that one worker remembers, and characters of a chunk worth remembering. Others
 #: are encoded again; ids do not change.
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
 LONGEST = 64
 STOPS = (",", ".")
+#: ASCII marks but for the apostrophe; a run of them after letters is a piece by itself.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Runs of white space, and white space other than a space and a line end.
+UNEVEN = ("  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
 
 Encode = Callable[[list[str]], list[bytes]]
 
@@ -63,20 +67,20 @@ class ChunkIds:
     ``encode`` turns chunks into such ids. Chunks are remembered without their leading
     space; the first chunk of a text has none and is remembered as a tuple. A full memory
     takes nothing more, and is emptied when most chunks of a call are not in it. With
-    ``lines`` a single line end is a piece by itself.
+    ``lines`` a single line end is a piece by itself, and so is any run of marks after letters.
     """
 
     def __init__(self, encode: Encode, remembered: int = REMEMBERED, lines: bool = False) -> None:
         self.encode, self.remembered, self.known = encode, remembered, {}
-        self.stops = dict(zip(STOPS, encode(list(STOPS))))
+        self.ends = dict(zip(STOPS, encode(list(STOPS))))
         self.lines = lines
 
     def pieces_of(self, text: str) -> list[str | tuple[str]]:
         """The chunks of a text, the first of each line as a tuple."""
-        words, lines = text.split(), [text]
+        lines = [text]
         # White space is then single spaces and line ends with something on either side.
-        gaps = len(text) - sum(map(len, words))
-        plain = gaps == len(words) - 1 == text.count(" ") + text.count("\n")
+        plain = text[:1] not in ("", " ", "\n") and text[-1] not in " \n"
+        plain = plain and not any(map(text.__contains__, UNEVEN))
         if self.lines and "\n" in text:
             lines = text.split("\n") if plain else lines_of(text)
         pieces: list[str | tuple[str]] = []
@@ -109,19 +113,30 @@ class ChunkIds:
             self.known = {}
         return [b"".join(ids) for ids, _, _ in split]
 
+    def stem(self, chunk: str | tuple[str]) -> str | tuple[str] | None:
+        """The letters of a chunk of letters and what ends a piece, else None."""
+        text = chunk if isinstance(chunk, str) else chunk[0]
+        letters = text.rstrip(MARKS) if self.lines else text[:-1] if text[-1:] in self.ends else text
+        if len(letters) == len(text) or not letters.isalpha():
+            return None
+        return letters if isinstance(chunk, str) else (letters,)
+
     def found(self, missing: set) -> dict:
-        """Ids of chunks that are not known; a stop after a word is added to the word's."""
-        stopped = [
-            c for c in missing if isinstance(c, str) and c[-1] in STOPS and c[:-1].isalpha()
-        ]
-        wanted = missing.difference(stopped)
-        wanted.update(c[:-1] for c in stopped if c[:-1] not in self.known)
+        """Ids of chunks that are not known; those of marks after a word are added to the word's."""
+        stems = {c: stem for c in missing if (stem := self.stem(c))}
+        ends = {c: (c if isinstance(c, str) else c[0])[len(s if isinstance(s, str) else s[0]) :] for c, s in stems.items()}
+        wanted = missing.difference(stems)
+        wanted.update(s for s in stems.values() if s not in self.known)
         listed = list(wanted)
         texts = [c[0] if isinstance(c, tuple) else " " + c for c in listed]
-        found = dict(zip(listed, self.encode(texts))) if listed else {}
-        for c in stopped:
-            stem = c[:-1]
-            found[c] = (found[stem] if stem in found else self.known[stem]) + self.stops[c[-1]]
+        new_ends = [e for e in set(ends.values()) if e not in self.ends]
+        encoded = self.encode(texts + new_ends) if texts or new_ends else []
+        found, after = dict(zip(listed, encoded)), dict(zip(new_ends, encoded[len(listed) :]))
+        self.ends.update((e, ids) for e, ids in after.items() if len(e) <= 4)
+        for c, s in stems.items():
+            end = ends[c]
+            ids = found[s] if s in found else self.known[s]
+            found[c] = ids + (after[end] if end in after else self.ends[end])
         return found
 
 

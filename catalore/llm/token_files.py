@@ -170,8 +170,8 @@ def byte_letters() -> dict[int, str]:
 
 
 def one_piece(chunk: str) -> bool:
-    """Whether a chunk is a space and letters, one piece under the pattern."""
-    return chunk[:1] == " " and chunk[1:].isalpha() and (chunk.isascii() or max(chunk) < SETTLED)
+    """Whether a chunk is letters, a space before them or not: one piece under the pattern."""
+    return chunk[chunk[:1] == " " :].isalpha() and (chunk.isascii() or max(chunk) < SETTLED)
 
 
 def encoder(definition: str) -> Callable[[list[str]], list[bytes]]:
