@@ -95,6 +95,7 @@ def describe(
 
 
 def fallback_text() -> Column:
+    # The wording of the standard text.
     column = blank_to_null(F.col("column_name"))
     subject = F.coalesce(column, F.concat(F.col("table_name"), F.lit(" table")))
     return F.concat(F.lit("Auto-generated description for "), subject)

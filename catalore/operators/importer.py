@@ -101,6 +101,7 @@ def dry_run(plan: DataFrame) -> DataFrame:
         "column_name",
         short_description().alias("description"),
         F.lit(True).alias("success"),
+        # Fixed value: the outcome text of a dry run.
         F.concat(F.lit("DRY RUN: Would execute - "), "statement").alias("message"),
     )
 
@@ -167,6 +168,7 @@ def _execute(spark: SparkSession, row: Row, level: str) -> tuple[bool, str]:
     try:
         spark.sql(row.statement)
     except Exception as failure:  # noqa: BLE001 - the failure becomes data
+        # The outcome texts of a statement.
         return False, f"Failed to apply description to {target}: {failure}"
     return True, f"Successfully applied description to {target}"
 
