@@ -101,6 +101,39 @@ def test_given_targets_are_met(spark, sf):
     assert sums["fr"] == pytest.approx(0.5, abs=0.02) and sums["en"] == pytest.approx(0.25, abs=0.02)
 
 
+def test_contradicting_targets_are_told(spark, table):
+    rows = [(i, "one two", "en" if i % 4 else "de", "a" if i % 4 else "b", 1) for i in range(400)]
+    targets = {
+        "source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "value string, share double"),
+        "lang": spark.createDataFrame([("en", 0.2), ("de", 0.8)], "value string, share double"),
+    }
+    with pytest.raises(mixing.TargetsConflict, match="source by 0.7"):
+        mixing.mixture(table(rows), targets=targets)
+    targets["lang"] = spark.createDataFrame([("en", 4.0), ("en", 5.0), ("de", 1.0), ("xx", 7.0)], "value string, share double")
+    found = {(r.dimension, r.value): r for r in mixing.shares(table(rows), targets=targets).collect()}
+    assert found["lang", "en"].raked == pytest.approx(0.9) and found["source", "b"].raked == pytest.approx(0.1)
+
+
+def test_contradicting_defaults_are_a_warning(table):
+    # One source has a language of its own: a quarter as a source, more as a language.
+    rows = [(i, "one two", "de" if i % 4 else "en", f"s{i % 4}", 1) for i in range(200)]
+    with pytest.warns(UserWarning, match="contradict"):
+        found = mixing.mixture(table(rows))
+    assert found.count() == 200
+
+
+def test_shares_of_the_sample(spark, sf):
+    docs = documents(spark, sf)
+    found = mixing.shares(docs).toPandas()
+    got = mixing.mixture(docs).toPandas()
+    got["weight"] = got["tokens"] * got["probability"]
+    for name in mixing.DIMENSIONS:
+        mine = found[found["dimension"] == name].set_index("value").sort_index()
+        assert np.allclose(mine["target"], mine["raked"], atol=1e-8)
+        want = got.groupby(name)["weight"].sum() / got["weight"].sum()
+        assert np.allclose(mine["expected"], want.sort_index(), atol=1e-5)
+
+
 def test_mixed_keeps_whole_rows(clashing):
     kept = mixing.mixed(clashing)
     assert kept.schema.names == clashing.schema.names
