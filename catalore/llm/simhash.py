@@ -30,10 +30,10 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalore.llm.common import fresh, map_texts
+from catalore.llm.common import fresh, map_texts, whole_text
 from catalore.llm.components import components
 from catalore.session import cut_lineage
 
@@ -73,9 +73,9 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(found)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and its fingerprint ``fp`` as a signed long."""
-    return map_texts(docs, lambda texts: [(fingerprint(t),) for t in texts], {"fp": "long"})
+def fingerprints(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``keys`` (doc_id) and the fingerprint ``fp`` as a signed long."""
+    return map_texts(docs, lambda texts: [(fingerprint(t),) for t in texts], {"fp": "long"}, keys)
 
 
 def flips() -> list[tuple[int, int]]:
@@ -233,15 +233,20 @@ def links(distinct: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, "u long, v long")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
-    prints = cut_lineage(fingerprints(docs))
+def classes(prints: DataFrame) -> DataFrame:
+    """(fp, first, least): smallest doc_id and component of every distinct fingerprint."""
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     least = components(links(distinct)).withColumnRenamed("node", "fp")
     known = distinct.join(least, "fp", "left").select(
         "fp", "first", F.coalesce("least", "fp").alias("least")
     )
-    known = cut_lineage(known)
+    return cut_lineage(known)
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
+    prints = cut_lineage(fingerprints(docs))
+    known = classes(prints)
     named = known.groupBy("least").agg(F.min("first").alias("component_id"))
     # Written, so that the last join reads plain tables and can split a hot fingerprint.
     of = cut_lineage(known.join(named, "least").select("fp", "component_id"))
@@ -252,9 +257,34 @@ def near_copies(docs: DataFrame) -> DataFrame:
     )
 
 
+def text_digest() -> Column:
+    return F.unhex(F.md5(whole_text()))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, all columns."""
-    kept = near_copies(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    name = fresh(docs, "kept_id")
-    kept = kept.select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+    """One row of ``docs`` for each component, all columns.
+
+    It has the smallest doc_id (null last), then fingerprint, then digest of the text. Of
+    rows alike in doc_id and text any one stays. A row of another component stays or goes
+    with its own component, whatever ids the two share.
+    """
+    narrow = docs.select("doc_id", "text", text_digest().alias("digest"))
+    prints = cut_lineage(fingerprints(narrow, ["doc_id", "digest"]))
+    rows = prints.groupBy("fp", "doc_id", "digest").agg(F.count("*").alias("copies"))
+    rank = F.struct(F.isnull("doc_id").alias("missing"), "doc_id", "fp", "digest", "copies")
+    least = rows.groupBy("fp").agg(F.min(rank).alias("row")).join(classes(prints), "fp")
+    id_, digest, copies = (fresh(docs, n) for n in ("kept_id", "kept_digest", "kept_copies"))
+    kept = cut_lineage(
+        least.groupBy("least").agg(F.min("row").alias("row")).select(
+            F.col("row.doc_id").alias(id_),
+            F.col("row.digest").alias(digest),
+            F.col("row.copies").alias(copies),
+        )
+    )
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (text_digest() == F.col(digest))
+    out = docs.join(kept.filter(F.col(copies) == 1), same, "left_semi")
+    repeated = kept.filter(F.col(copies) > 1)
+    if repeated.isEmpty():
+        return out
+    several = docs.join(repeated, same, "left_semi").withColumn(digest, text_digest())
+    return out.unionByName(several.dropDuplicates(["doc_id", digest]).drop(digest))

@@ -134,6 +134,28 @@ def test_one_of_each_keeps_the_smallest_id(clashing):
     assert {r.doc_id for r in kept.collect()} == ids
 
 
+def test_one_of_each_with_repeated_and_null_ids(table):
+    near = [f"w{i}" for i in range(400)]
+    text, close = " ".join(near), " ".join(near[:200] + ["changed"] + near[201:])
+    other, third = "quite another text of its own", "a third one without any id at all"
+    rows = [
+        (2, text), (2, close), (3, text), (3, other), (3, other), (2, third),
+        (None, text), (None, "no id here, not even one"), (None, "no id here, not even one"),
+    ]
+    docs = table(rows)
+    component = {r.doc_id: r.component_id for r in simhash.near_copies(docs.filter("doc_id = 2")).collect()}
+    assert component == {2: 2}
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()]
+    want = simhash.fingerprint(text), simhash.fingerprint(close)
+    assert bin((want[0] ^ want[1]) & simhash.WHOLE).count("1") <= simhash.RADIUS
+    first = text if want[0] < want[1] else close
+    if want[0] == want[1]:
+        first = min((text, close), key=lambda t: hashlib.md5(t.encode()).digest())
+    assert sorted(kept, key=repr) == sorted(
+        [(2, first), (3, other), (2, third), (None, "no id here, not even one")], key=repr
+    )
+
+
 def linked(values, large):
     forest = simhash.Forest()
     array = np.sort(np.array(sorted(values), np.uint64))
