@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalore.functions.genmeta import COST_PER_TOKEN, generation_record
 from catalore.functions.names import blank_to_null
-from catalore.session import cut_lineage
+from catalore.session import cut_lineage, remove_at_exit, shared_dir
 
 # A describer gets a batch of rows (at least table_name, column_name, prompt) and
 # gives one row each, in order, with these columns (absent ones count as missing).
@@ -29,6 +31,8 @@ OUTCOME = T.StructType(
 )
 COUNTS = ["tokens_used", "prompt_tokens", "completion_tokens"]
 Describer = Callable[[pd.DataFrame], pd.DataFrame]
+#: Prompts whose answers are committed together.
+CHUNK_ROWS = 2000
 
 # Ship this module's functions with the task, so executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -94,6 +98,59 @@ def describe(
     return described if fn is template_describer else cut_lineage(described)
 
 
+def prompt_key() -> Column:
+    """A digest of what a description depends on: table, column and prompt."""
+    asked = F.to_json(F.struct("table_name", "column_name", "prompt"))
+    return F.sha2(asked, 256)
+
+
+def logged_answers(spark: SparkSession, log: str) -> DataFrame:
+    """One outcome for each prompt key of the log; an answer goes before an error."""
+    schema = T.StructType([T.StructField("prompt_key", T.StringType()), *OUTCOME.fields])
+    try:
+        rows = spark.read.schema(schema).parquet(log)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], schema)
+    outcome = F.struct(F.col("error").isNotNull().alias("failed"), *OUTCOME.fieldNames())
+    best = rows.groupBy("prompt_key").agg(F.min(outcome).alias("outcome"))
+    return best.select("prompt_key", *(f"outcome.{name}" for name in OUTCOME.fieldNames()))
+
+
+def describe_logged(
+    prompts: DataFrame,
+    log: str,
+    fn: Describer,
+    partitions: int | None = None,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """As ``describe``, with a log of the answers, so that no prompt is paid for twice.
+
+    Prompts that have an answer in the folder ``log`` are not asked again; those that
+    failed are. The others are asked in chunks of about ``chunk_rows``, and each chunk's
+    outcomes are appended to the log before the next one starts: a run that is cut off loses
+    one chunk at most. Rows with equal table, column and prompt are asked once. A log has one
+    writer at a time.
+    """
+    spark = prompts.sparkSession
+    keyed = cut_lineage(prompts.withColumn("prompt_key", prompt_key()))
+    answered = logged_answers(spark, log).filter("error IS NULL").select("prompt_key")
+    todo = cut_lineage(keyed.join(answered, "prompt_key", "left_anti").dropDuplicates(["prompt_key"]))
+    chunks = -(-todo.count() // chunk_rows)
+    folder = f"{shared_dir(spark).rstrip('/')}/prompts-{uuid.uuid4().hex}"
+    if chunks:
+        # A folder for each chunk, so that a chunk reads its own prompts only.
+        remove_at_exit(spark, folder)
+        chunk = F.pmod(F.xxhash64("prompt_key"), F.lit(chunks))
+        todo.withColumn("chunk", chunk).write.partitionBy("chunk").parquet(folder)
+    for number in range(chunks):
+        part = spark.read.parquet(folder).filter(F.col("chunk") == number).drop("chunk")
+        outcomes = describe(part, fn, partitions).select("prompt_key", *OUTCOME.fieldNames())
+        outcomes.write.mode("append").parquet(log)
+    return keyed.join(logged_answers(spark, log), "prompt_key").drop("prompt_key")
+
+
 def fallback_text() -> Column:
     # The wording of the standard text.
     column = blank_to_null(F.col("column_name"))

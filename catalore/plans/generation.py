@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from catalore.functions.clock import instant
 from catalore.functions.genmeta import COST_PER_TOKEN, method_tag
-from catalore.operators.generate import Describer, describe, template_describer, with_fallback
+from catalore.operators.generate import (
+    Describer,
+    describe,
+    describe_logged,
+    template_describer,
+    with_fallback,
+)
 from catalore.operators.profile import (
     column_samples,
     schema_preview,
@@ -27,6 +33,14 @@ from catalore.sources.catalog import columns_of
 from catalore.sources.store import to_items
 
 
+def _answers(
+    prompted: DataFrame, describer: Describer, partitions: int | None, log: str | None
+) -> DataFrame:
+    if log is None:
+        return describe(prompted, describer, partitions)
+    return describe_logged(prompted, log, describer, partitions)
+
+
 def generate_column_items(
     spark: SparkSession,
     tables: Mapping[str, DataFrame],
@@ -39,15 +53,20 @@ def generate_column_items(
     exclude: Collection[str] = (),
     partitions: int | None = None,
     rate: float = COST_PER_TOKEN,
+    log: str | None = None,
 ) -> DataFrame:
-    """Pending items for every column of the tables."""
+    """Pending items for every column of the tables.
+
+    With a folder ``log`` a run that starts again asks only for what has no answer yet.
+    """
     columns = columns_of(spark, tables, max_columns)
     if include_sample:
         inputs = generation_inputs(columns, column_samples(tables, exclude=exclude))
     else:
         inputs = columns.withColumn("samples", F.lit(None).cast("array<string>"))
     prompted = column_prompts(inputs, include_sample)
-    described = with_fallback(describe(prompted, describer, partitions), instant(as_of), rate)
+    answers = _answers(prompted, describer, partitions, log)
+    described = with_fallback(answers, instant(as_of), rate)
     rows = described.select(
         F.lit(catalog).alias("catalog_name"),
         F.lit(schema).alias("schema_name"),
@@ -75,8 +94,9 @@ def generate_table_items(
     include_sample: bool = True,
     partitions: int | None = None,
     rate: float = COST_PER_TOKEN,
+    log: str | None = None,
 ) -> DataFrame:
-    """Pending items for the tables themselves."""
+    """Pending items for the tables themselves; ``log`` as for columns."""
     preview = schema_preview(columns_of(spark, tables))
     samples = table_samples(tables, orders)
     inputs = table_generation_inputs(table_row_counts(tables), preview, samples)
@@ -84,9 +104,8 @@ def generate_table_items(
         "column_name", F.lit(None).cast("string")
     )
     counts = {"column_count": F.col("column_count"), "row_count": F.col("row_count")}
-    described = with_fallback(
-        describe(prompted, describer, partitions), instant(as_of), rate, counts
-    )
+    answers = _answers(prompted, describer, partitions, log)
+    described = with_fallback(answers, instant(as_of), rate, counts)
     sample_json = F.concat(F.lit("["), F.array_join("row_samples", ","), F.lit("]"))
     rows = described.select(
         F.lit(catalog).alias("catalog_name"),

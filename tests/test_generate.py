@@ -2,11 +2,12 @@ import json
 from datetime import datetime
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from catalore.functions.clock import instant
 from catalore.operators import prompts
-from catalore.operators.generate import describe, with_fallback
+from catalore.operators.generate import describe, describe_logged, logged_answers, with_fallback
 from catalore.plans.generation import generate_column_items, generate_table_items
 
 AS_OF = datetime(2024, 3, 10, 12, 0, 0)
@@ -66,6 +67,63 @@ def test_answers_are_asked_for_once(spark):
     assert len(set(first.values())) == 20
 
 
+def test_a_restart_asks_only_for_what_has_no_answer(spark, tmp_path):
+    calls, log = str(tmp_path / "calls"), str(tmp_path / "log")
+
+    def describer(batch, fail):
+        import os
+        import uuid
+
+        os.makedirs(calls, exist_ok=True)
+        if (batch["column_name"] == fail).any():
+            raise ValueError("no answer")
+        for name in batch["column_name"]:
+            open(f"{calls}/{name}-{uuid.uuid4().hex}", "w").close()
+        return pd.DataFrame({"description": "about " + batch["column_name"]})
+
+    def asked():
+        found = sorted(int(f.name.split("-")[0]) for f in (tmp_path / "calls").iterdir())
+        return found
+
+    rows = spark.range(40).selectExpr("'t' AS table_name", "string(id) AS column_name", "'p' AS prompt", "id")
+    # The first run gets as far as 25 prompts, one of which fails.
+    first = describe_logged(rows.filter("id < 25"), log, lambda b: describer(b, "7"), 2, chunk_rows=10)
+    assert {r["column_name"] for r in first.filter("error IS NOT NULL").collect()} == {"7"}
+    assert asked() == [i for i in range(25) if i != 7]
+    # The second one has all of them, one row twice.
+    twice = rows.unionByName(rows.filter("id = 30"))
+    done = describe_logged(twice, log, lambda b: describer(b, "none"), 2, chunk_rows=10)
+    assert asked() == list(range(40))
+    got = sorted((r["id"], r["description"], r["error"]) for r in done.collect())
+    assert got == sorted((i, f"about {i}", None) for i in [*range(40), 30])
+    # A third one asks nobody; an empty one neither.
+    assert describe_logged(rows, log, lambda b: describer(b, "1")).count() == 40
+    assert describe_logged(rows.limit(0), log, lambda b: describer(b, "1")).count() == 0
+    assert asked() == list(range(40))
+
+
+def test_a_killed_run_keeps_its_chunks(spark, tmp_path):
+    log = str(tmp_path / "log")
+    rows = spark.range(30).selectExpr("'t' AS table_name", "string(id) AS column_name", "'p' AS prompt")
+
+    def dying(batch):
+        import os
+
+        if (batch["column_name"] == "11").any():
+            os._exit(1)
+        return pd.DataFrame({"description": "first " + batch["column_name"]})
+
+    with pytest.raises(Exception):
+        describe_logged(rows, log, dying, 1, chunk_rows=6)
+    kept = {r["description"] for r in logged_answers(spark, log).collect()}
+
+    def living(batch):
+        return pd.DataFrame({"description": "second " + batch["column_name"]})
+
+    done = {r["description"] for r in describe_logged(rows, log, living, 1, chunk_rows=6).collect()}
+    assert len(done) == 30 and {d for d in done if d.startswith("first")} == kept
+
+
 def test_prompt_switches(spark):
     inputs = spark.createDataFrame(
         [("t", "a", "int", ["1", "2", "3", "4"]), ("t", "b", "int", None)],
