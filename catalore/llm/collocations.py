@@ -9,8 +9,8 @@ further by the next word. Parts with fewer than ``least`` occurrences are abando
 
 So that few pointers move, a first pass counts words, pairs and triples by hash in a fixed
 number of slots. A slot below ``least`` holds nothing frequent, so that a pointer ends
-before it; nothing frequent is lost, however many share a slot. Equal pointers of
-a batch of texts move as one row with a weight.
+before it; nothing frequent is lost, however many share a slot. Texts are dealt by lang
+first, so that equal pointers meet early: those of a task move as one row with a weight.
 
 A phrase that is cut after its first k words scores 1000 a n / (l r), the least cut counts.
 Phrases inside a longer one that occurs as often are dropped. Numbers are exact: products
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalore.llm.common import mixed, whole_text
-from catalore.session import cut_lineage
+from catalore.session import cut_lineage, estimated_bytes
 
 LONGEST = 5
 LEAST = 100
@@ -52,6 +52,12 @@ MOST_BUILDERS = 2048
 #: Bytes of text taken together, and pointers of whole routes partitioned together.
 TEXT_BYTES = 4 << 20
 POINTERS = 400_000
+#: Bytes of input that one task turns into pointers. It sends each pointer once, so that large
+#: tasks send fewer rows; every core still has some tasks.
+DEALT_BYTES = 64 << 20
+TASKS_PER_CORE = 2
+#: Rows that a task holds to add up equal ones; what is over half of it then is sent on.
+HELD_ROWS = 500_000
 #: Pointers that two leading words may have before they are routed by three. It grows with
 #: all pointers, so that at most MOST_HOT pairs are routed so.
 HOT_POINTERS = 500_000
@@ -112,6 +118,20 @@ def source(docs: DataFrame) -> DataFrame:
     return docs.select(lang.alias("lang"), whole_text().alias("text"))
 
 
+def dealt_by_lang(docs: DataFrame) -> DataFrame:
+    """``source`` in parts of like size that have few langs each, also where one lang has most rows.
+
+    There are as many parts as ``DEALT_BYTES`` and the cores ask for, at most the shuffle
+    partitions that the session sets (also where the size is not known).
+    """
+    spark = docs.sparkSession
+    wanted = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, estimated_bytes(docs) // DEALT_BYTES)
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted))
+    # A place is the same in every attempt of a task, and copies of a text are spread.
+    place = F.xxhash64("text", F.spark_partition_id())
+    return source(docs).withColumn("place", place).repartitionByRange(parts, "lang", "place").drop("place")
+
+
 def frequent_slots(docs: DataFrame, least: int, slots: int) -> np.ndarray:
     """Packed bits of the ``slots`` that ``least`` words, pairs or triples may share."""
     enough, chunk = min(least, 255), min(CHUNK, slots)
@@ -200,11 +220,32 @@ def pointers_of(tokens: Tokens, bits: np.ndarray, longest: int) -> tuple[pa.Arra
     )
 
 
-def weighted_pointers(docs: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
+def summed(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``parts`` (lang, phrase, words, times) with equal ones added up; about ``most`` are held."""
+    held, rows = [], 0
+
+    def added() -> pa.Table:
+        groups = pa.Table.from_batches(held).group_by(held[0].schema.names[:3], use_threads=False)
+        return groups.aggregate([("times", "sum")]).rename_columns(held[0].schema.names)
+
+    for part in parts:
+        held.append(part)
+        rows += part.num_rows
+        if rows >= most:
+            held = added().combine_chunks().to_batches()
+            rows = sum(p.num_rows for p in held)
+            if 2 * rows > most:
+                yield from held
+                held, rows = [], 0
+    if held:
+        yield from added().to_batches()
+
+
+def weighted_pointers(docs: DataFrame, bits: np.ndarray, longest: int, held_rows: int = HELD_ROWS) -> DataFrame:
     """lang, phrase, words and times; the row with no words counts all words of its texts."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, texts in by_lang(batch):
                 tokens = Tokens(lang, texts)
@@ -215,7 +256,10 @@ def weighted_pointers(docs: DataFrame, bits: np.ndarray, longest: int) -> DataFr
                         names=["lang", "phrase", "words", "times"],
                     )
 
-    return source(docs).mapInArrow(run, "lang string, phrase string, words int, times long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from summed(parts(batches), held_rows)
+
+    return dealt_by_lang(docs).mapInArrow(run, "lang string, phrase string, words int, times long")
 
 
 def frequent_prefixes(keys: np.ndarray, times: np.ndarray, least: int) -> list[tuple[int, int, int]]:

@@ -7,7 +7,9 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from catalore.llm import collocations, minhash, runs
 
@@ -251,6 +253,57 @@ def test_slots_shared_by_many_words_lose_nothing(table):
     assert sorted(tuple(r) for r in got) == phrases_of([(r[2], r[1]) for r in rows], 100, 2000)
 
 
+def test_equal_pointers_of_many_partitions_move_as_few_rows(table):
+    """A row of each pointer of a lang for a task or two, not one for every partition and lang."""
+    rows = [(i, "one two three four", ("en", "fr", None)[i % 3], "s", 1) for i in range(240)]
+    all_frequent = np.full(8, 255, np.uint8)
+    got = collocations.weighted_pointers(table(rows).repartition(24), all_frequent, 5).collect()
+    times = Counter()
+    for r in got:
+        times[r.lang, r.phrase, r.words] += r.times
+    words = "one two three four".split()
+    own = {("", 0): 320} | {(w, 1): 80 for w in words} | {(" ".join(words[i:]), 4 - i): 80 for i in range(3)}
+    assert times == {(lang, *key): n for lang in ("en", "fr", "und") for key, n in own.items()}
+    assert len(got) <= 2 * len(times)
+
+
+def test_copies_of_one_lang_are_dealt_to_many_tasks(spark, table):
+    docs = table([(i, "the very same text", "en", "s", 1) for i in range(1600)]).repartition(32)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = collocations.dealt_by_lang(docs).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in sizes) == 1600 and max(r["count"] for r in sizes) <= 800
+
+
+def test_small_inputs_are_not_dealt_to_all_shuffle_partitions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        parts = collocations.dealt_by_lang(docs).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert parts == collocations.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert collocations.dealt_by_lang(docs).rdd.getNumPartitions() == min(parts, int(before))
+
+
+def test_rows_are_added_up_and_sent_on():
+    random.seed(6)
+    for kinds in (5, 300):
+        rows = [("en", f"p{random.randrange(kinds)}", 2, random.randrange(1, 9)) for _ in range(900)]
+        names = ["lang", "phrase", "words", "times"]
+        parts = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 30])], names=names) for at in range(0, 900, 30)]
+        got = [tuple(r.values()) for part in collocations.summed(iter(parts), 100) for r in part.to_pylist()]
+        want, sums = Counter(), Counter()
+        for listed, counts in ((rows, want), (got, sums)):
+            for lang, phrase, words, times in listed:
+                counts[lang, phrase, words] += times
+        assert sums == want and len(got) < (6 if kinds == 5 else 900)
+    assert list(collocations.summed(iter([]), 100)) == []
+
+
 def test_quicksort_counts_equal_parts():
     random.seed(2)
     keys = np.array([[random.randrange(3) for _ in range(3)] for _ in range(500)])
